@@ -49,3 +49,9 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 def pieces(total: int, each: int, least: int) -> int:
     """How many parts of about `each` bytes hold `total` bytes, `least` at the fewest."""
     return max(least, -(-total // each))
+
+
+def row_and_text(docs: DataFrame) -> DataFrame:
+    """Two columns: row, a struct of all columns but text, so that no name can clash, and text."""
+    rest = [docs[c] for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest).alias("row") if rest else F.struct(F.lit(None).cast("string").alias("none")).alias("row"), docs["text"].cast("string").alias("text"))
