@@ -33,7 +33,7 @@ from junctura.llm.common import fresh_path, pieces, text_bytes
 SEEK_MAGIC, SKIP_MAGIC, IDS_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 FILE_BYTES = 24 << 20  # of text for each file
 PART = 1 << 26  # ids in one frame at most; a longer document takes several frames
-WORDS = 200_000  # words in each of the two generations that a worker remembers
+WORDS = 300_000  # words in each of the two generations that a worker remembers
 
 _STOP = re.compile(r"(?<=[a-zà-öø-ÿ])([.,])(?=[ \n])").sub
 
@@ -166,7 +166,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> Data
     spark = docs.sparkSession
     n = pieces(text_bytes(docs), FILE_BYTES, 1)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = source.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    dealt = source.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from junctura.llm.bpe import chunks
@@ -207,14 +207,18 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return listed.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    return files.repartition(max(1, files.count()), "file")
+
+
 def read(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian bytes) of every document of a manifest, checksums tested."""
-    return files.repartition(F.col("file")).mapInArrow(_reader(lambda x: x, pa.binary()), "doc_id long, start long, n_tokens long, ids binary")
+    return _dealt(files).mapInArrow(_reader(lambda x: x, pa.binary()), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digests(files: DataFrame) -> DataFrame:
     """As read(), with ids_crc32 in place of the ids."""
-    return files.repartition(F.col("file")).mapInArrow(_reader(zlib.crc32, pa.int64()), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _dealt(files).mapInArrow(_reader(zlib.crc32, pa.int64()), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(files: DataFrame, doc_ids: list[int]) -> DataFrame:
@@ -230,7 +234,7 @@ def read_documents(files: DataFrame, doc_ids: list[int]) -> DataFrame:
                     found = [(d, f.read(i)) for i, d in enumerate(f.docs) if d in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["doc_id", "ids"])
 
-    return files.select("file").repartition(F.col("file")).mapInArrow(run, "doc_id long, ids binary")
+    return _dealt(files).select("file").mapInArrow(run, "doc_id long, ids binary")
 
 
 def _reader(of, kind):
