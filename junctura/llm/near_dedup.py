@@ -6,12 +6,12 @@ values are its sketch. Documents with equal sets are one class, and classes are
 1. Inverted lists of the retained values. A pair with similarity 0.75 shares at least NEED values (but for a chance of
    about 1e-7), so values that no other class retains are left out, classes with fewer than NEED values
    left cannot have a partner, and the rarest `left - NEED + 1` values of a class are enough to meet every partner.
-2. In each list, members meet leaders; later rounds compare only what is not yet in one component, and
-   the last takes every pair of a list that still lies in two components. So groups of thousands of copies need few
-   comparisons, and no link between components is lost.
-3. The sketch of the union, merged from two sketches, estimates the similarity; what passes is compared on full sets.
+2. Classes that lists join, directly or through others, are a group. A group is dealt to blocks of about BLOCK classes; each
+   two of its blocks meet in one task, which counts the overlaps by inverted lists of the full sets' values and
+   returns only as many links as connect what is connected there. A group of thousands of near copies so is many small tasks.
 
-Lists, leaders and components are joins and partial aggregates; no group is gathered in one task.
+   Pairs whose sketches do not share what the sketch of their union must are passed over; the others are judged on full sets.
+Lists, groups and components are joins and partial aggregates; no group is gathered in one task.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from junctura.llm.common import checkpoint
@@ -30,7 +30,8 @@ WIDTH = 5
 PERCENT = 75
 K = 40
 NEED = 15  # values that a pair at PERCENT shares in the sketch of its union
-FIRST = 4  # leaders that a class meets in the first round
+BLOCK = 384  # classes of a group in one block
+COLUMNS = 8192  # values whose overlaps are counted at a time
 SMALL = 1_000_000  # classes whose ids may be broadcast (8 MB)
 REMEMBERED = 400_000
 _TOP = np.uint64(1 << 63)  # so that signed order is that of the hashes
@@ -75,8 +76,7 @@ def _each(of, names):
 
 
 def _sketch_columns(sets: list[np.ndarray]) -> list[pa.Array]:
-    cid = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.int64()), pa.array([(s[:K] ^ _TOP).view(np.int64) for s in sets], pa.list_(pa.int64()))]
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array([_cid(s) for s in sets], pa.int64()), pa.array([(s[:K] ^ _TOP).view(np.int64) for s in sets], pa.list_(pa.int64()))]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -102,33 +102,88 @@ def lists(classes: DataFrame) -> DataFrame:
     return checkpoint(posts.join(often, "v").select("v", "cid"))
 
 
-def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a < b, distinct) those at PERCENT or more: by the sketch of the union first, then by the full sets."""
-    s = classes.select("cid", "n_shingles", "sketch")
-    both = pairs.join(s.select(F.col("cid").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("cid").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
-    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    shared = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb")))
-    enough = F.when(F.least("na", "nb") >= NEED * 100 / PERCENT, shared >= NEED).otherwise(shared * 100 >= F.size(union) * PERCENT)
-    likely = checkpoint(both.where(sizes).where(enough).select("a", "b"))
-    wanted = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
-    reps = classes.join(F.broadcast(wanted) if 2 * likely.count() < SMALL else wanted, "cid", "left_semi").select("cid", F.col("holder").alias("doc_id"))
+def full_sets(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid and s (the sorted hashes of its full set, 8 bytes each) of the classes in members, from the whole text of one document each."""
+    few = members.count() < SMALL
+    dealt = lambda x: F.broadcast(x) if few else x
+    reps = classes.join(dealt(members.select("cid")), "cid", "left_semi").select("cid", F.col("holder").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(reps) if 2 * likely.count() < SMALL else reps, "doc_id").select("cid", "text")
-    full = texts.mapInArrow(_each(lambda sets: [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())], ["cid", "s", "own"]), "cid long, s binary, own long")
-    full = checkpoint(full.where("own = cid").dropDuplicates(["cid"]).select("cid", "s"))  # another text may have the same doc_id
-    met = likely.join(full.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
+    texts = texts.join(dealt(reps), texts["doc_id"].eqNullSafe(reps["doc_id"])).select("cid", "text")
+    full = texts.mapInArrow(_each(lambda sets: [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_cid(s) for s in sets], pa.int64())], ["cid", "s", "own"]), "cid long, s binary, own long")
+    return checkpoint(full.where("own = cid").dropDuplicates(["cid"]).select("cid", "s"))  # another text may have the same doc_id
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks (right None: of one block with itself), by lists of their values."""
+    sets = left + (right or [])
+    value = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    new = np.r_[True, value[1:] != value[:-1]]
+    many = np.r_[~new[1:], False] | ~new  # values that two sets hold
+    column = (np.cumsum(new) - 1)[many]
+    row = row[many]
+    m = len(left)
+    out = np.zeros((m, len(right) if right else m), np.float32)
+    if len(column):
+        column = np.cumsum(np.r_[0, np.diff(column) != 0])
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        held = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - lo)), np.float32)
+        held[row[a:b], column[a:b] - lo] = 1
+        out += held[:m] @ (held[m:] if right else held).T
+    return out
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both * 100 >= PERCENT * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return checkpoint(met.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"))
+def _likely(left, right, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """Pairs whose sketches share what the sketch of the union of a near pair must: NEED values, or of small sets their part of PERCENT."""
+    least = np.minimum(n_left[:, None], n_right[None])
+    need = np.where(100 * NEED <= PERCENT * least, NEED, np.ceil(least * PERCENT / 100))
+    fit = 100 * least >= PERCENT * np.maximum(n_left[:, None], n_right[None])
+    out = fit & (overlaps(left, right) >= need)
+    if right is None:
+        np.fill_diagonal(out, False)
+    return out
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links within one block, or between two, as many as connect what is connected there."""
+    table = table.sort_by([("side", "ascending"), ("cid", "ascending")])
+    cid, side = table.column("cid").to_numpy(), table.column("side").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
+    m = int(np.count_nonzero(side == 0))
+    two = m < len(sets)
+    n = np.array([len(x) for x in sets], np.float64)
+    right = n[m:] if two else n
+    near = _likely([x[:K] for x in sets[:m]], [x[:K] for x in sets[m:]] if two else None, n[:m], right)
+    rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    if len(rows):  # full sets of what may be near something
+        shared = overlaps([sets[i] for i in rows], [sets[m + j] for j in columns]) if two else overlaps([sets[i] for i in rows], None)
+        at = np.ix_(rows, columns)  # within one block both are the same
+        near[at] &= 100 * shared >= PERCENT * (n[rows, None] + right[None, columns] - shared)
+    base = m if two else 0
+    out, free = [], np.ones(len(sets), bool)
+    for i in range(len(sets)):
+        if not free[i]:
+            continue
+        free[i] = False
+        stack = [i]
+        while stack:
+            u = stack.pop()
+            if two and u >= m:
+                found = np.flatnonzero(near[:, u - m] & free[:m])
+            else:
+                found = base + np.flatnonzero(near[u] & free[base:])
+            free[found] = False
+            out.extend((u, v) for v in found.tolist())
+            stack.extend(found.tolist())
+    a, b = np.array(out, np.int64).reshape(-1, 2).T
+    return pa.table({"a": cid[a], "b": cid[b]})
+
+
+def _cid(s: np.ndarray) -> int | None:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -153,34 +208,16 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def _labelled(found: DataFrame, links: DataFrame) -> DataFrame:
-    """v, cid, label of the list entries whose list lies in more than one component."""
-    named = found.join(components(links), found["cid"] == F.col("node"), "left").select("v", "cid", F.coalesce("label", "cid").alias("label"))
-    mixed = named.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("v")
-    return checkpoint(named.join(mixed, "v"))
-
-
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b: links between classes, as many as their components need and no false one."""
     found = lists(classes)
-    out = None
-    for turn in range(3):
-        now = found.select("v", "cid", F.col("cid").alias("label")) if out is None else _labelled(found, out)
-        if out is not None and now.isEmpty():
-            break
-        if turn < 2:
-            lead = now.groupBy("v").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "v", "cid").alias("k"), F.col("cid").alias("c"), F.col("label").alias("l"))).alias("x"))
-            met = now.join(lead, "v").where("label != x.l").select("cid", F.col("x.c").alias("leader")).distinct()
-            if turn == 0:
-                nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.xxhash64("leader", "cid")))  # K leaders at most
-                met = met.withColumn("nth", nth).where(F.col("nth") <= FIRST)
-            pairs = met.select(F.col("cid").alias("a"), F.col("leader").alias("b"))
-        else:
-            other = now.select("v", F.col("cid").alias("b"), F.col("label").alias("m"))
-            pairs = now.join(other, "v").where("label < m").select(F.col("cid").alias("a"), "b")
-        new = similar(checkpoint(_ordered(pairs)), classes, docs)
-        out = new if out is None else checkpoint(out.union(new))
-    return out
+    lead = found.groupBy("v").agg(F.min("cid").alias("lead"))
+    groups = components(found.join(lead, "v").select(F.col("cid").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("cid"), F.col("label").alias("gid"))
+    sizes = groups.groupBy("gid").agg(F.count("*").alias("n")).select("gid", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = checkpoint(groups.join(sizes, "gid").select("gid", "cid", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block")))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = members.select("gid", "cid", "block", other.alias("other")).select("gid", "cid", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return checkpoint(met.join(full_sets(members, classes, docs), "cid").groupBy("gid", "x", "y").applyInArrow(_block_links, "a long, b long"))
 
 
 def components_of(docs: DataFrame) -> DataFrame:

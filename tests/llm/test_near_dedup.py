@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from junctura.llm import near_dedup as N
 
 
@@ -33,7 +34,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def test_against_all_pairs(spark):
+@pytest.mark.parametrize("block", [N.BLOCK, 3])
+def test_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     passage = [word() for _ in range(30)]
@@ -54,7 +57,7 @@ def test_against_all_pairs(spark):
     assert sorted([tuple(r) for r in got], key=str) == brute(rows)
 
 
-def test_chain_needs_the_later_rounds(spark):
+def test_chain(spark):
     base = [f"w{i}" for i in range(200)]
     rows = []
     for i in range(40):  # each is near its neighbours, far from the others
