@@ -33,7 +33,7 @@ NEED = 15  # values that a pair at PERCENT shares in the sketch of its union
 BLOCK = 384  # classes of a group in one block
 COLUMNS = 8192  # values whose overlaps are counted at a time
 SMALL = 1_000_000  # classes whose ids may be broadcast (8 MB)
-REMEMBERED = 400_000
+REMEMBERED = 150_000  # words whose hashes a task remembers
 _TOP = np.uint64(1 << 63)  # so that signed order is that of the hashes
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 

@@ -32,7 +32,7 @@ LEAST_TOXIC = 16  # documents of the sample that a marker is in
 MOST_CLEAN = 0.02  # clean documents for each toxic one that a marker may be in
 FOLDS = 5
 BEGINNINGS = (3, 4, 5, 6)
-REMEMBERED = 300_000  # words whose scores a task remembers
+REMEMBERED = 120_000  # words whose scores a task remembers
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -269,7 +269,7 @@ def _with(docs: DataFrame, tagger: Tagger, ddl: str, of) -> DataFrame:
         from junctura.llm.bpe import chunks
 
         for batch in batches:
-            parts = [of(tagger, part) for part in chunks([t or "" for t in batch.column(1).to_pylist()], 4 << 20)]
+            parts = [of(tagger, part) for part in chunks([t or "" for t in batch.column(1).to_pylist()], 2 << 20)]
             if parts:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.concat_arrays(parts)], ["row", "text", ddl.split()[0]])
 
