@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from junctura.llm.common import checkpoint
+
 GROUP_ROWS = 4096
 CAPACITY = 2048
 
@@ -64,6 +66,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     without tokens (null or 0) is a piece of 0 tokens in bin -1. A null source or cluster conflicts with nothing.
     Rows with one doc_id are packed each on their own.
     """
+    items = checkpoint(items.select("doc_id", "source", "cluster", "n_tokens"))  # lengths cost more than anything here; they are taken once
     groups = max(1, -(-items.count() // GROUP_ROWS))
     dealt = items.select(F.pmod(F.xxhash64(F.lit(5), "doc_id", "cluster"), F.lit(groups)).cast("int").alias("pack_group"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
 
