@@ -32,7 +32,7 @@ from junctura.llm.common import fresh_path, pieces, text_bytes
 
 SEEK_MAGIC, SKIP_MAGIC, IDS_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 FILE_BYTES = 24 << 20  # of text for each file
-CHUNK = 8 << 20  # characters whose words are looked up together
+CHUNK = 12 << 20  # characters whose words are looked up together
 PART = 1 << 26  # ids in one frame at most; a longer document takes several frames
 WORDS = 300_000  # words in each of the two generations that a worker remembers
 
