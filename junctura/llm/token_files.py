@@ -44,7 +44,7 @@ class WordEncoder:
 
     The normaliser and the pattern of the tokenizer work within what spaces and line ends part, so the ids of
     a text are those of its words in a row; tests hold this against whole texts. A text is lower-cased here only
-    where that is what the normaliser does (composed text without a final sigma), and a full stop or comma between a
+    where that is what the normaliser does (composed text that stays so, without a final sigma), and a full stop or comma between a
     letter and a space is a piece of its own; so fewer words differ.
     """
 
@@ -61,8 +61,9 @@ class WordEncoder:
 
     @staticmethod
     def words(text: str) -> list[str]:
-        if "\u03a3" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
-            text = text.lower()
+        lower = text.lower()
+        if text.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower):
+            text = lower
         return _STOP(r" \1", text).replace("\n", " ").split(" ")
 
     def learn(self, words: list[str]) -> None:

@@ -50,6 +50,14 @@ def test_word_encoder_equals_the_library():
     assert list(own.encode(TEXTS)) == want and list(own.encode(TEXTS[::-1])) == want[::-1]
 
 
+def test_word_encoder_on_random_texts():
+    t, own, rng = Tokenizer.from_file(WORD_BPE), token_files.WordEncoder(WORD_BPE), random.Random(7)
+    t.encode_special_tokens = True
+    signs = [*"abß éÉİıΣσςHT'’.,!?<|>&#*-_ 09\n\t\xa0\u3000e\u0301\u0338\u0331\u0308ªµǅ中文\u2028😀´`~[]{}@", "<|endoftext|>", "'s", "don't ", "straße! "]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(4000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_token_files(spark):
     rows = [(7, "b c"), (3, None), (5, ""), (None, "n"), (5, "a"), (9, TEXTS[5]), (11, "long text " * 3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
