@@ -36,7 +36,7 @@ CHUNK = 8 << 20  # characters whose words are looked up together
 PART = 1 << 26  # ids in one frame at most; a longer document takes several frames
 WORDS = 300_000  # words in each of the two generations that a worker remembers
 
-_STOP = re.compile(r"(?<=[a-zà-öø-ÿ])([.,])(?=[ \n])").sub
+_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|\Z)").sub  # ASCII but letters, digits and the apostrophe
 
 
 class WordEncoder:
@@ -44,7 +44,7 @@ class WordEncoder:
 
     The normaliser and the pattern of the tokenizer work within what spaces and line ends part, so the ids of
     a text are those of its words in a row; tests hold this against whole texts. A text is lower-cased here only
-    where that is what the normaliser does (composed text that stays so, without a final sigma), and a full stop or comma between a
+    where that is what the normaliser does (composed text that stays so, without a final sigma), and punctuation between a
     letter and a space is a piece of its own; so fewer words differ.
     """
 
