@@ -11,6 +11,7 @@ those that count. Both lie under one folder that all executors reach.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -37,6 +38,7 @@ PART = 1 << 26  # ids in one frame at most; a longer document takes several fram
 WORDS = 300_000  # words in each of the two generations that a worker remembers
 
 _STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|\Z)").sub  # ASCII but letters, digits and the apostrophe
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+").fullmatch  # one piece each, which the normaliser leaves as it is
 
 
 class WordEncoder:
@@ -45,7 +47,8 @@ class WordEncoder:
     The normaliser and the pattern of the tokenizer work within what spaces and line ends part, so the ids of
     a text are those of its words in a row; tests hold this against whole texts. A text is lower-cased here only
     where that is what the normaliser does (composed text that stays so, without a final sigma), and punctuation between a
-    letter and a space is a piece of its own; so fewer words differ.
+    letter and a space is a piece of its own; so fewer words differ. Words of plain lower-case letters go to the
+    same model without the normaliser and the pattern, which would leave them as they are.
     """
 
     def __init__(self, path: str):
@@ -54,6 +57,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        bare = json.loads(self.tokenizer.to_str())
+        bare["normalizer"] = None
+        split = [x for x in bare["pre_tokenizer"]["pretokenizers"] if x["type"] != "Split"]
+        bare["pre_tokenizer"]["pretokenizers"] = [{"type": "WhitespaceSplit"}, *split]
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {}
@@ -68,19 +76,21 @@ class WordEncoder:
 
     def learn(self, words: list[str]) -> None:
         put = self.young
-        plain = [w for w in words if w.isalpha()]
-        rest = [w for w in words if not w.isalpha()]
-        lots = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for lo in range(0, len(lots), 64):
-            part = lots[lo : lo + 64]
-            for lot, e in zip(part, self.tokenizer.encode_batch_fast([" ".join(x) for x in part], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
-                at = (4 * np.r_[0, np.flatnonzero(self.ends[ids]) + 1]).tolist()
-                if len(at) != len(lot) + 1 or at[-1] != 4 * len(ids):
-                    rest.extend(lot)
-                    continue
-                data = ids.tobytes()
-                put.update(zip(lot, (data[a:b] for a, b in zip(at, at[1:]))))
+        bare = [w for w in words if _PLAIN(w)]
+        more = [w for w in words if not _PLAIN(w)]
+        rest = [w for w in more if not w.isalpha()]
+        for tokenizer, plain in ((self.bare, bare), (self.tokenizer, [w for w in more if w.isalpha()])):
+            lots = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+            for lo in range(0, len(lots), 64):
+                part = lots[lo : lo + 64]
+                for lot, e in zip(part, tokenizer.encode_batch_fast([" ".join(x) for x in part], add_special_tokens=False)):
+                    ids = np.array(e.ids, "<u4")
+                    at = (4 * np.r_[0, np.flatnonzero(self.ends[ids]) + 1]).tolist()
+                    if len(at) != len(lot) + 1 or at[-1] != 4 * len(ids):
+                        rest.extend(lot)
+                        continue
+                    data = ids.tobytes()
+                    put.update(zip(lot, (data[a:b] for a, b in zip(at, at[1:]))))
         for lo in range(0, len(rest), 4096):
             part = rest[lo : lo + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
