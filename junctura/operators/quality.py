@@ -1,0 +1,53 @@
+"""Counts that tell whether alignments are sound, and their normal form."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from junctura.functions import cigar, tags
+
+
+def per_fragment(alignments: DataFrame) -> DataFrame:
+    """frag, n1 and n2 (mapped alignments of each mate), pri1 and pri2 (primary ones among them)."""
+    mapped = alignments.where(~tags.has(F.col("flag"), tags.UNMAPPED))
+    primary = ~tags.has(F.col("flag"), tags.SECONDARY)
+    one = lambda c: F.count(F.when(c, 1))
+    n = [one(F.col("mate") == k).alias(f"n{k}") for k in (1, 2)]
+    return mapped.groupBy("frag").agg(*n, *[one((F.col("mate") == k) & primary).alias(f"pri{k}") for k in (1, 2)])
+
+
+def summary(alignments: DataFrame) -> DataFrame:
+    """One row: alignments, spliced and unspliced, primaries beyond the first of a read, reads with secondary ones only, most alignments of a read."""
+    mapped = alignments.where(~tags.has(F.col("flag"), tags.UNMAPPED))
+    spliced = F.exists(cigar.parse(F.col("cigar")), lambda x: x["op"] == "N")
+    kinds = mapped.agg(F.count("*").alias("alignments"), F.count(F.when(spliced, 1)).alias("spliced"), F.count(F.when(~spliced, 1)).alias("unspliced"))
+    per = per_fragment(alignments)
+    over = lambda k: F.greatest(F.col(f"pri{k}") - 1, F.lit(0))
+    lone = lambda k: ((F.col(f"n{k}") > 0) & (F.col(f"pri{k}") == 0)).cast("long")
+    reads = per.agg(F.sum(over(1) + over(2)).alias("more_primaries"), F.sum(lone(1) + lone(2)).alias("only_secondary"), F.max(F.greatest("n1", "n2")).alias("most"))
+    return kinds.join(F.broadcast(reads))  # one row each
+
+
+def hit_tags(alignments: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Normal form of alignments (frag, mate, seq, flag, chr, pos, cigar): of each read the last primary and the first secondary by seq.
+
+    Every fragment of `fragments` has one row for each mate, or two (hi 1 and 2, ih 2) where a mate has a secondary one; what is absent is unmapped.
+    """
+    unmapped = F.struct((F.lit(64) * F.col("mate") + 5).cast("int").alias("flag"), F.lit("*").alias("chr"), F.lit(0).alias("pos"), F.lit("*").alias("cigar"))
+    row = F.struct("flag", "chr", "pos", "cigar")
+    second = tags.has(F.col("flag"), tags.SECONDARY)
+    picked = alignments.groupBy("frag", "mate").agg(F.max_by(F.when(~second, row), F.when(~second, F.col("seq"))).alias("pri"), F.min_by(F.when(second, row), F.when(second, F.col("seq"))).alias("sec"))
+    any_ = picked.groupBy("frag").agg(F.max(F.col("sec").isNotNull()).alias("two"))
+    mates = fragments.select("frag").distinct().select("frag", F.explode(F.array(F.lit(1), F.lit(2))).alias("mate"))
+    all_ = mates.join(picked, ["frag", "mate"], "left").join(any_, "frag", "left").withColumn("two", F.coalesce("two", F.lit(False)))
+    hits = all_.select("frag", "mate", "two", "pri", "sec", F.explode(F.when(F.col("two"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("hi"))
+    x = F.coalesce(F.when(F.col("hi") == 1, F.col("pri")).otherwise(F.col("sec")), unmapped)
+    return hits.select("frag", "mate", "hi", F.when(F.col("two"), 2).otherwise(1).alias("ih"), x.alias("x")).select("frag", "mate", "hi", "ih", "x.*")
+
+
+def mismatches_by_quality(alignments: DataFrame, qualities: DataFrame, offset: int = 33) -> DataFrame:
+    """q (mean quality, null if the read is unknown), nm and reads, of the primary mapped alignments (frag, mate, flag, nm)."""
+    main = alignments.where(~tags.has(F.col("flag"), tags.SECONDARY) & ~tags.has(F.col("flag"), tags.UNMAPPED))
+    q = qualities.select("frag", "mate", tags.mean_quality(F.col("qual"), offset).alias("q"))
+    return main.select("frag", "mate", "nm").join(q, ["frag", "mate"], "left").groupBy("q", "nm").agg(F.count("*").alias("reads"))

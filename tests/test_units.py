@@ -1,6 +1,6 @@
 import pytest
 from junctura.functions import cigar, shift, tags
-from junctura.operators import intervals
+from junctura.operators import ambiguity, intervals, quality
 from junctura.sources import text
 from junctura.streaming import junctions
 from pyspark.sql import functions as F
@@ -56,3 +56,28 @@ def test_sources_and_stream(spark, tmp_path):
     q = junctions.counts(spark, str(tmp_path / "s")).writeStream.format("memory").queryName("j").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [tuple(r) for r in spark.table("j").collect()] == [("c1", 110, 50, 1)]
+
+
+ALIGNED = "frag long, mate int, flag int, chr string, pos int, cigar string, amb boolean"
+
+
+def test_indels_match_once_and_in_order(spark):
+    t = spark.createDataFrame([(1, 1, 65, "c", 100, "10M2D10M2D56M", False), (2, 1, 65, "c", 100, "30M3I43M", False), (3, 1, 65, "c", 100, "20M2D56M", False)], ALIGNED)
+    r = spark.createDataFrame([(1, 1, 65, "c", 100, "12M2D64M", False), (2, 1, 81, "c", 100, "30M3I43M", False)], ALIGNED)
+    shifts = spark.createDataFrame([("c", "D", 110, 2, 0, 4), ("c", "D", 122, 2, 12, 0)], "chr string, op string, t int, size int, ls int, rs int")
+    got = {tuple(x) for x in ambiguity.indel_verdicts(t, r, shifts, 76).collect()}
+    assert got == {("D", 2, 1, 2, 0), ("I", 3, 0, 1, 1)}  # both true deletions could be the reported one; the other strand meets nothing
+    assert ambiguity.indel_verdicts(t.limit(0), r.limit(0), shifts, 76).count() == 0
+
+
+def test_alternatives(spark):
+    gap = lambda op, q, t, n, ls, rs: F.struct(*[F.lit(v).alias(k) for k, v in (("op", op), ("q", q), ("t", t), ("l", n), ("ls", ls), ("rs", rs))])
+    at = lambda g, js: one(spark, F.transform(F.array(*map(F.lit, js)), lambda j: ambiguity.alternatives(j, g)))[0]
+    assert at(gap("D", 1, 3, 3, 0, 2), range(5)) == [[], [], [6], [8], []]  # the bases after the gap may stand before it
+    assert at(gap("I", 2, 3, 3, 0, 2), range(7)) == [[], [], [6], [7, 8], [7, 9], [7, 9], [9]]
+
+
+def test_hit_tags(spark):
+    a = spark.createDataFrame([(1, 1, 1, 65, "c", 5, "76M"), (1, 1, 2, 65, "c", 6, "76M"), (1, 1, 3, 321, "c", 7, "76M"), (1, 1, 4, 321, "c", 8, "76M"), (2, 2, 1, 129, "c", 9, "76M")], "frag long, mate int, seq int, flag int, chr string, pos int, cigar string")
+    got = sorted(tuple(x)[:4] + (x["flag"], x["pos"]) for x in quality.hit_tags(a, spark.range(1, 4).withColumnRenamed("id", "frag")).collect())
+    assert got == [(1, 1, 1, 2, 65, 6), (1, 1, 2, 2, 321, 7), (1, 2, 1, 2, 133, 0), (1, 2, 2, 2, 133, 0), (2, 1, 1, 1, 69, 0), (2, 2, 1, 1, 129, 9), (3, 1, 1, 1, 69, 0), (3, 2, 1, 1, 133, 0)]
