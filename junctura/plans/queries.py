@@ -167,14 +167,17 @@ def interval_complement(spark, d):
 
 
 _THIN = "p_partkey % 50 = 3"
-_TERRITORY = f"""{A.exons_sql('ex', _THIN)}, spans AS (SELECT chr, min(s) AS s, max(e) AS e FROM ex GROUP BY tx_id, chr), {_union_sql('genic', 'spans')},
+
+
+def _territory(rows: str) -> str:
+    return f"""{A.exons_sql('ex', rows)}, spans AS (SELECT chr, min(s) AS s, max(e) AS e FROM ex GROUP BY tx_id, chr), {_union_sql('genic', 'spans')},
     bases AS (SELECT chr, unnest(range(s, e + 1)) AS b FROM genic), inside AS (SELECT DISTINCT chr, unnest(range(s, e + 1)) AS b FROM ex),
     free AS (SELECT chr, b FROM bases EXCEPT SELECT chr, b FROM inside),
     runs AS (SELECT chr, b, b - row_number() OVER (PARTITION BY chr ORDER BY b) AS g FROM free),
     territory AS (SELECT chr, CAST(min(b) AS INTEGER) AS s, CAST(max(b) AS INTEGER) AS e FROM runs GROUP BY chr, g)"""
 
 
-@_query(f"WITH {_TERRITORY} SELECT chr, s, e FROM territory")
+@_query(f"WITH {_territory(_THIN)} SELECT chr, s, e FROM territory")
 def intron_territory(spark, d):
     return intervals.intron_territory(A.exons(spark, d, _THIN))
 
