@@ -182,6 +182,11 @@ def intron_territory(spark, d):
     return intervals.intron_territory(A.exons(spark, d, _THIN))
 
 
+@_query(f"WITH {_territory('true')} SELECT chr, s, e FROM territory")
+def intron_territory_whole(spark, d):
+    return intervals.intron_territory(A.exons(spark, d))
+
+
 @_query(f"""WITH {A.REPEATS_SQL}, {_union_sql('u', 'repeats')}, {A.exons_sql()}, w AS (SELECT tx_id, min(s) AS s, max(e) AS e, chr FROM exons GROUP BY tx_id, chr)
     SELECT w.tx_id, w.s, w.e, CAST(coalesce(sum(CASE WHEN u.s IS NOT NULL THEN least(w.e, u.e) - greatest(w.s, u.s) + 1 END), 0) AS BIGINT) AS covered FROM w LEFT JOIN u ON u.chr = w.chr AND u.s <= w.e AND u.e >= w.s GROUP BY ALL""")
 def overlap_length(spark, d):

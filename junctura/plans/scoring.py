@@ -192,6 +192,15 @@ def intronic_counts(spark, d):
     return reconstruction.intronic_counts(A.reads(spark, d), A.exons(spark, d, _LONG), A.repeats(spark, d))
 
 
+@_query(f"""WITH {A.READS_SQL}, {_territory('true')}, {A.REPEATS_SQL}, {_union_sql('u', 'repeats')}, {A.ops_sql('ops', 'reads')},
+    placed AS (SELECT frag, mate, chr, pos AS s, CAST(max(pos) + sum(CASE WHEN op IN ('M', 'D', 'N') THEN l ELSE 0 END) - 1 AS BIGINT) AS e FROM ops GROUP BY ALL), k AS (SELECT chr, s, e, count(*) AS n FROM placed GROUP BY ALL),
+    y AS (SELECT k.chr, k.s, k.e, k.n, coalesce(sum(CASE WHEN t.s IS NOT NULL THEN least(k.e, t.e) - greatest(k.s, t.s) + 1 END), 0) AS bases FROM k LEFT JOIN territory t ON t.chr = k.chr AND t.s <= k.e AND t.e >= k.s GROUP BY ALL),
+    x AS (SELECT n, bases = e - s + 1 AS inside, EXISTS (SELECT 1 FROM u WHERE u.chr = y.chr AND u.s <= y.e AND u.e >= y.s) AS touched FROM y)
+    SELECT CAST(sum(n) AS BIGINT) AS mapped, CAST(coalesce(sum(CASE WHEN inside AND NOT touched THEN n END), 0) AS BIGINT) AS intronic, CAST(coalesce(sum(CASE WHEN inside AND touched THEN n END), 0) AS BIGINT) AS intronic_repeat FROM x""")
+def intronic_counts_whole(spark, d):
+    return reconstruction.intronic_counts(A.reads(spark, d), A.exons(spark, d), A.repeats(spark, d))
+
+
 @_query(f"WITH {_multi('frag')} SELECT least(k, 2) AS k, CAST(sum(actual) AS BIGINT) AS actual, CAST(sum(reported) AS BIGINT) AS reported, CAST(sum(correct) AS BIGINT) AS correct FROM multi GROUP BY ALL")
 def multi_intron_collapsed(spark, d):
     return metrics.collapsed(multi_intron_pair(spark, d), [], "k", 2, ["actual", "reported", "correct"])

@@ -1,6 +1,10 @@
+import tempfile
+
 import pytest
 from junctura.functions import cigar, shift, tags
 from junctura.operators import ambiguity, intervals, quality
+from junctura.plans import scoring  # noqa: F401  adds its queries
+from junctura.plans.queries import QUERIES
 from junctura.sources import text
 from junctura.streaming import junctions
 from pyspark.sql import functions as F
@@ -81,3 +85,12 @@ def test_hit_tags(spark):
     a = spark.createDataFrame([(1, 1, 1, 65, "c", 5, "76M"), (1, 1, 2, 65, "c", 6, "76M"), (1, 1, 3, 321, "c", 7, "76M"), (1, 1, 4, 321, "c", 8, "76M"), (2, 2, 1, 129, "c", 9, "76M")], "frag long, mate int, seq int, flag int, chr string, pos int, cigar string")
     got = sorted(tuple(x)[:4] + (x["flag"], x["pos"]) for x in quality.hit_tags(a, spark.range(1, 4).withColumnRenamed("id", "frag")).collect())
     assert got == [(1, 1, 1, 2, 65, 6), (1, 1, 2, 2, 321, 7), (1, 2, 1, 2, 133, 0), (1, 2, 2, 2, 133, 0), (2, 1, 1, 1, 69, 0), (2, 2, 1, 1, 129, 9), (3, 1, 1, 1, 69, 0), (3, 2, 1, 1, 133, 0)]
+
+
+def test_territory_takes_every_row_of_the_annotation(spark):
+    d = tempfile.mkdtemp(prefix="spark-")
+    for name, row in (("part", "explode(array(4, 7)) AS p_partkey"), ("orders", "6 AS o_orderkey, 79 AS o_custkey"), ("supplier", "1 AS s_suppkey")):
+        spark.sql(f"SELECT {row}").write.parquet(f"{d}/{name}.parquet")
+    got = sorted(map(tuple, QUERIES["intron_territory_whole"](spark, d).collect()))
+    assert got == [("chr3", 1710, 1809), ("chr3", 1830, 2329), ("chr5", 1430, 1929)]
+    assert tuple(QUERIES["intronic_counts_whole"](spark, d).first()) == (2, 2, 0)
