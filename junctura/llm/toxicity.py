@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field (operator 4).
 
 Training takes a bounded sample of labelled documents (SAMPLE_ROWS rows, half of them toxic, SAMPLE_BYTES of text, by
-hash of doc_id; near copies within it count once). Words and word beginnings that toxic documents hold and clean
-ones hardly ever do mark the tokens of toxic documents; on these tagged tokens the field is trained by the
+hash of doc_id; near copies within it that have one label count once). Words and word beginnings that toxic documents
+hold and clean ones hardly ever do, measured by the sizes of both classes, mark the tokens of toxic documents; on these tagged tokens the field is trained by the
 gradient of its likelihood. Forward-backward gives each token of a text the probability of being toxic;
 the largest and the sum of them give a document's score through a logistic curve fitted on the sample,
 and the tokens above one half its offending offsets.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,8 +29,10 @@ from junctura.llm.common import row_and_text
 SAMPLE_ROWS = 4_000  # half of them toxic, if there are so many
 SAMPLE_BYTES = 32 << 20
 CRF_ROWS = 1_200  # documents of the sample that the field is trained on, half of them toxic
-LEAST_TOXIC = 16  # documents of the sample that a marker is in
-MOST_CLEAN = 0.02  # clean documents for each toxic one that a marker may be in
+LEAST_SHARE = 0.008  # of the toxic documents of the sample hold a marker
+EVIDENCE = 1e-3  # chance at most that so many of a marker's holders are toxic
+MOST_CLEAN = 0.02  # share of clean documents with a marker for that of toxic ones, but for two standard deviations
+COPY = 4  # of six minimal hashes that near copies have in common
 FOLDS = 5
 BEGINNINGS = (3, 4, 5, 6)
 REMEMBERED = 120_000  # words whose scores a task remembers
@@ -146,34 +149,42 @@ def aggregate(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def without_copies(texts: list[str]) -> list[int]:
-    """Places of the texts that share none of six minimal hashes of three words with an earlier one."""
-    root = list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+def without_copies(texts: list[str], labels: list[int] | None = None) -> list[int]:
+    """Places of the texts that share fewer than COPY of six minimal hashes of three words with each kept one of their label."""
     mix = np.random.default_rng(11).integers(1, 1 << 31, (6, 2), dtype=np.int64)
-    holder: dict[tuple[int, int], int] = {}
+    holders: dict[tuple, list[int]] = {}
+    keep = []
     for i, t in enumerate(texts):
         h = np.array([zlib.crc32(w.encode()) for w in t.split()], np.int64)
         if len(h) >= 3:
             h = (h[:-2] * 31 + h[1:-1]) * 31 + h[2:] & 0x7FFFFFFF
-        if not len(h):
-            continue
-        for k, m in enumerate(((h[None] * mix[:, :1] + mix[:, 1:]) & 0x7FFFFFFF).min(1).tolist()):
-            j = holder.setdefault((k, m), i)
-            a, b = find(i), find(j)
-            root[max(a, b)] = min(a, b)
-    return [i for i in range(len(texts)) if find(i) == i]
+        if len(h):
+            label = labels[i] if labels else 0
+            lists = [holders.setdefault((label, k, m), []) for k, m in enumerate(((h[None] * mix[:, :1] + mix[:, 1:]) & 0x7FFFFFFF).min(1).tolist())]
+            if max(Counter(j for x in lists for j in x).values(), default=0) >= COPY:
+                continue
+            for x in lists:
+                x.append(i)
+        keep.append(i)
+    return keep
+
+
+def markers(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Which features mark toxicity, by the documents of each class that hold them, out of n_toxic and n_clean.
+
+    All bounds follow the sizes of the classes: a share of the toxic documents, holders that are more toxic than chance (by the
+    bound of Chernoff), and clean holders no more than MOST_CLEAN allows, with room for labels that are wrong.
+    """
+    n = np.maximum(toxic + clean, 1)
+    share, by_chance = toxic / n, n_toxic / (n_toxic + n_clean)
+    far = share * np.log(np.maximum(share, 1e-9) / by_chance) + (1 - share) * np.log(np.maximum(1 - share, 1e-9) / (1 - by_chance))
+    some = MOST_CLEAN * toxic * n_clean / n_toxic
+    return (toxic >= LEAST_SHARE * n_toxic) & (share > by_chance) & (n * far >= -np.log(EVIDENCE)) & (clean <= some + 2 * np.sqrt(some))
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 60) -> Tagger:
     """A tagger from whole texts and their labels. Without both classes it knows nothing but their share."""
-    keep = without_copies(texts)
+    keep = without_copies(texts, labels)
     texts, y = [texts[i] for i in keep], np.array([labels[i] for i in keep], int)
     share = (y.sum() + 1) / (len(y) + 4)
     unsure = Tagger(curve=np.array([np.log(share / (1 - share)), 0, 0, 0]))
@@ -191,7 +202,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 60) -> Tagger:
         if len(c):
             u = np.unique(c)
             docs_with[label, np.unique(np.concatenate([of[begin[k] : end[k]] for k in u]))] += 1
-    marks = (docs_with[1] >= LEAST_TOXIC) & (docs_with[0] <= MOST_CLEAN * docs_with[1])
+    marks = markers(docs_with[1], docs_with[0], int(y.sum()), int((1 - y).sum()))
     if not marks.any():
         return unsure
     rng = np.random.default_rng(5)

@@ -126,3 +126,23 @@ def test_held_out_accuracy(spark):
     data = "/root/testdata/sf0.01"
     got = QUERIES["op4_toxicity"](spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
     assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.9 * len(got)
+
+
+def test_markers_follow_the_size_of_the_classes():
+    kinds = np.array([[14, 0], [14, 1], [8, 0], [4, 0], [3, 30]])
+    got = toxicity.markers(kinds[:, 0], kinds[:, 1], 42, 228).tolist()
+    assert got == [True, True, True, True, False]
+    assert toxicity.markers(np.array([4, 1]), np.array([0, 0]), 10, 58).tolist() == [True, False]
+    assert toxicity.markers(np.array([15]), np.array([0]), 2000, 2000).tolist() == [False]
+
+
+def test_copies_are_within_a_label():
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    texts = [a, a, a, "wholly other words stand in this one text", "one two three and then nothing at all like the first text here"]
+    assert toxicity.without_copies(texts, [0, 1, 0, 0, 0]) == [0, 1, 3, 4]
+
+
+def test_toxicity_drops_toxic_documents_of_the_smallest_tables(spark):
+    data = "/root/testdata/sf0.001"
+    got = QUERIES["op4_toxicity"](spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("predicted = 1").collect()
+    assert got and sum(r["toxic"] or 0 for r in got) >= 0.8 * len(got)
