@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from junctura.llm.common import row_and_text
 
 SAMPLE_ROWS = 4_000  # half of them toxic, if there are so many
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 32 << 20  # half of them for each class; a text that does not fit is passed over
 CRF_ROWS = 1_200  # documents of the sample that the field is trained on, half of them toxic
 LEAST_SHARE = 0.008  # of the toxic documents of the sample hold a marker
 EVIDENCE = 1e-3  # chance at most that so many of a marker's holders are toxic
@@ -243,23 +243,51 @@ def train(texts: list[str], labels: list[int], rounds: int = 60) -> Tagger:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Tagger:
-    """Trains on a sample of the labelled documents outside the held-out fold; at most `rows` of them reach the driver.
+def that_fit(sizes: list[int], most: int) -> list[int]:
+    """Places of the texts taken in order, each unless it would pass `most` bytes with those before it."""
+    out, total = [], 0
+    for i, n in enumerate(sizes):
+        if total + n <= most:
+            out.append(i)
+            total += n
+    return out
 
-    Labels that are null are left out, as are documents without a label.
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int) -> list:
+    """_id, text and _toxic of at most `rows` documents outside the held-out fold, in the order of a hash; each class has half of the rows and bytes.
+
+    Of the rows with one doc_id one is taken, and a document with two labels is toxic. Sizes come first; only texts that fit reach the driver.
     """
+    order = F.xxhash64(F.lit(3), "_id")
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
-    first = lambda part: known.where(part).orderBy(F.xxhash64(F.lit(3), "_id"), "_id").limit(rows // 2)
+    known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
+    first = lambda part: known.where(part).orderBy(order, "_id").limit(rows // 2)
     wanted = first("_toxic = 1").union(first("_toxic = 0"))
-    found = docs.join(F.broadcast(wanted), docs["doc_id"] == wanted["_id"]).select(F.xxhash64(F.lit(3), "_id").alias("k"), "_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "_toxic")
-    texts, marks, size = [], [], 0
-    for r in sorted(found.collect(), key=lambda r: (r["k"], r["_id"], r["text"])):
-        size += len(r["text"].encode())
-        if size > most_bytes:
-            break
-        texts.append(r["text"])
-        marks.append(r["_toxic"])
-    return train(texts, marks)
+    source = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    key = F.struct(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"))
+    one = source.select("_id", key.alias("key")).join(F.broadcast(wanted), "_id").groupBy("_id", "_toxic").agg(F.min("key").alias("key"))
+    listed = sorted(one.select(order.alias("k"), "_id", "_toxic", "key.hash", "key.size").collect())
+    picked = []
+    for label in (0, 1):
+        of = [r for r in listed if r["_toxic"] == label]
+        picked += [of[i] for i in that_fit([r["size"] for r in of], most_bytes // 2)]
+    if not picked:
+        return []
+    spark = docs.sparkSession
+    kinds = T.StructType([T.StructField("_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL("_toxic int, hash long, size int").fields])
+    chosen = spark.createDataFrame([(r["_id"], r["_toxic"], r["hash"], r["size"]) for r in picked], kinds)
+    met = source.withColumns({"hash": F.xxhash64("text"), "size": F.octet_length("text")}).join(F.broadcast(chosen), ["_id", "hash", "size"])
+    texts = met.groupBy("_id", "_toxic").agg(F.min("text").alias("text"))
+    return sorted(texts.select(order.alias("k"), "_id", "text", "_toxic").collect())
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Tagger:
+    """Trains on a sample of the labelled documents outside the held-out fold; at most `rows` of them and `most_bytes` of text reach the driver.
+
+    Labels that are null are left out, as are documents without a label.
+    """
+    found = sample(docs, labels, rows, most_bytes)
+    return train([r["text"] for r in found], [r["_toxic"] for r in found])
 
 
 def score(docs: DataFrame, tagger: Tagger) -> DataFrame:

@@ -146,3 +146,15 @@ def test_toxicity_drops_toxic_documents_of_the_smallest_tables(spark):
     data = "/root/testdata/sf0.001"
     got = QUERIES["op4_toxicity"](spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("predicted = 1").collect()
     assert got and sum(r["toxic"] or 0 for r in got) >= 0.8 * len(got)
+
+
+def test_sample_is_bounded_before_texts_move(spark):
+    rows = [(i, f"{'bad' if i % 2 else 'good'} words of number {i}") for i in range(40)]
+    rows += [(i, "x" * 5000) for i in (41, 42, 43, 44)] + [(7, rows[7][1])] * 30 + [(8, f"another {k}") for k in range(30)]
+    labels = [(i, i % 2) for i in range(45)] + [(9, 1), (9, 0)]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    free = {r[0] for r in d.where(~toxicity.held_out(d["doc_id"])).select("doc_id").distinct().collect()}
+    got = toxicity.sample(d, lab, 4000, 4000)
+    assert sorted(r["_id"] for r in got) == sorted(i for i in free if i < 41) and sum(len(r["text"]) for r in got) <= 4000
+    assert all(r["_toxic"] == r["_id"] % 2 and (r["_id"], r["text"]) in rows for r in got)
+    assert toxicity.that_fit([5, 90, 4, 3], 10) == [0, 2] and toxicity.sample(d, lab, 4000, 1) == []
