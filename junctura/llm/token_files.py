@@ -49,14 +49,25 @@ class WordEncoder:
     where that is what the normaliser does (composed text that stays so, without a final sigma), and punctuation between a
     letter and a space is a piece of its own; so fewer words differ. Words of plain lower-case letters go to the
     same model without the normaliser and the pattern, which would leave them as they are.
+
+    With `added`, the strings of added tokens get their ids, as the library does by default: it takes them from the
+    raw text and works on what stands between them apart. Without it they are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added, self.parted = {}, None
+        if added:
+            tokens = self.tokenizer.get_added_tokens_decoder()
+            if any(x.normalized or x.lstrip or x.rstrip or x.single_word for x in tokens.values()):
+                raise ValueError("added tokens that take in more than their string")
+            self.added = {x.content: np.array([i], "<u4").tobytes() for i, x in tokens.items()}
+            if self.added:
+                self.parted = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
+        self.tokenizer.encode_special_tokens = True  # the words asked for hold no added token that counts
         bare = json.loads(self.tokenizer.to_str())
         bare["normalizer"] = None
         split = [x for x in bare["pre_tokenizer"]["pretokenizers"] if x["type"] != "Split"]
@@ -97,6 +108,15 @@ class WordEncoder:
                 put[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        if not self.parted or not any(a in t for t in texts for a in self.added):
+            yield from self._encode(texts)
+            return
+        parts = [self.parted(t) for t in texts]  # text, added token, text, ...
+        plain = self._encode([x for p in parts for x in p[::2]])
+        for p in parts:
+            yield b"".join(self.added[x] if k % 2 else next(plain) for k, x in enumerate(p))
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.young) > WORDS:
             self.old, self.young = self.young, {}
         words = [self.words(t) for t in texts]
@@ -112,7 +132,7 @@ class WordEncoder:
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> WordEncoder:
     """One for each worker process; what it remembers serves the next task too."""
-    return WordEncoder(path)
+    return WordEncoder(path, added=True)
 
 
 def write_file(out, docs: Iterator[tuple[int | None, bytes]]) -> tuple[int, int]:

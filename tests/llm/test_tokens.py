@@ -105,3 +105,16 @@ def test_packing_is_best_fit_and_keeps_conflicts_apart(spark):
     got = packing.pack(items, 100).collect()
     assert sorted((r["doc_id"] or 0, r["piece"], r["n_tokens"]) for r in got) == [(0, 0, 0), (1, 0, 100), (1, 1, 100), (1, 2, 50), (2, 0, 40), (2, 0, 40), (3, 0, 50), (4, 0, 0)]
     assert packing.pack(items.limit(0), 100).count() == 0
+
+
+def test_added_tokens_get_their_ids_as_in_the_library_itself(spark):
+    t, own, rng = Tokenizer.from_file(WORD_BPE), token_files.encoder_of(WORD_BPE), random.Random(9)
+    signs = [*"abΣςé\u0301 \n.<|>'", "don't ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "</w>"]
+    texts = TEXTS + ["end here <|endoftext|> next page"] + ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(3000)]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+    docs = spark.createDataFrame([(i, "s", x) for i, x in enumerate(texts[:12])], "doc_id long, source string, text string")
+    files = token_files.write(docs, "file://" + tempfile.mkdtemp(prefix="spark-"), WORD_BPE)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_files.read(files).collect()}
+    assert got == {i: x + [1] for i, x in enumerate(want[:12])}
+    assert {r["doc_id"]: r["n_tokens"] for r in packing.measured(docs, WORD_BPE).collect()} == {i: len(x) + 1 if texts[i] else 0 for i, x in enumerate(want[:12])}
