@@ -158,3 +158,12 @@ def test_sample_is_bounded_before_texts_move(spark):
     assert sorted(r["_id"] for r in got) == sorted(i for i in free if i < 41) and sum(len(r["text"]) for r in got) <= 4000
     assert all(r["_toxic"] == r["_id"] % 2 and (r["_id"], r["text"]) in rows for r in got)
     assert toxicity.that_fit([5, 90, 4, 3], 10) == [0, 2] and toxicity.sample(d, lab, 4000, 1) == []
+
+
+def test_links_take_no_text_from_an_article():
+    items = [f"Source {k}" for k in range(9)]
+    page = "<nav>menu</nav><article><p>Text.</p><ul>" + "".join(f'<li><a href="/{x}">{x}</a></li>' for x in items) + "</ul></article>"
+    assert html_text.main_text(page).split("\n\n") == ["Text.", *items]
+    assert html_text.main_text("<article><p><a href='/'>Only a link</a></p></article>") == "Only a link"
+    texts = [f"Paragraph {k} of the text." for k in range(9)]
+    assert html_text.main_text("<div><p><a href='/'>open" + "".join(f"<p>{x}</p>" for x in texts) + "</div>").split("\n\n")[-8:] == texts[1:]
