@@ -14,7 +14,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+    found = suffix_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False, spans=False)
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
