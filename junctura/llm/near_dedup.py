@@ -10,7 +10,10 @@ values are its sketch. Documents with equal sets are one class, and classes are
    two of its blocks meet in one task, which counts the overlaps by inverted lists of the full sets' values and
    returns only as many links as connect what is connected there. A group of thousands of near copies so is many small tasks.
 
-   Pairs whose sketches do not share what the sketch of their union must are passed over; the others are judged on full sets.
+   Of each pair whose sketches share enough, the sketch of the union is formed; the share of its values that both hold estimates
+   the similarity. Pairs that it places too low to be near (again but for about 1e-7) are passed over, the others judged on full sets.
+
+A set is known by 128 bits of its hashes; classes have numbers of their own, so no two classes are taken for one.
 Lists, groups and components are joins and partial aggregates; no group is gathered in one task.
 """
 
@@ -32,9 +35,11 @@ K = 40
 NEED = 15  # values that a pair at PERCENT shares in the sketch of its union
 BLOCK = 384  # classes of a group in one block
 COLUMNS = 8192  # values whose overlaps are counted at a time
-SMALL = 1_000_000  # classes whose ids may be broadcast (8 MB)
+SMALL = 1_000_000  # ids that may be broadcast (8 MB, or 24 MB of keys of rows)
+PAIRS = 8192  # pairs whose union sketches are formed at a time
 REMEMBERED = 150_000  # words whose hashes a task remembers
 _TOP = np.uint64(1 << 63)  # so that signed order is that of the hashes
+_FILL = np.uint64((1 << 64) - 1)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -76,13 +81,19 @@ def _each(of, names):
 
 
 def _sketch_columns(sets: list[np.ndarray]) -> list[pa.Array]:
-    return [pa.array([len(s) for s in sets], pa.int64()), pa.array([_cid(s) for s in sets], pa.int64()), pa.array([(s[:K] ^ _TOP).view(np.int64) for s in sets], pa.list_(pa.int64()))]
+    return [pa.array([len(s) for s in sets], pa.int64()), *_keys(sets), pa.array([(s[:K] ^ _TOP).view(np.int64) for s in sets], pa.list_(pa.int64()))]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cid (one for each distinct set, null for the empty one) and sketch, a row for each of docs."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_each(_sketch_columns, ["doc_id", "n_shingles", "cid", "sketch"]), "doc_id long, n_shingles long, cid long, sketch array<bigint>")
+    """doc_id, t1 and t2 (of the text), n_shingles, k1 and k2 (of the set, null for the empty one) and sketch, a row for each of docs."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *_text_key(text)).alias("id"), text.alias("text"))
+    made = source.mapInArrow(_each(_sketch_columns, ["id", "n_shingles", "k1", "k2", "sketch"]), "id struct<doc_id:bigint,t1:bigint,t2:bigint>, n_shingles long, k1 long, k2 long, sketch array<bigint>")
+    return made.select("id.*", "n_shingles", "k1", "k2", "sketch")
+
+
+def _text_key(text: F.Column) -> list[F.Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
 def lists(classes: DataFrame) -> DataFrame:
@@ -106,11 +117,12 @@ def full_sets(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
     """cid and s (the sorted hashes of its full set, 8 bytes each) of the classes in members, from the whole text of one document each."""
     few = members.count() < SMALL
     dealt = lambda x: F.broadcast(x) if few else x
-    reps = classes.join(dealt(members.select("cid")), "cid", "left_semi").select("cid", F.col("holder").alias("doc_id"))
+    reps = classes.join(dealt(members.select("cid")), "cid", "left_semi").select(F.struct("cid", "k1", "k2").alias("id"), F.col("holder").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(dealt(reps), texts["doc_id"].eqNullSafe(reps["doc_id"])).select("cid", "text")
-    full = texts.mapInArrow(_each(lambda sets: [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_cid(s) for s in sets], pa.int64())], ["cid", "s", "own"]), "cid long, s binary, own long")
-    return checkpoint(full.where("own = cid").dropDuplicates(["cid"]).select("cid", "s"))  # another text may have the same doc_id
+    texts = texts.join(dealt(reps), texts["doc_id"].eqNullSafe(reps["doc_id"])).select("id", "text")
+    full = texts.mapInArrow(_each(lambda sets: [pa.array([s.tobytes() for s in sets], pa.binary()), *_keys(sets)], ["id", "s", "own1", "own2"]), "id struct<cid:bigint,k1:bigint,k2:bigint>, s binary, own1 long, own2 long")
+    full = full.where("own1 = id.k1 and own2 = id.k2").select("id.cid", "s")  # another text may have the same doc_id
+    return checkpoint(full.dropDuplicates(["cid"]))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -136,14 +148,36 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
     return out
 
 
-def _likely(left, right, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
-    """Pairs whose sketches share what the sketch of the union of a near pair must: NEED values, or of small sets their part of PERCENT."""
+def union_estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of two sketches (sorted, filled up with the largest value) the size of their union's sketch and how many of its values both hold."""
+    both = np.sort(np.concatenate([a, b], 1), axis=1)
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = both[:, 1:] == both[:, :-1]
+    real = both != _FILL
+    rank = np.cumsum(~again & real, 1)  # of each value in the union
+    return np.minimum(rank[:, -1], K), np.count_nonzero(again & real & (rank <= K), 1)
+
+
+def _likely(left: list[np.ndarray], right: list[np.ndarray] | None, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """Pairs whose sketches and whose union sketch do not rule out that they are near: NEED values in common of a full sketch, else their part of PERCENT."""
     least = np.minimum(n_left[:, None], n_right[None])
     need = np.where(100 * NEED <= PERCENT * least, NEED, np.ceil(least * PERCENT / 100))
-    fit = 100 * least >= PERCENT * np.maximum(n_left[:, None], n_right[None])
-    out = fit & (overlaps(left, right) >= need)
+    out = (100 * least >= PERCENT * np.maximum(n_left[:, None], n_right[None])) & (overlaps(left, right) >= need)
     if right is None:
-        np.fill_diagonal(out, False)
+        out &= np.tri(*out.shape, -1, bool)
+    x, y = _filled(left), _filled(right) if right is not None else _filled(left)
+    i, j = np.nonzero(out)
+    for lo in range(0, len(i), PAIRS):
+        a, b = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+        size, shared = union_estimate(x[a], y[b])
+        out[a, b] = np.where(size < K, 100 * shared >= PERCENT * size, shared >= NEED)  # below K the union is known in full
+    return out | out.T if right is None else out
+
+
+def _filled(sketches_: list[np.ndarray]) -> np.ndarray:
+    out = np.full((len(sketches_), K), _FILL)
+    for row, s in zip(out, sketches_):
+        row[: len(s)] = s
     return out
 
 
@@ -182,8 +216,11 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": cid[a], "b": cid[b]})
 
 
-def _cid(s: np.ndarray) -> int | None:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
+def _keys(sets: list[np.ndarray]) -> list[pa.Array]:
+    """128 bits that tell a set from all others, in two columns; null for the empty set."""
+    whole = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None for s in sets]
+    half = lambda x, shift: None if x is None else (x >> shift & (1 << 64) - 1) - (1 << 63)
+    return [pa.array([half(x, shift) for x in whole], pa.int64()) for shift in (64, 0)]
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -192,16 +229,20 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node of its component) by alternating stars; a node without an edge has no row."""
+    """node, label (the smallest node of its component) by alternating stars; a node without an edge has no row.
+
+    The smallest neighbours are dealt anew before each join, so that the edges of a large star are a shuffled side of their own,
+    which adaptive execution splits.
+    """
     e = checkpoint(_ordered(edges))
     seen = None
     while True:
         both = e.union(e.select("b", "a"))  # large star: larger neighbours move to the smallest neighbour
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("a")
         star = _ordered(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         down = star.select(F.col("b").alias("u"), F.col("a").alias("v"))  # small star: u > v
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        e = checkpoint(_ordered(down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))))
+        e = checkpoint(_ordered(down.join(least.repartition("u"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
         if now == seen:
             return e.select(F.col("b").alias("node"), F.col("a").alias("label")).union(e.select("a", "a").distinct())
@@ -220,24 +261,44 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return checkpoint(met.join(full_sets(members, classes, docs), "cid").groupBy("gid", "x", "y").applyInArrow(_block_links, "a long, b long"))
 
 
+def _judged(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2, n_shingles, component_id and kept, for each row of docs."""
+    rows = checkpoint(sketches(docs.select("doc_id", "text")))
+    found = rows.where("k1 is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("holder"), F.first("sketch").alias("sketch"))
+    classes = checkpoint(found.withColumn("cid", F.monotonically_increasing_id()))  # numbers hold from here on, as the rows are written
+    named = components(links(classes, docs.select("doc_id", "text")))
+    held = classes.select("cid", "k1", "k2", "holder").join(named, classes["cid"] == named["node"], "left").select("k1", "k2", "holder", F.coalesce("label", "cid").alias("label"))
+    least = held.groupBy("label").agg(F.min("holder").alias("least"))
+    ids = checkpoint(held.join(least, "label").select("k1", "k2", "least"))
+    out = rows.drop("sketch").join(ids, ["k1", "k2"], "left")
+    component = F.when(F.col("k1").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return out.select("doc_id", "t1", "t2", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
 def components_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, for each row of docs.
 
     A text without words has an empty set and is linked with nothing: it is its own component. A null doc_id counts after all
     others; if a component has no other, its id is null. Rows that repeat a doc_id are judged each by their text.
     """
-    rows = checkpoint(sketches(docs.select("doc_id", "text")))
-    classes = checkpoint(rows.where("cid is not null").groupBy("cid", "n_shingles").agg(F.min("doc_id").alias("holder"), F.first("sketch").alias("sketch")))
-    named = components(links(classes, docs.select("doc_id", "text")))
-    held = classes.select("cid", "holder").join(named, classes["cid"] == named["node"], "left").select("cid", "holder", F.coalesce("label", "cid").alias("label"))
-    least = held.groupBy("label").agg(F.min("holder").alias("least"))
-    ids = checkpoint(held.join(least, "label").select("cid", "least"))
-    out = rows.select("doc_id", "n_shingles", "cid").join(ids, "cid", "left")
-    component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return _judged(docs).drop("t1", "t2")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The kept documents, in the columns of docs. Rows that repeat a kept doc_id and its text stay once."""
-    kept = components_of(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The kept documents, in the columns of docs. Rows are judged by doc_id and text; of rows that repeat both one stays, a null text counts as empty.
+
+    Only the keys of rows that go, or that stand more than once, move; texts are not shuffled as long as these are few.
+    """
+    key = ["doc_id", "t1", "t2"]
+    # a row is told by its doc_id and 128 bits of its text; rows with equal keys are all kept or all not
+    told = checkpoint(_judged(docs).groupBy(*key).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    few = told.count() < SMALL
+    near = lambda x: F.broadcast(x) if few else x
+    again = told.where("kept")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), *_text_key(text))
+    met = lambda x: [named[c].eqNullSafe(x[c]) for c in key]
+    kept = named.join(near(told), met(told), "left_anti")
+    if not again.isEmpty():
+        kept = kept.union(named.join(near(again), met(again), "left_semi").dropDuplicates(key))
+    return kept.select("row.*")

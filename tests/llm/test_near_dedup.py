@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from junctura.llm import near_dedup as N
 
@@ -70,3 +71,26 @@ def test_empty_and_clashing_columns(spark):
     assert N.components_of(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a b c d e f", 7, "x", 1), (2, "a b c d e f", 8, "y", 2), (1, "a b c d e f", 7, "x", 1)], "doc_id long, text string, cid int, label string, component_id int")
     assert [tuple(r) for r in N.dedup(df).collect()] == [(1, "a b c d e f", 7, "x", 1)]
+    rows = [(0, "a b c d e f"), (1, "a b c d e f"), (1, "other words stand in this text"), (1, "other words stand in this text"), (2, None), (2, ""), (3, None), (None, "a b c d e f")]
+    for repeated in (rows, rows[:3]):
+        got = N.dedup(spark.createDataFrame(repeated, "doc_id long, text string")).collect()
+        want = {(0, "a b c d e f"), (1, "other words stand in this text")} | ({(2, ""), (3, "")} if len(repeated) > 3 else set())
+        assert len(got) == len(want) and {(d, t or "") for d, t in got} == want
+    assert N.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_union_sketch_estimates_similarity():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
+    for same, each in ((0, 5), (10, 4), (150, 25), (60, 60), (200, 0), (3, 2)):
+        a, b = np.unique(pool[: same + each]), np.unique(np.r_[pool[:same], pool[same + each : same + 2 * each]])
+        union = np.unique(np.r_[a, b])[: N.K]
+        size, shared = N.union_estimate(N._filled([a[: N.K]]), N._filled([b[: N.K]]))
+        assert (size[0], shared[0]) == (len(union), len(set(union.tolist()) & set(a.tolist()) & set(b.tolist())))
+
+
+def test_hot_star(spark):
+    """One text near very many others, whose numbers all meet in it."""
+    edges = spark.range(1, 3000).selectExpr("id AS a", "CAST(0 AS LONG) AS b").union(spark.createDataFrame([(5000, 5001), (5001, 5002), (2999, 7000)], "a long, b long"))
+    got = dict(map(tuple, N.components(edges).collect()))
+    assert len(got) == 3004 and got[7000] == 0 and got[5002] == 5000 and sum(v == 0 for v in got.values()) == 3001
