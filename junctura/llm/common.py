@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+LOT = 1024  # rows summed up together in `before`
+
+#: Empties what an operator remembers in a worker process beyond a task.
+FORGET: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Gives back what earlier tasks, of other operators too, left in this worker process.
+
+    Spark reuses worker processes, and all memory they hold counts against their executor.
+    """
+    for clear in FORGET:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,13 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach, as a URI without a trailing slash.
 
-    It is what the cluster names in spark.checkpoint.dir. Where that is unset (tests on
-    one machine), a new local folder is taken and set.
+    It is what the cluster names in spark.checkpoint.dir. Where that is unset and Spark runs in one process (tests on
+    one machine), a new local folder is taken and set; on a cluster it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return (found if re.match(r"\w+:", found) else f"file://{found}").rstrip("/")
@@ -55,3 +81,16 @@ def row_and_text(docs: DataFrame) -> DataFrame:
     """Two columns: row, a struct of all columns but text, so that no name can clash, and text."""
     rest = [docs[c] for c in docs.columns if c != "text"]
     return docs.select(F.struct(*rest).alias("row") if rest else F.struct(F.lit(None).cast("string").alias("none")).alias("row"), docs["text"].cast("string").alias("text"))
+
+
+def before(counts: DataFrame, by: list[str], order: Column, lot: Column) -> DataFrame:
+    """counts with `before`, the sum of `here` over the rows of `by` that stand before in `order`.
+
+    lot does not fall where order rises; windows run within a lot and over the lots, so neither sees all rows.
+    """
+    x = counts.withColumn("_lot", lot)
+    lots = x.groupBy(*by, "_lot").agg(F.sum("here").alias("_all"))
+    w = lambda on, by_: Window.partitionBy(*on).orderBy(by_).rowsBetween(Window.unboundedPreceding, -1)
+    lots = lots.select(*by, "_lot", F.coalesce(F.sum("_all").over(w(by, F.col("_lot"))), F.lit(0)).alias("_first"))
+    inner = x.withColumn("_inner", F.coalesce(F.sum("here").over(w([*by, "_lot"], order)), F.lit(0)))
+    return inner.join(lots, [*by, "_lot"]).withColumn("before", F.col("_first") + F.col("_inner")).drop("_lot", "_first", "_inner")

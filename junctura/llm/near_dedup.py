@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from junctura.llm.common import checkpoint
+from junctura.llm.common import checkpoint, forget
 
 WIDTH = 5
 PERCENT = 75
@@ -68,6 +68,7 @@ def shingle_set(text: str | None, words: dict | None = None) -> np.ndarray:
 
 def _each(of, names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         words = _Words()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):

@@ -1,6 +1,6 @@
 """Token ids in binary files (operator 3).
 
-Documents are dealt by ranges of doc_id; each range becomes one file in ascending order. A file holds one
+Documents are dealt by ranges of doc_id; each range becomes one or more files in ascending order. A file holds one
 independent zstandard frame for each document (little-endian unsigned 32-bit ids, end id included), then a
 skippable frame with the doc_ids, then the seek table of the seekable format: sizes and checksum of every
 frame. A reader takes the seek table from the end of the file and decompresses only what is asked for.
@@ -26,13 +26,14 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm.common import fresh_path, pieces, text_bytes
+from junctura.llm.common import FORGET, LOT, before, fresh_path, pieces, text_bytes
 
 SEEK_MAGIC, SKIP_MAGIC, IDS_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 FILE_BYTES = 24 << 20  # of text for each file
+RANGES = 20_000  # of doc_id at most, one task each; a task writes as many files as its range fills
 CHUNK = 8 << 20  # characters whose words are looked up together
 PART = 1 << 26  # ids in one frame at most; a longer document takes several frames
 WORDS = 300_000  # words in each of the two generations that a worker remembers
@@ -135,6 +136,9 @@ def encoder_of(path: str) -> WordEncoder:
     return WordEncoder(path, added=True)
 
 
+FORGET.append(encoder_of.cache_clear)
+
+
 def write_file(out, docs: Iterator[tuple[int | None, bytes]]) -> tuple[int, int]:
     """Writes the frames and tables of one file; returns its documents and ids."""
     press = zstandard.ZstdCompressor(level=3)
@@ -193,11 +197,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> Data
     """Writes the ids of all texts under folder (a URI that all executors reach); returns the manifest.
 
     A null text counts as empty and has the end id alone. A null doc_id comes before all others. Rows with the
-    same doc_id follow each other by their text. An empty table has an empty manifest.
+    same doc_id follow each other in either order. Other columns of docs are left out. An empty table has an empty manifest.
     """
-    spark = docs.sparkSession
-    n = pieces(text_bytes(docs), FILE_BYTES, 1)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    spark, most = docs.sparkSession, FILE_BYTES
+    n = min(pieces(text_bytes(docs), most, 1), RANGES)
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     dealt = source.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,38 +209,47 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> Data
 
         encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
         fs, path = pafs.FileSystem.from_uri(folder)
-        name = f"{uuid.uuid4().hex}.ids"
-        seen = []
 
         def each():
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                seen.extend([ids[0], ids[-1]] if ids else [])
-                k = 0
-                for part in chunks(batch.column(1).to_pylist(), CHUNK):
+                ids, texts, k = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
+                for part in chunks(texts, CHUNK):
                     for data in encoder.encode(part):
-                        yield ids[k], data + end
+                        yield ids[k], data + end, len(texts[k])
                         k += 1
 
-        stream = each()
-        first = next(stream, None)
-        if first is None:
-            return
-        fs.create_dir(path, recursive=True)
-        with fs.open_output_stream(f"{path}/{name}") as out:
-            n_docs, n_ids = write_file(out, (x for s in ([first], stream) for x in s))
-        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], ["file", "n_docs", "n_ids"])
-
-    listed = dealt.select("*").mapInArrow(run, "file string, n_docs long, n_ids long").withColumn("part", F.spark_partition_id())
+        stream, seq = each(), 0
+        while (first := next(stream, None)) is not None:
+            name, seen, left = f"{uuid.uuid4().hex}.ids", [], most
+
+            def one_file(item=first):
+                nonlocal left
+                while item is not None:
+                    seen.append(item[0])
+                    yield item[:2]
+                    left -= item[2]
+                    item = next(stream, None) if left > 0 else None
+
+            fs.create_dir(path, recursive=True)
+            with fs.open_output_stream(f"{path}/{name}") as out:
+                n_docs, n_ids = write_file(out, one_file())
+            known = [x for x in seen if x is not None]
+            row = {"seq": seq, "file": f"{folder}/{name}", "n_docs": n_docs, "n_ids": n_ids, "first_doc": min(known, default=None), "last_doc": max(known, default=None)}
+            yield pa.RecordBatch.from_pylist([row], LISTED)
+            seq += 1
+
+    listed = dealt.select("*").mapInArrow(run, "seq long, file string, n_docs long, n_ids long, first_doc long, last_doc long").withColumn("part", F.spark_partition_id())
     listed.write.parquet(f"{folder}/manifest")
     return manifest(spark, folder)
 
 
+LISTED = pa.schema([("seq", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64())])
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each file: part (its place), file, n_docs, n_ids and start (ids in the files before it)."""
-    listed = spark.read.parquet(f"{folder}/manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return listed.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    """A row for each file: part and seq (its place), file, n_docs, n_ids, first_doc and last_doc (the least and largest doc_id) and start (ids in the files before it)."""
+    listed = spark.read.parquet(f"{folder}/manifest").withColumn("here", F.col("n_ids"))
+    return before(listed, [], F.struct("part", "seq"), F.expr(f"part div {LOT}")).drop("here").withColumnRenamed("before", "start")
 
 
 def _dealt(files: DataFrame) -> DataFrame:
@@ -254,8 +267,10 @@ def digests(files: DataFrame) -> DataFrame:
 
 
 def read_documents(files: DataFrame, doc_ids: list[int]) -> DataFrame:
-    """doc_id and ids of the asked documents; only their frames are read and decompressed."""
+    """doc_id and ids of the asked documents; only files that can hold them are opened, only their frames read and decompressed."""
     wanted = set(doc_ids)
+    asked = F.array(*[F.lit(x).cast("long") for x in sorted(wanted)])
+    files = files.where(F.exists(asked, lambda x: x.between(F.col("first_doc"), F.col("last_doc"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from junctura.llm.common import row_and_text
+from junctura.llm.common import forget, row_and_text
 
 SAMPLE_ROWS = 4_000  # half of them toxic, if there are so many
 SAMPLE_BYTES = 32 << 20  # half of them for each class; a text that does not fit is passed over
@@ -307,6 +307,7 @@ def _with(docs: DataFrame, tagger: Tagger, ddl: str, of) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from junctura.llm.bpe import chunks
 
+        forget()
         for batch in batches:
             parts = [of(tagger, part) for part in chunks([t or "" for t in batch.column(1).to_pylist()], 2 << 20)]
             if parts:

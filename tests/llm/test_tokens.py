@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from junctura.llm import bpe, packing, token_files
-from junctura.llm.queries import BYTE_BPE, WORD_BPE
+from junctura.llm.queries import BYTE_BPE, QUERIES, WORD_BPE
 from tokenizers import Tokenizer
 
 TEXTS = ["", "don't stop, it's 12345!", "a" * 70, "=" * 900, " \n\n  x\t\r\n", "日本語とÄ̈é ŽŠ. ΣΑΣ'S", "x,. y., <|endoftext|> 😀😃", "word " * 400, "\x1c \x85   z"]
@@ -58,7 +58,7 @@ def test_word_encoder_on_random_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
-def test_token_files(spark):
+def test_token_files(spark, monkeypatch):
     rows = [(7, "b c"), (3, None), (5, ""), (None, "n"), (5, "a"), (9, TEXTS[5]), (11, "long text " * 3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     folder = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -71,6 +71,15 @@ def test_token_files(spark):
         start += len(ids)
     assert sorted([tuple(r) for r in token_files.digests(files).collect()], key=lambda r: r[1]) == want
     assert {r["doc_id"] for r in token_files.read_documents(files, [7, 9]).collect()} == {7, 9}
+    monkeypatch.setattr(token_files, "FILE_BYTES", 400)
+    monkeypatch.setattr(token_files, "RANGES", 3)  # a task now writes several files
+    many = [(i, "x y " * (i % 50), 1, "f", None) for i in range(200)]
+    files = token_files.write(spark.createDataFrame(many, "doc_id long, text string, n_docs int, file string, source string"), folder + "m", WORD_BPE).cache()
+    found = files.orderBy("start").collect()
+    assert len(found) > 20 and {r["part"] for r in found} == {0, 1, 2} and all(a["last_doc"] < b["first_doc"] for a, b in zip(found, found[1:]))
+    got = sorted(map(tuple, token_files.digests(files).collect()))
+    assert [r[0] for r in got] == list(range(200)) and all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+    assert {r["doc_id"] for r in token_files.read_documents(files, [3, 150, 999]).collect()} == {3, 150}
     empty = token_files.write(docs.limit(0), folder + "x", WORD_BPE)
     assert token_files.digests(empty).count() == 0
 
@@ -118,3 +127,23 @@ def test_added_tokens_get_their_ids_as_in_the_library_itself(spark):
     got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_files.read(files).collect()}
     assert got == {i: x + [1] for i, x in enumerate(want[:12])}
     assert {r["doc_id"]: r["n_tokens"] for r in packing.measured(docs, WORD_BPE).collect()} == {i: len(x) + 1 if texts[i] else 0 for i, x in enumerate(want[:12])}
+
+
+def test_packing_query_against_the_library(spark):
+    """Lengths as the library counts them; no sequence over its capacity, none with two documents of one source or text."""
+    data, t = "/root/testdata/sf0.001", Tokenizer.from_file(WORD_BPE)
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    want = {d: len(t.encode(r["text"], add_special_tokens=False).ids) + 1 if r["text"] else 0 for d, r in docs.items()}
+    got, bins, total = QUERIES["op10_packing"](spark, data).collect(), {}, {}
+    for r in got:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["n_tokens"]
+        if r["bin"] >= 0:
+            bins.setdefault((r["pack_group"], r["bin"]), []).append(r)
+    assert total == want
+    for rows in bins.values():
+        of = [docs[r["doc_id"]] for r in rows]
+        assert sum(r["n_tokens"] for r in rows) == packing.CAPACITY - rows[0]["residual"] and {r["residual"] for r in rows} == {rows[0]["residual"]}
+        assert len({x["text"] for x in of}) == len(of) == len({x["source"] for x in of}) and sorted(r["place"] for r in rows) == list(range(len(rows)))
+    rows = [(1, None, None), (2, "a", ""), (None, "b", "one two"), (None, "b", "one two"), (5, "c", "word " * 9000)]
+    few = packing.measured(spark.createDataFrame(rows, "doc_id long, source string, text string"), WORD_BPE)
+    assert sorted(r["n_tokens"] for r in few.collect()) == [0, 0, 3, 3, 9001] and packing.pack(few).where("doc_id = 5").count() == 5
