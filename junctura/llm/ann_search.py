@@ -2,10 +2,14 @@
 
 Vectors are scaled by the largest norm and get one more component that makes them unit vectors, so the
 largest inner product is the smallest Euclidean distance. In each of TABLES tables, HASHES normal projections,
-shifted and cut into cells of WIDTH, name a bucket. A query visits the PROBES buckets of a table in the order of their
-estimated success, the sum of squared distances from the query's projections to the bucket's cells. What the tables hold is merged
+shifted and cut into cells of WIDTH, name a bucket. A query estimates the success of a bucket by the sum of squared distances from its
+projections to the bucket's cells and visits buckets in that order, up to a reach that all queries share and on until as many rows
+as are asked for are found. What the tables hold is merged
 and ranked by the exact inner product of the original vectors.
 
+The reach is fitted on a sample of at most SAMPLE vectors, chosen by a hash of the id and brought to the driver: among them the
+distances to the nearest ones of so many queries tell how far FOUND of the neighbours in all rows lie. Every row is indexed.
+
 Tables are built for blocks of candidates, dealt by a hash of the id: a very frequent vector, whose
 bucket would hold a third of all rows, is spread over all blocks.
 """
@@ -16,10 +20,13 @@ from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from junctura.llm.vectors import best_of, by_blocks, dense, shape, usable
+from junctura.llm.vectors import best_of, by_blocks, dense, inner, shape, usable
 
-TABLES, HASHES, WIDTH, PROBES = 4, 10, 2.5, 220
+TABLES, HASHES, WIDTH = 3, 16, 1.0
+FOUND = 0.93  # of the neighbours in the sample lie within the reach
+SAMPLE, ASKED = 4096, 256  # vectors of the sample, and queries among them
 BLOCK_ROWS, QUERY_ROWS = 16_384, 8_192
 
 
@@ -42,19 +49,28 @@ class Table:
         self.rows = np.argsort(inverse.ravel(), kind="stable")
         self.start = np.cumsum(self.count) - self.count
 
-    def visit(self, queries: np.ndarray, probes: int) -> np.ndarray:
-        """For each query the occupied buckets to visit, best estimated success first."""
-        at = queries @ self.project + self.shift
-        cost = np.zeros((len(at), len(self.cells)))
+    def costs(self, queries: np.ndarray) -> np.ndarray:
+        """For each query and occupied bucket the sum of squared distances to its cells; the least is likeliest to hold a neighbour."""
+        at = (queries @ self.project + self.shift).astype(np.float32)
+        cells = self.cells.astype(np.float32)
+        cost = np.zeros((len(at), len(cells)), np.float32)
         for j in range(at.shape[1]):
-            away = np.maximum(self.cells[:, j] - at[:, j : j + 1], at[:, j : j + 1] - (self.cells[:, j] + 1))
+            away = cells[:, j] - at[:, j : j + 1]
+            away = np.maximum(away, -1 - away)
             np.maximum(away, 0, out=away)
             cost += away * away
-        if cost.shape[1] > probes:
-            near = np.argpartition(cost, probes - 1, axis=1)[:, :probes]
-        else:
-            near = np.tile(np.arange(cost.shape[1]), (len(at), 1))
-        return np.take_along_axis(near, np.argsort(np.take_along_axis(cost, near, 1), axis=1, kind="stable"), 1)
+        return cost
+
+    def visit(self, queries: np.ndarray, reach: float, least: int) -> list[np.ndarray]:
+        """For each query the occupied buckets, best estimated success first, within reach and on until they hold `least` rows."""
+        out = []
+        for c in self.costs(queries):
+            near = np.flatnonzero(c <= reach)
+            if self.count[near].sum() < least:
+                order = np.argsort(c, kind="stable")
+                near = order[: np.searchsorted(np.cumsum(self.count[order]), least) + 1]
+            out.append(near[np.argsort(c[near], kind="stable")])
+        return out
 
     def of(self, buckets: np.ndarray) -> np.ndarray:
         n = self.count[buckets]
@@ -62,30 +78,61 @@ class Table:
         return self.rows[np.arange(end[-1]) + np.repeat(self.start[buckets] - (end - n), n)]
 
 
-def _search(ids, rows, query_ids, queries, d, norm, k, tables, hashes, width, probes):
+def fitted_reach(x: np.ndarray, n: int, norm: float, k: int, tables: int, hashes: int, width: float) -> float:
+    """The reach within which, in one table at least, FOUND of the k nearest of n vectors lie, by the sample x."""
+    x = np.random.default_rng(3).permutation(np.unique(x, axis=0))  # copies of a vector say nothing of the reach
+    if len(x) < 2:
+        return np.inf
+    q = x[:ASKED]
+    score = q @ x.T
+    np.fill_diagonal(score, -np.inf)
+    rank = min(len(x) - 1, -(-k * len(x) // n) + (3 if n > len(x) else 0))  # where the k nearest of all rows stand among the sample
+    near = np.argpartition(-score, rank - 1, axis=1)[:, :rank]
+    least = np.full(near.shape, np.inf)
+    for t in range(tables):
+        table = Table(unit(x, norm, False), t, hashes, width)
+        bucket = np.empty(len(x), np.int64)
+        bucket[table.rows] = np.repeat(np.arange(len(table.count)), table.count)
+        least = np.minimum(least, np.take_along_axis(table.costs(unit(q, norm, True)), bucket[near], 1))
+    return float(np.quantile(least, FOUND))
+
+
+def _search(ids, rows, queries, query_ids, d, norm, k, tables, hashes, width, reach):
     x, q = dense(rows, d), dense(queries, d)
     made = [Table(unit(x, norm, False), t, hashes, width) for t in range(tables)]
     for lo in range(0, len(q), 64):
         part = unit(q[lo : lo + 64], norm, True)
-        visits = [t.visit(part, probes) for t in made]
+        visits = [t.visit(part, reach, k + 1) for t in made]
         for i in range(len(part)):
             seen = np.zeros(len(ids), bool)
             for t, v in zip(made, visits):
                 seen[t.of(v[i])] = True
             at = np.flatnonzero(seen & (ids != query_ids[lo + i]))
-            score = x[at] @ q[lo + i]
+            one = q[lo + i]
+            rough = x[at] @ one
+            if len(at) > k:  # the exact order is found among those that rounding leaves in question
+                least = np.partition(rough, len(rough) - k)[len(rough) - k]
+                at = at[rough >= least - 1e-13 * d * norm * np.abs(one).sum()]
+            score = inner(x[at], one)
             top = best_of(score, ids[at], k)
-            yield query_ids[lo + i], ids[at][top], score[top]
+            yield lo + i, ids[at][top], score[top]
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for every row whose vec_id is divisible by `every`.
 
     Candidates are all rows but those with the query's vec_id. Rows that are null, zero, or hold a null or
     non-finite component take no part; shorter vectors count as ending in zeros. A vec_id that is repeated is a candidate once for each row,
-    and a query once for each row too. An empty table gives an empty result.
+    and a query once for each row too, with ranks of its own. Equal vectors have equal scores, their ties go to the smaller vec_id. Columns but
+    vec_id and embedding are not looked at. An empty table gives an empty result.
     """
     v = usable(vectors, nonzero=True)
     n, q, d, norm = shape(v, every)
-    find = partial(_search, d=d, norm=norm * (1 + 1e-12), k=k, tables=tables, hashes=hashes, width=width, probes=probes)
+    norm *= 1 + 1e-12
+    chosen = v.orderBy(F.xxhash64(F.lit(11), "vec_id"), "vec_id", "v").limit(SAMPLE).collect()
+    sample = np.zeros((len(chosen), max(d, 1)))
+    for row, r in zip(sample, chosen):
+        row[: len(r["v"])] = r["v"]
+    reach = fitted_reach(sample, max(n, 1), norm, k, tables, hashes, width)
+    find = partial(_search, d=d, norm=norm, k=k, tables=tables, hashes=hashes, width=width, reach=reach)
     return by_blocks(v, every, BLOCK_ROWS, QUERY_ROWS, n, q, find, k, "double")

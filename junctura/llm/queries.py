@@ -63,16 +63,16 @@ QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_token_fil
 ORACLE_SQL: dict[str, str] = {
     "op8_topk_search": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w
+            SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY embedding) AS copy, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w
             FROM embeddings
             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ),
         scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+            SELECT q.vec_id AS query_id, q.copy, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
         ),
         ranked AS (
-            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, copy ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,

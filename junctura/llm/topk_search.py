@@ -76,24 +76,30 @@ class ImpactIndex:
 
 
 def whole(x: np.ndarray) -> np.ndarray:
-    return np.floor(SCALE * x).astype(np.int64)
+    """floor(SCALE x); an error where inner products could pass 64 bits."""
+    out = np.floor(SCALE * x)
+    if out.size and float(np.abs(out).max()) ** 2 * out.shape[1] >= 2.0**61:
+        raise ValueError("components too large for scores of 64 bits")
+    return out.astype(np.int64)
 
 
-def _search(ids, rows, query_ids, queries, d, k):
+def _search(ids, rows, queries, query_ids, d, k):
     index = ImpactIndex(whole(dense(rows, d)))
-    for own, q in zip(query_ids, whole(dense(queries, d))):
+    for i, (own, q) in enumerate(zip(query_ids, whole(dense(queries, d)))):
         at = index.candidates(q, k, np.flatnonzero(ids == own))
         score = index.x[at] @ q
         top = best_of(score, ids[at], k)
-        yield own, ids[at][top], score[top]
+        yield i, ids[at][top], score[top]
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products for every row whose vec_id is divisible by `every`.
 
-    Components count as floor(1024 x); x must stay below 2^20 in size. Candidates are all rows but those with the query's vec_id. Rows that are null or hold a null
+    Components count as floor(1024 x); where they are so large that a score could pass 64 bits (2^18 at 64 components), the query fails with an error.
+    Candidates are all rows but those with the query's vec_id. Rows that are null or hold a null
     or non-finite component take no part; zero vectors do; shorter ones count as ending in zeros. Ties go to the smaller
-    vec_id. An empty table gives an empty result.
+    vec_id. A vec_id that is repeated is a candidate once for each row, and a query once for each row too, with ranks of its own. An empty table gives
+    an empty result.
     """
     v = usable(vectors, nonzero=False)
     n, q, d, _ = shape(v, every)

@@ -29,32 +29,44 @@ def by_blocks(v: DataFrame, every: int, rows: int, query_rows: int, n: int, q: i
     """query_id, rank, vec_id, score: the k best of what search() finds for each query in each block of candidates.
 
     The candidates are dealt to blocks by a hash of their id, so equal or near vectors spread over all blocks; the queries
-    to blocks of their own. Every block of queries meets every block of candidates in one task.
+    to blocks of their own. Every block of queries meets every block of candidates in one task. Rows that repeat a query's
+    id are queries of their own, told apart by `copy`.
     """
     blocks, query_blocks = max(1, -(-n // rows)), max(1, -(-q // query_rows))
     h = F.xxhash64("vec_id")
     ids = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     candidates = v.select(F.pmod(h, F.lit(blocks)).cast("int").alias("block"), "vec_id", "v").withColumn("query_block", ids(query_blocks))
-    queries = v.where(F.col("vec_id") % every == 0).select(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"), "vec_id", "v").withColumn("block", ids(blocks))
+    told = F.row_number().over(Window.partitionBy("vec_id").orderBy("v"))
+    asked = v.where(F.col("vec_id") % every == 0).withColumn("copy", told)
+    queries = asked.select("copy", F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"), "vec_id", "v").withColumn("block", ids(blocks))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64() if kind == "long" else pa.float64())], names=names)
+        names = ["query_id", "copy", "vec_id", "score"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64() if kind == "long" else pa.float64()]
         if not left.num_rows or not right.num_rows:
-            return empty
-        left, right = left.sort_by("vec_id"), right.sort_by("vec_id")
-        out = [[], [], []]
-        for i, at, score in search(left.column("vec_id").to_numpy(), left.column("v"), right.column("vec_id").to_numpy(), right.column("v")):
-            out[0].append(np.full(len(at), i, np.int64))
-            out[1].append(at)
-            out[2].append(score)
-        return pa.table([np.concatenate(x) for x in out], names=names) if out[0] else empty
-
-    met = candidates.groupBy("block", "query_block").cogroup(queries.groupBy("block", "query_block")).applyInArrow(run, f"query_id long, vec_id long, score {kind}")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            return pa.table([pa.array([], t) for t in kinds], names=names)
+        left, right = left.sort_by("vec_id"), right.sort_by([("vec_id", "ascending"), ("copy", "ascending")])
+        query_ids = right.column("vec_id").to_numpy()
+        count, found = np.zeros(len(query_ids), np.int64), []
+        for i, at, score in search(left.column("vec_id").to_numpy(), left.column("v"), right.column("v"), query_ids):
+            count[i] = len(at)
+            found.append((at, score))
+        columns = [np.repeat(query_ids, count), np.repeat(right.column("copy").to_numpy(), count), *(np.concatenate(x) for x in zip(*found))]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds)], names=names)
+
+    met = candidates.groupBy("block", "query_block").cogroup(queries.groupBy("block", "query_block")).applyInArrow(run, f"query_id long, copy int, vec_id long, score {kind}")
+    best = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The inner product of each row with q, summed component by component, so that equal rows have equal products wherever they stand."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += x[:, j] * q[j]
+    return out
+
+
 def dense(column: pa.ChunkedArray, d: int) -> np.ndarray:
     """Rows of d components; shorter vectors end in zeros."""
     lists = column.combine_chunks()

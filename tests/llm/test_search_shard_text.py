@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from junctura.llm import ann_search, html_text, sharding, topk_search, toxicity
@@ -46,21 +47,84 @@ def test_ann_recall_and_scores(spark):
     assert ann_search.search(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_shards_hold_the_mixture(spark):
+def shards_by_sorting(rows, keys, buckets, shards=24):
+    """Where sharding.assign puts the rows (doc_id, source, text), by plain sorts; keys: the hash of each text, and of each source."""
+    found = []
+    for source in {s for _, s, _ in rows}:
+        mine = sorted((r for r in rows if r[1] == source), key=lambda r: (keys[r[2] or ""] % buckets, keys[r[2] or ""], -1 if r[0] is None else r[0]))
+        found += [((2 * i + 1) / (2 * len(mine)), keys[source, "source"], 2 * i + 1, r) for i, r in enumerate(mine)]
+    found.sort(key=lambda f: f[:3])
+    bound = [-(-s * len(rows) // shards) for s in range(shards + 1)]
+    return [(r, s, at - bound[s]) for at, (*_, r) in enumerate(found) for s in [at * shards // len(rows)]]
+
+
+def test_repeated_queries_and_ties(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((60, 24)).tolist()
+    rows = [(i, x[i], 0, "") for i in range(60)] + [(1000 + i, x[7], 0, "") for i in range(300)] + [(100, x[8], 0, ""), (100, x[9], 0, ""), (100, x[9], 0, ""), (200, x[7], 0, "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, v string")
+    for search, of, k in ((ann_search.search, float, 20), (topk_search.search, lambda c: int(np.floor(1024 * c)), 10)):
+        got = [tuple(r) for r in search(df, every=100).collect()]
+        for q, vectors_ in ((100, [x[8], x[9], x[9]]), (200, [x[7]])):
+            mine = sorted(r for r in got if r[0] == q)
+            assert [r[1] for r in mine] == sorted(list(range(1, k + 1)) * len(vectors_))
+            if of is not float:
+                each = [sorted((-sum(of(a) * of(b) for a, b in zip(v, w)), j) for j, w, *_ in rows if j != q)[:k] for v in vectors_]
+                assert sorted((r[3], r[2]) for r in mine) == sorted((-s, j) for e in each for s, j in e)
+        ties = sorted(r[1:] for r in got if r[0] == 200)
+        assert [r[1] for r in ties] == [7, *range(1000, 1000 + k - 1)] and len({r[2] for r in ties}) == 1
+    big = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    try:
+        topk_search.search(big).collect()
+        raise AssertionError("no error")
+    except Exception as e:
+        assert "too large" in str(e)
+
+
+def test_recall_on_embeddings(spark):
+    """At least nine of ten of the true neighbours, of all rows of the table."""
+    data = "/root/testdata/sf0.1"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
+    x, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    got = {(r["query_id"], r["vec_id"]) for r in QUERIES["op7_ann_search"](spark, data).collect()}
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -9
+        want = ids[np.argsort(-score)[:20]]
+        hits, total = hits + sum((int(ids[q]), int(j)) in got for j in want), total + 20
+    assert hits >= 0.9 * total and len(got) <= total
+
+
+def test_shards_hold_the_mixture(spark, monkeypatch):
     rng = random.Random(5)
-    rows = [(i, rng.choice(["hot", "hot", "b", "c", None]), "x" * rng.randint(0, 9) if i % 9 else None) for i in range(1003)] + [(5, "hot", "same"), (5, "hot", "same")]
+    rows = [(i, rng.choice(["hot", "hot", "b", "c", None]), "x" * rng.randint(0, 9) * i if i % 9 else None) for i in range(923)] + [(2000 + i, "b", "one text") for i in range(80)] + [(5, "hot", "same"), (5, "hot", "same")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumnRenamed("none", "x")
     got = sharding.assign(docs).collect()
     assert len(got) == 1005 and {r["law"] for r in got} == {"rows"}
-    by, mix = {}, {}
+    by, mix, same = {}, {}, set()
     for r in got:
         by.setdefault(r["shard"], []).append(r["slot"])
         mix.setdefault(r["source"], [0] * 24)[r["shard"]] += 1
+        if (r["doc_id"] or 0) >= 2000:
+            same.add(r["shard"])
     assert sorted(by) == list(range(24)) and all(sorted(s) == list(range(len(s))) for s in by.values())
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert all(max(c) - min(c) <= 2 for c in mix.values())
+    share = 80 / sum(s == "b" for _, s, _ in rows)
+    assert max(same) - min(same) == len(same) - 1 <= share * 24 + 1  # side by side, parted by bounds alone
     assert sharding.assign(docs.limit(0)).count() == 0
     assert sorted(map(str, sharding.assign(docs.repartition(7)).collect())) == sorted(map(str, got))
+    hashed = spark.createDataFrame([(t or "",) for t in {t for _, _, t in rows}], "t string").selectExpr("t", "xxhash64(17, t) AS k").collect()
+    keys = {r["t"]: r["k"] for r in hashed} | {(s, "source"): spark.sql(f"SELECT xxhash64('{'null' if s is None else '=' + s}')").first()[0] for s in {s for _, s, _ in rows}}
+    want = sorted((str((r[0], s, slot, r[1])) for r, s, slot in shards_by_sorting(rows, keys, 64)))
+    assert sorted(str((r["doc_id"], r["shard"], r["slot"], r["source"])) for r in got) == want
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 10)  # now the group is cut into sections of its own
+    monkeypatch.setattr(sharding, "HOT", 20)
+    got = sharding.assign(docs.drop("source")).collect()
+    assert sorted(r["slot"] + 42 * r["shard"] for r in got)[0] == 0 and len({r["shard"] for r in got if (r["doc_id"] or 0) >= 2000}) <= 3
+    count = [sum(r["shard"] == s for r in got) for s in range(24)]
+    assert max(count) - min(count) <= 1 and all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(count[s])) for s in range(24))
 
 
 def test_main_text():
@@ -167,3 +231,36 @@ def test_links_take_no_text_from_an_article():
     assert html_text.main_text("<article><p><a href='/'>Only a link</a></p></article>") == "Only a link"
     texts = [f"Paragraph {k} of the text." for k in range(9)]
     assert html_text.main_text("<div><p><a href='/'>open" + "".join(f"<p>{x}</p>" for x in texts) + "</div>").split("\n\n")[-8:] == texts[1:]
+
+
+def test_names_and_odd_markup_take_no_text():
+    m = html_text.main_text
+    assert m('<article><header class="entry-header"><h1>Title</h1></header><p class="side effects">One.</p><p class="related-work">Two.</p></article>').split("\n\n") == ["Title", "One.", "Two."]
+    assert m("<article><p>foo<!-- c -->bar</p></article>") == "foobar" and m("<article><p>foo<script>x</script>bar") == "foobar"
+    assert m("<article><p>text</p><script>var a = 1; <p>leak</p>") == "text" and m("<article><p>text<!-- open <p>leak</p>") == "text"
+    assert m("<article><p>A</p><div class='ad-box'>Buy</div><div class='ad-free story'>B</div><div class='related'><a href='/'>More to read</a></div><div class='related'>C stands in it</div></article>").split("\n\n") == ["A", "B", "C stands in it"]
+    for tag in ("<select>", "<svg>", "<div class='related'>", "<nav>", "<a href='x'>", "<a \"", "<!", "<!--", "<script>"):
+        begin = time.time()
+        m("<article><p>text</p>" + tag * 100_000)
+        assert time.time() - begin < 3, tag
+
+
+def test_pages_against_their_blocks(spark):
+    """Pages put together from blocks whose part is known, with and without an article element."""
+    rng = random.Random(4)
+    words = lambda a, b: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(a, b)))
+    around = ["<nav><ul><li><a href='/'>{0}</a></ul></nav>", "<div class='cookie-notice'>{0}</div>", "<aside>{0}</aside>", "<form><label>{0}</label><input></form>", "<footer>&copy; {0}</footer>", "<div id='comments'><p>{0}</p></div>", "<script>'{0}'</script>", "<style>{0}</style>", "<div class=\"ad\">{0}</div>", "<!-- {0} -->"]
+    rows = []
+    for page in range(150):
+        blocks = [words(3, 9)] + [words(20, 60) for _ in range(rng.randint(1, 12))]
+        body = [f"<h1>{blocks[0]}</h1>"] + [f"<p>{b.replace(' ', rng.choice([' ', chr(10), '  ', ' <b>', '&#32;']), 1)}</p>" for b in blocks[1:]]
+        inside = page % 2 == 0
+        if inside:
+            for _ in range(2):
+                body.insert(rng.randrange(1, len(body) + 1), rng.choice(around).format(words(2, 12)))
+        other = lambda: "".join(rng.choice(around).format(words(2, 8)) for _ in range(3))
+        rows.append((page, "u", other() + ("<article>{0}</article>" if inside else "<div>{0}</div>").format("".join(body)) + other(), "\n\n".join(blocks)))
+    rows += [(900, None, None, ""), (901, "", "", ""), (0, "u", rows[0][2], rows[0][3]), (902, "u", f"<article><p>{'long ' * 300_000}</p></article>", ("long " * 300_000).strip())]
+    got = html_text.extract(spark.createDataFrame([r[:3] + ("c", 7) for r in rows], "page_id long, url string, html string, text string, n_chars int"))
+    assert sorted((r["row"]["page_id"], r["text"], r["n_chars"]) for r in got.collect()) == sorted((r[0], r[3], len(r[3])) for r in rows)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
