@@ -27,13 +27,14 @@ def read_verdicts(both: DataFrame, length: int) -> DataFrame:
     aligned = ~tags.has(F.col("r_flag"), tags.UNMAPPED)
     same = aligned & F.col("chr").eqNullSafe(F.col("r_chr")) & (tags.has(F.col("flag"), tags.REVERSE) == tags.has(F.col("r_flag"), tags.REVERSE))
     equal = same & (F.col("pos") == F.col("r_pos")) & (F.col("cigar") == F.col("r_cigar"))
-    t = coordinates(F.col("cigar"), F.col("pos"))
-    r = F.when(aligned, coordinates(F.col("r_cigar"), F.col("r_pos"))).otherwise(F.array().cast("array<int>"))
-    spliced = F.exists(cigar.walk(F.col("cigar"), F.col("pos")), lambda x: x["op"] == "N")
-    x = both.select("frag", "mate", "amb", spliced.alias("spliced"), aligned.alias("aligned"), same.alias("same"), equal.alias("equal"), t.alias("t"), r.alias("r"))
-    placed = F.size(F.filter("r", lambda v: v.isNotNull()))
+    # bases are laid out only where the two may agree in part; of the rest their number is enough
+    lay = lambda c, p: F.when(same & ~equal, coordinates(F.col(c), F.col(p))).otherwise(F.array().cast("array<int>"))
+    t, r = lay("cigar", "pos"), lay("r_cigar", "r_pos")
+    spliced = gaps.has_intron(F.col("cigar"))
+    on_target = F.aggregate(F.when(aligned & ~equal, cigar.parse(F.col("r_cigar"))), F.lit(0), lambda n, o: n + F.when(o["op"].isin("M", "I", "=", "X"), o["l"]).otherwise(0))
+    x = both.select("frag", "mate", "amb", spliced.alias("spliced"), aligned.alias("aligned"), same.alias("same"), equal.alias("equal"), t.alias("t"), r.alias("r"), F.coalesce(on_target, F.lit(0)).alias("placed"))
     right = F.when(F.col("equal"), length).when(F.col("same"), F.size(F.filter(F.arrays_zip("t", "r"), lambda v: v["t"] == v["r"]))).otherwise(0)
-    x = x.withColumn("base_right", right).withColumn("base_wrong", F.when(F.col("equal"), 0).otherwise(placed - right))
+    x = x.withColumn("base_right", right).withColumn("base_wrong", F.when(F.col("equal"), 0).otherwise(F.col("placed") - right))
     verdict = F.when(F.col("base_right") == length, "perfect").when(F.col("base_right") > 0, "partial").when(F.col("same") & F.arrays_overlap(F.filter("t", lambda v: v.isNotNull()), F.filter("r", lambda v: v.isNotNull())), "overlap").otherwise("none")
     return x.select("frag", "mate", "amb", "spliced", "aligned", "base_right", "base_wrong", verdict.alias("verdict"))
 
@@ -53,8 +54,8 @@ def intron_events(truth: DataFrame, report: DataFrame, coverage: DataFrame, leng
     """event (tp, fn, fp), amb, p (position in the read, as sequenced) and coverage (capped; 0 if unknown) of every intron."""
     key = ["frag", "mate", "amb", "chr", "flag"]
     strand = tags.has(F.col("flag"), tags.REVERSE)
-    t = gaps.introns(truth, key).select("frag", "mate", "amb", "chr", strand.alias("minus"), "start", "len", tags.mirrored(F.col("q") - 1, F.col("flag"), length).alias("p"))
-    r = gaps.introns(report, key).select("frag", "mate", F.col("amb").alias("r_amb"), "chr", strand.alias("minus"), "start", "len", tags.mirrored(F.col("q") - 1, F.col("flag"), length).alias("r_p"))
+    t = gaps.introns(truth, key, gaps.INTRON).select("frag", "mate", "amb", "chr", strand.alias("minus"), "start", "len", tags.mirrored(F.col("q") - 1, F.col("flag"), length).alias("p"))
+    r = gaps.introns(report, key, gaps.INTRON).select("frag", "mate", F.col("amb").alias("r_amb"), "chr", strand.alias("minus"), "start", "len", tags.mirrored(F.col("q") - 1, F.col("flag"), length).alias("r_p"))
     both = t.join(r, ["frag", "mate", "chr", "minus", "start", "len"], "full")
     event = F.when(F.col("r_p").isNull(), "fn").when(F.col("p").isNull(), "fp").otherwise("tp")
     named = both.select("chr", "start", "len", event.alias("event"), F.coalesce("amb", "r_amb").alias("amb"), F.coalesce("p", "r_p").alias("p"))
@@ -63,10 +64,15 @@ def intron_events(truth: DataFrame, report: DataFrame, coverage: DataFrame, leng
 
 
 def multi_intron(truth: DataFrame, report: DataFrame, by: list[str]) -> DataFrame:
-    """k and how many units (reads, or pairs with by=['frag']) have k true, k reported and k correct introns."""
-    t = gaps.introns(truth, [*by, "chr"]).select(*by, "chr", "start", "len").distinct().withColumn("t", F.lit(1))
-    r = gaps.introns(report, [*by, "chr"]).select(*by, "chr", "start", "len").distinct().withColumn("r", F.lit(1))
-    per = t.join(r, [*by, "chr", "start", "len"], "full").groupBy(*by).agg(F.count("t").alias("actual"), F.count("r").alias("reported"), F.count(F.col("t") + F.col("r")).alias("correct"))
+    """k and how many units (reads, or pairs with by=['frag']) have k true, k reported and k correct introns.
+
+    An intron of a read is correct on its strand only; the mates of a pair have two strands, so pairs go without.
+    """
+    strand = tags.has(F.col("flag"), tags.REVERSE) if "mate" in by else F.lit(False)
+    place = [*by, "chr", "minus", "start", "len"]
+    each = lambda x: gaps.introns(x, [*by, "chr", "flag"], gaps.INTRON).withColumn("minus", strand).select(*place).distinct()
+    t, r = each(truth).withColumn("t", F.lit(1)), each(report).withColumn("r", F.lit(1))
+    per = t.join(r, place, "full").groupBy(*by).agg(F.count("t").alias("actual"), F.count("r").alias("reported"), F.count(F.col("t") + F.col("r")).alias("correct"))
     all_ = truth.select(*by).distinct().join(per, by, "left").na.fill(0, ["actual", "reported", "correct"])
     long = all_.unpivot([], ["actual", "reported", "correct"], "what", "k")
     one = lambda w: F.count(F.when(F.col("what") == w, 1)).alias(w)
@@ -76,7 +82,9 @@ def multi_intron(truth: DataFrame, report: DataFrame, by: list[str]) -> DataFram
 def indel_accuracy(truth: DataFrame, report: DataFrame) -> DataFrame:
     """kind (D, I), size and the correct, missed and wrong internal indels; a match has equal place and size, one report for one truth."""
     key = ["frag", "mate", "chr"]
-    inner = lambda x: gaps.operations(x, key).where(F.col("op").isin("D", "I") & (F.col("i") > 0) & (F.col("i") < F.col("n") - 1)).select(*key, "op", "q", "t", "l")
+    short = (F.col("op") == "I") | (F.col("op").isin("D", "N") & (F.col("l") <= gaps.INTRON))
+    kind = F.when(F.col("op") == "I", "I").otherwise("D").alias("op")
+    inner = lambda x: gaps.operations(x.where(F.col("cigar").rlike("[DIN]")), key).where(short & (F.col("i") > 0) & (F.col("i") < F.col("n") - 1)).select(*key, kind, "q", "t", "l")
     both = inner(truth).withColumn("a", F.lit(1)).join(inner(report).withColumn("b", F.lit(1)), [*key, "op", "q", "t", "l"], "full")
     one = lambda c: F.count(F.when(c, 1))
     a, b = F.col("a").isNotNull(), F.col("b").isNotNull()

@@ -11,12 +11,13 @@ _GAP = "array<struct<i:int,q:int,t:int,l:int,ls:int,rs:int>>"
 _WRONG = "array<struct<i:int,q:int,t:int,l:int>>"
 
 
-def indels(alignments: DataFrame, keep: list[str], longest: int = 18) -> DataFrame:
-    """keep, op (D, I), i, q, t, l and terminal of each indel; a longer deletion is an intron. q is the base before a deletion, the first base of an insertion."""
-    ops = gaps.operations(alignments, keep)
-    small = ((F.col("op") == "D") & (F.col("l") <= longest)) | (F.col("op") == "I")
+def indels(alignments: DataFrame, keep: list[str], longest: int = gaps.INTRON) -> DataFrame:
+    """keep, op (D, I), i, q, t, l and terminal of each indel; a longer gap over the reference is an intron, a shorter N a deletion. q is the base before a deletion, the first base of an insertion."""
+    ops = gaps.operations(alignments.where(F.col("cigar").rlike("[DIN]")), keep)
+    small = (F.col("op").isin("D", "N") & (F.col("l") <= longest)) | (F.col("op") == "I")
+    ops = ops.where(small).withColumn("op", F.when(F.col("op") == "I", "I").otherwise("D"))
     terminal = (F.col("q") == 0) | (F.col("i") == F.col("n") - 1)
-    return ops.where(small).select(*keep, "op", "i", (F.col("q") - (F.col("op") == "D").cast("int")).alias("q"), "t", "l", terminal.alias("terminal"))
+    return ops.select(*keep, "op", "i", (F.col("q") - (F.col("op") == "D").cast("int")).alias("q"), "t", "l", terminal.alias("terminal"))
 
 
 def with_shifts(found: DataFrame, shifts: DataFrame, keep: list[str]) -> DataFrame:

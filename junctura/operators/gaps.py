@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from junctura.functions import cigar, tags
 
 
+INTRON = 18  # bases; in the scoring of reads a longer gap over the reference is an intron and any other a deletion, whatever its letter
+
+
+def has_intron(cigar_: Column) -> Column:
+    """Whether an internal gap of more than INTRON bases is there; told by the string alone."""
+    return cigar_.rlike(r"[A-Z=](19|[2-9][0-9]|[1-9][0-9]{2,})[ND][0-9]")
+
+
+def tallied(alignments: DataFrame, by: list[str]) -> DataFrame:
+    """Mapped alignments counted (n_reads) by the columns of `by` before their CIGAR is walked; each kind is then walked once."""
+    return alignments.where(~tags.has(F.col("flag"), tags.UNMAPPED)).groupBy(*by).agg(F.count("*").alias("n_reads"))
+
+
 def operations(alignments: DataFrame, keep: list[str]) -> DataFrame:
     """One row for each CIGAR operation of the mapped alignments: the columns to keep, i, l, op, q, t and n (operations of the alignment)."""
     mapped = alignments.where(~tags.has(F.col("flag"), tags.UNMAPPED))
@@ -16,14 +29,19 @@ def operations(alignments: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def introns(alignments: DataFrame, keep: list[str], least: int = 0) -> DataFrame:
-    """Internal gaps over reference: N, and D longer than `least` where that is positive. start is the first base of the gap."""
-    kind = (F.col("op") == "N") | ((F.col("op") == "D") & (F.col("l") > least) if least else F.lit(False))
-    found = operations(alignments, keep).where(kind & (F.col("i") > 0) & (F.col("i") < F.col("n") - 1))
+    """Internal gaps over reference: N, or with `least` N and D longer than that. start is the first base of the gap."""
+    kind = F.col("op").isin("N", "D") & (F.col("l") > least) if least else F.col("op") == "N"
+    may = F.col("cigar").rlike("[ND]" if least else "N")  # the others are not walked
+    found = operations(alignments.where(may), keep).where(kind & (F.col("i") > 0) & (F.col("i") < F.col("n") - 1))
     return found.select(*keep, F.col("t").alias("start"), F.col("l").alias("len"), F.col("q"))
 
 
 def junction_counts(alignments: DataFrame) -> DataFrame:
-    return introns(alignments, ["chr"]).groupBy("chr", "start", "len").agg(F.count("*").alias("reads"))
+    """chr, start, len and reads of each junction. Equal alignments are counted before their CIGAR is walked, but in a stream, which has one aggregation."""
+    if alignments.isStreaming:
+        return introns(alignments, ["chr"]).groupBy("chr", "start", "len").agg(F.count("*").alias("reads"))
+    kinds = tallied(alignments.where(F.col("cigar").contains("N")), ["chr", "pos", "cigar"]).withColumn("flag", F.lit(0))
+    return introns(kinds, ["chr", "n_reads"]).groupBy("chr", "start", "len").agg(F.sum("n_reads").alias("reads"))
 
 
 def capped_histogram(counts: DataFrame, by: list[str], cap: int, value: str = "reads") -> DataFrame:
@@ -53,26 +71,27 @@ def classed(alignments: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def size_distribution(alignments: DataFrame) -> DataFrame:
-    return classed(alignments, []).groupBy("class", F.col("l").alias("size")).agg(F.count("*").alias("n"))
+    kinds = tallied(alignments.withColumn("flag", F.col("flag").bitwiseAND(F.lit(tags.UNMAPPED | tags.REVERSE))).withColumn("pos", F.lit(0)), ["flag", "pos", "cigar"])
+    return classed(kinds, ["n_reads"]).groupBy("class", F.col("l").alias("size")).agg(F.sum("n_reads").alias("n"))
 
 
 def counts_per_read(alignments: DataFrame, kinds=("D", "I", "N")) -> DataFrame:
-    """How many mapped reads hold k internal operations of each kind, k from 0; one pass, no shuffle before the counts."""
-    mapped = alignments.where(~tags.has(F.col("flag"), tags.UNMAPPED))
-    steps = mapped.select(cigar.walk(F.col("cigar"), F.col("pos")).alias("s"))
+    """How many mapped reads hold k internal operations of each kind, k from 0; one walk for each different CIGAR."""
+    steps = tallied(alignments, ["cigar"]).select("n_reads", cigar.walk(F.col("cigar"), F.lit(0)).alias("s"))
     inner = lambda k: F.size(F.filter("s", lambda x: (x["op"] == k) & (x["i"] > 0) & (x["i"] < F.size("s") - 1)))
-    each = steps.select(F.explode(F.array(*[F.struct(F.lit(k).alias("op"), inner(k).alias("k")) for k in kinds])).alias("x"))
-    return each.groupBy("x.op", "x.k").agg(F.count("*").alias("reads"))
+    each = steps.select("n_reads", F.explode(F.array(*[F.struct(F.lit(k).alias("op"), inner(k).alias("k")) for k in kinds])).alias("x"))
+    return each.groupBy("x.op", "x.k").agg(F.sum("n_reads").alias("reads"))
 
 
 def position_profile(alignments: DataFrame, length: int) -> DataFrame:
     """pos and the introns, deletions and inserted bases there, in sequenced orientation, zeros included."""
-    ops = operations(alignments, ["flag"]).where((F.col("i") > 0) & (F.col("i") < F.col("n") - 1))
+    kinds = tallied(alignments.withColumn("flag", F.col("flag").bitwiseAND(F.lit(tags.UNMAPPED | tags.REVERSE))).withColumn("pos", F.lit(0)), ["flag", "pos", "cigar"])
+    ops = operations(kinds, ["flag", "n_reads"]).where((F.col("i") > 0) & (F.col("i") < F.col("n") - 1))
     at = tags.mirrored(F.col("q") - 1, F.col("flag"), length)
     base = F.when(tags.has(F.col("flag"), tags.REVERSE), length - 1 - F.col("b")).otherwise(F.col("b"))
-    gaps = ops.where(F.col("op").isin("N", "D")).select(at.alias("pos"), "op")
-    inserted = ops.where("op = 'I'").select("flag", "op", F.explode(F.sequence(F.col("q"), F.col("q") + F.col("l") - 1)).alias("b")).select(base.alias("pos"), "op")
-    one = lambda k: F.count(F.when(F.col("op") == k, 1))
+    gaps = ops.where(F.col("op").isin("N", "D")).select(at.alias("pos"), "op", "n_reads")
+    inserted = ops.where("op = 'I'").select("flag", "op", "n_reads", F.explode(F.sequence(F.col("q"), F.col("q") + F.col("l") - 1)).alias("b")).select(base.alias("pos"), "op", "n_reads")
+    one = lambda k: F.sum(F.when(F.col("op") == k, F.col("n_reads")).otherwise(0))
     counts = gaps.union(inserted).groupBy("pos").agg(one("N").alias("introns"), one("D").alias("deletions"), one("I").alias("insertions"))
     spine = ops.sparkSession.range(length).select(F.col("id").cast("int").alias("pos"))
     return spine.join(F.broadcast(counts.where(F.col("pos").between(0, length - 1))), "pos", "left").na.fill(0)  # at most `length` rows

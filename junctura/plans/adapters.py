@@ -6,29 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LENGTH = 76
-CIGAR = "CASE (o_orderkey + 3 * mate) % 6 WHEN 0 THEN '76M' WHEN 1 THEN '30M500N46M' WHEN 2 THEN '20M2D56M' WHEN 3 THEN '40M3I33M' WHEN 4 THEN '5S71M' ELSE '10M100N20M200N46M' END"
+CIGAR = "CASE WHEN o_orderkey % 23 = 4 THEN '30M25D46M' WHEN o_orderkey % 23 = 9 THEN '30M10N46M' WHEN o_orderkey % 23 = 15 THEN '76M40N' ELSE CASE (o_orderkey + 3 * mate) % 6 WHEN 0 THEN '76M' WHEN 1 THEN '30M500N46M' WHEN 2 THEN '20M2D56M' WHEN 3 THEN '40M3I33M' WHEN 4 THEN '5S71M' ELSE '10M100N20M200N46M' END END"
 READ = {
     "frag": "o_orderkey",
     "mate": "mate",
     "amb": "o_orderkey % 7 = 0",
     "flag": "CAST(1 + 64 * mate + 16 * ((o_custkey + mate) % 2) AS INT)",
-    "chr": "concat('chr', CAST(1 + o_custkey % 5 AS VARCHAR(9)))",
+    "chr": "CASE WHEN o_custkey % 11 = 0 THEN 'chr6' ELSE concat('chr', CAST(1 + o_custkey % 5 AS VARCHAR(9))) END",
     "pos": "CAST(1000 + (o_custkey % 37) * 100 AS INT)",
     "cigar": CIGAR,
 }
-#: What a report makes of a true read: some unmapped, on another chromosome, shifted, or without their gaps.
+#: What a report makes of a true read: some unmapped, on another chromosome or strand, shifted, or without their gaps.
 REPORT = {
     "frag": "frag", "mate": "mate", "amb": "amb",
-    "flag": "CASE WHEN frag % 5 = 2 AND mate = 1 THEN flag + 4 ELSE flag END",
+    "flag": "CASE WHEN frag % 5 = 2 AND mate = 1 THEN flag + 4 WHEN frag % 17 = 6 THEN CASE WHEN (flag & 16) = 0 THEN flag + 16 ELSE flag - 16 END ELSE flag END",
     "chr": "CASE WHEN frag % 5 = 2 AND mate = 1 THEN '*' WHEN frag % 7 = 5 THEN 'chr9' ELSE chr END",
     "pos": "CASE WHEN frag % 5 = 2 AND mate = 1 THEN 0 WHEN frag % 11 = 3 THEN pos + 1 ELSE pos END",
     "cigar": "CASE WHEN frag % 5 = 2 AND mate = 1 THEN '*' WHEN frag % 13 = 4 THEN '76M' ELSE cigar END",
 }
-#: Up to three exons whose inner ends stand where the reads have their gaps.
+#: On chr6 stand few transcripts, so most of their introns lie in no exon. Up to three exons whose inner ends stand where the reads have their gaps.
 EXON = {
     "tx_id": "p_partkey",
     "gene_id": "p_partkey % 97",
-    "chr": "concat('chr', CAST(1 + p_partkey % 5 AS VARCHAR(9)))",
+    "chr": "CASE WHEN p_partkey % 500 = 7 THEN 'chr6' ELSE concat('chr', CAST(1 + p_partkey % 5 AS VARCHAR(9))) END",
     "strand": "CASE WHEN p_partkey % 3 = 0 THEN '-' ELSE '+' END",
     "s": "CAST(CASE x WHEN 0 THEN 900 + (p_partkey % 37) * 100 WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 1530 ELSE 1110 END + (p_partkey % 37) * 100 ELSE 1330 + 300 * (p_partkey % 2) + (p_partkey % 37) * 100 END AS INT)",
     "e": "CAST(CASE x WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 1029 ELSE 1009 END + (p_partkey % 37) * 100 WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 1600 ELSE 1129 END + (p_partkey % 37) * 100 ELSE 1400 + 300 * (p_partkey % 2) + (p_partkey % 37) * 100 END AS INT)",
@@ -94,8 +94,11 @@ def ops_sql(name: str, source: str) -> str:
                    WINDOW w AS (PARTITION BY frag, mate ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
-def introns_sql(name: str, ops: str) -> str:
-    return f"{name} AS (SELECT frag, mate, amb, flag, chr, t AS start, l AS len, q FROM {ops} WHERE op = 'N' AND i > 0 AND i < n - 1)"
+def introns_sql(name: str, ops: str, kind: str = "op = 'N'") -> str:
+    return f"{name} AS (SELECT frag, mate, amb, flag, chr, t AS start, l AS len, q FROM {ops} WHERE {kind} AND i > 0 AND i < n - 1)"
+
+
+LONG_GAP, SHORT_GAP = "op IN ('N', 'D') AND l > 18", "op IN ('N', 'D') AND l <= 18"
 
 
 JUNCTIONS_SQL = f"{READS_SQL}, {ops_sql('ops', 'reads')}, {introns_sql('gap', 'ops')}, junctions AS (SELECT chr, start, len, count(*) AS reads FROM gap GROUP BY ALL)"

@@ -166,9 +166,6 @@ def interval_complement(spark, d):
     return intervals.gaps(intervals.union(A.repeats(spark, d)))
 
 
-_THIN = "p_partkey % 50 = 3"
-
-
 def _territory(rows: str) -> str:
     return f"""{A.exons_sql('ex', rows)}, spans AS (SELECT chr, min(s) AS s, max(e) AS e FROM ex GROUP BY tx_id, chr), {_union_sql('genic', 'spans')},
     bases AS (SELECT chr, unnest(range(s, e + 1)) AS b FROM genic), inside AS (SELECT DISTINCT chr, unnest(range(s, e + 1)) AS b FROM ex),
@@ -177,9 +174,9 @@ def _territory(rows: str) -> str:
     territory AS (SELECT chr, CAST(min(b) AS INTEGER) AS s, CAST(max(b) AS INTEGER) AS e FROM runs GROUP BY chr, g)"""
 
 
-@_query(f"WITH {_territory(_THIN)} SELECT chr, s, e FROM territory")
+@_query(f"WITH {_territory('true')} SELECT chr, s, e FROM territory")
 def intron_territory(spark, d):
-    return intervals.intron_territory(A.exons(spark, d, _THIN))
+    return intervals.intron_territory(A.exons(spark, d))
 
 
 @_query(f"WITH {_territory('true')} SELECT chr, s, e FROM territory")
@@ -197,7 +194,8 @@ def overlap_length(spark, d):
 _VERDICT = f"""{A.READS_SQL}, {A.REPORT_SQL}, {A.ops_sql('top', 'reads')}, {A.ops_sql('rop', 'report')},
     tb AS (SELECT frag, mate, q + k AS j, CASE op WHEN 'I' THEN 2 * t - 1 WHEN 'M' THEN 2 * (t + k) END AS c FROM (SELECT *, unnest(range(l)) AS k FROM top WHERE op IN ('M', 'I', 'S'))),
     rb AS (SELECT frag, mate, q + k AS j, CASE op WHEN 'I' THEN 2 * t - 1 WHEN 'M' THEN 2 * (t + k) END AS c FROM (SELECT *, unnest(range(l)) AS k FROM rop WHERE op IN ('M', 'I', 'S'))),
-    pair AS (SELECT r.frag, r.mate, r.amb, r.cigar LIKE '%N%' AS spliced, (p.flag & 4) = 0 AS aligned,
+    gapped AS (SELECT DISTINCT frag, mate FROM top WHERE {A.LONG_GAP} AND i > 0 AND i < n - 1),
+    pair AS (SELECT r.frag, r.mate, r.amb, EXISTS (SELECT 1 FROM gapped g WHERE g.frag = r.frag AND g.mate = r.mate) AS spliced, (p.flag & 4) = 0 AS aligned,
         (p.flag & 4) = 0 AND r.chr = p.chr AND (r.flag & 16) = (p.flag & 16) AS same,
         (p.flag & 4) = 0 AND r.chr = p.chr AND (r.flag & 16) = (p.flag & 16) AND r.pos = p.pos AND r.cigar = p.cigar AS equal FROM reads r JOIN report p USING (frag, mate)),
     hits AS (SELECT frag, mate, count(*) AS n FROM tb JOIN rb USING (frag, mate, j) WHERE tb.c = rb.c GROUP BY ALL),
@@ -244,9 +242,10 @@ def _mirror(q: str, flag: str) -> str:
     return f"CASE WHEN ({flag} & 16) <> 0 THEN 76 - ({q}) - 2 ELSE {q} END"
 
 
-_EVENTS = f"""{_TRUE_FALSE},
-    t AS (SELECT frag, mate, amb, chr, (flag & 16) <> 0 AS minus, start, len, {_mirror('q - 1', 'flag')} AS p FROM gap),
-    r AS (SELECT frag, mate, amb AS r_amb, chr, (flag & 16) <> 0 AS minus, start, len, {_mirror('q - 1', 'flag')} AS r_p FROM rgap),
+_LONG = f"{_TRUE_FALSE}, {A.introns_sql('tlong', 'ops', A.LONG_GAP)}, {A.introns_sql('rlong', 'rops', A.LONG_GAP)}"
+_EVENTS = f"""{_LONG},
+    t AS (SELECT frag, mate, amb, chr, (flag & 16) <> 0 AS minus, start, len, {_mirror('q - 1', 'flag')} AS p FROM tlong),
+    r AS (SELECT frag, mate, amb AS r_amb, chr, (flag & 16) <> 0 AS minus, start, len, {_mirror('q - 1', 'flag')} AS r_p FROM rlong),
     ev AS (SELECT chr, start, len, CASE WHEN r_p IS NULL THEN 'fn' WHEN p IS NULL THEN 'fp' ELSE 'tp' END AS event, coalesce(amb, r_amb) AS amb, CAST(coalesce(p, r_p) AS INTEGER) AS p FROM t FULL JOIN r USING (frag, mate, chr, minus, start, len)),
     events_ AS (SELECT event, amb, p, CAST(CASE WHEN reads IS NULL THEN 0 ELSE least(reads, 20) END AS BIGINT) AS coverage FROM ev LEFT JOIN junctions USING (chr, start, len))"""
 
@@ -281,8 +280,9 @@ def splice_recall_by_coverage(spark, d):
 
 
 def _multi(by: str) -> str:
-    return f"""{_TRUE_FALSE}, ut AS (SELECT DISTINCT {by}, chr, start, len FROM gap), ur AS (SELECT DISTINCT {by}, chr, start, len FROM rgap), units AS (SELECT DISTINCT {by} FROM reads),
-    ca AS (SELECT {by}, count(*) AS k FROM ut GROUP BY ALL), cr AS (SELECT {by}, count(*) AS k FROM ur GROUP BY ALL), cc AS (SELECT {by}, count(*) AS k FROM ut JOIN ur USING ({by}, chr, start, len) GROUP BY ALL),
+    minus = "(flag & 16) <> 0" if "mate" in by else "false"
+    return f"""{_LONG}, ut AS (SELECT DISTINCT {by}, chr, {minus} AS minus, start, len FROM tlong), ur AS (SELECT DISTINCT {by}, chr, {minus} AS minus, start, len FROM rlong), units AS (SELECT DISTINCT {by} FROM reads),
+    ca AS (SELECT {by}, count(*) AS k FROM ut GROUP BY ALL), cr AS (SELECT {by}, count(*) AS k FROM ur GROUP BY ALL), cc AS (SELECT {by}, count(*) AS k FROM ut JOIN ur USING ({by}, chr, minus, start, len) GROUP BY ALL),
     w AS (SELECT 'actual' AS what, coalesce(k, 0) AS k FROM units LEFT JOIN ca USING ({by}) UNION ALL SELECT 'reported', coalesce(k, 0) FROM units LEFT JOIN cr USING ({by}) UNION ALL SELECT 'correct', coalesce(k, 0) FROM units LEFT JOIN cc USING ({by})),
     multi AS (SELECT k, count(CASE WHEN what = 'actual' THEN 1 END) AS actual, count(CASE WHEN what = 'reported' THEN 1 END) AS reported, count(CASE WHEN what = 'correct' THEN 1 END) AS correct FROM w GROUP BY k)"""
 
@@ -305,7 +305,8 @@ def multi_intron_precision_recall(spark, d):
 
 
 _INDEL = f"""{A.READS_SQL}, {A.REPORT_SQL}, {A.ops_sql('top', 'reads')}, {A.ops_sql('rop', 'report')},
-    ti AS (SELECT frag, mate, chr, op, q, t, l, 1 AS a FROM top WHERE op IN ('D', 'I') AND i > 0 AND i < n - 1), ri AS (SELECT frag, mate, chr, op, q, t, l, 1 AS b FROM rop WHERE op IN ('D', 'I') AND i > 0 AND i < n - 1),
+    ti AS (SELECT frag, mate, chr, CASE WHEN op = 'I' THEN 'I' ELSE 'D' END AS op, q, t, l, 1 AS a FROM top WHERE (op = 'I' OR {A.SHORT_GAP}) AND i > 0 AND i < n - 1),
+    ri AS (SELECT frag, mate, chr, CASE WHEN op = 'I' THEN 'I' ELSE 'D' END AS op, q, t, l, 1 AS b FROM rop WHERE (op = 'I' OR {A.SHORT_GAP}) AND i > 0 AND i < n - 1),
     indel AS (SELECT op AS kind, l AS size, count(CASE WHEN a = 1 AND b = 1 THEN 1 END) AS correct, count(CASE WHEN a = 1 AND b IS NULL THEN 1 END) AS missed, count(CASE WHEN a IS NULL AND b = 1 THEN 1 END) AS wrong FROM ti FULL JOIN ri USING (frag, mate, chr, op, q, t, l) GROUP BY ALL)"""
 
 
@@ -347,7 +348,7 @@ def cigar_op_counts(spark, d):
     return gaps.operations(A.report(spark, d), []).groupBy("op").agg(F.count("*").alias("n"), F.sum("l").alias("bases"))
 
 
-@_query(f"WITH {A.READS_SQL}, {A.REPORT_SQL} SELECT chr AS target, chr IN ('chr1', 'chr2', 'chr3', 'chr4', 'chr5') AS valid, count(*) AS alignments FROM report WHERE (flag & 4) = 0 GROUP BY ALL")
+@_query(f"WITH {A.READS_SQL}, {A.REPORT_SQL} SELECT chr AS target, chr IN ('chr1', 'chr2', 'chr3', 'chr4', 'chr5', 'chr6') AS valid, count(*) AS alignments FROM report WHERE (flag & 4) = 0 GROUP BY ALL")
 def target_counts_validity(spark, d):
     r = A.report(spark, d).where(~tags.has(F.col("flag"), tags.UNMAPPED))
     known = A.reads(spark, d).select("chr").distinct().withColumn("ok", F.lit(True))

@@ -10,13 +10,12 @@ from junctura.plans import adapters as A
 from junctura.plans.queries import _MATCH, _VERDICT, FIRST, SECOND, _multi, _patterns, _query, _territory, _union_sql, multi_intron_pair
 
 ANNOTATED = "p_partkey % 3 = 0"
-_LONG = "p_partkey % 74 = 4"  # transcripts of one place, whose introns reads fit in
 
 _LEFT, _RIGHT = "CAST(t % 3 AS INTEGER)", "CAST(CAST((t - t % 20) / 20 AS INTEGER) % 4 AS INTEGER)"
 
 
 def _small(name: str, ops: str) -> str:
-    return f"{name} AS (SELECT frag, mate, chr, flag & 16 AS st, op, q - CASE WHEN op = 'D' THEN 1 ELSE 0 END AS q, t, l FROM {ops} WHERE op = 'I' OR (op = 'D' AND l <= 18))"
+    return f"{name} AS (SELECT frag, mate, chr, flag & 16 AS st, CASE WHEN op = 'I' THEN 'I' ELSE 'D' END AS op, q - CASE WHEN op = 'I' THEN 0 ELSE 1 END AS q, t, l FROM {ops} WHERE op = 'I' OR ({A.SHORT_GAP}))"
 
 
 _SHIFTED = f"""{_small('ti0', 'top')}, {_small('ri', 'rop')}, shifts AS (SELECT DISTINCT chr, op, t, l, {_LEFT} AS ls, {_RIGHT} AS rs FROM ti0 WHERE t % 7 <> 0),
@@ -183,13 +182,13 @@ def novelty_precision(spark, d):
     return both.select(metrics.ratio(F.col("k"), F.col("t") - F.col("n")).alias("known"), metrics.ratio(F.col("n"), F.col("t") - F.col("k")).alias("novel"))
 
 
-@_query(f"""WITH {A.READS_SQL}, {_territory(_LONG)}, {A.REPEATS_SQL}, {_union_sql('u', 'repeats')}, {A.ops_sql('ops', 'reads')},
+@_query(f"""WITH {A.READS_SQL}, {_territory('true')}, {A.REPEATS_SQL}, {_union_sql('u', 'repeats')}, {A.ops_sql('ops', 'reads')},
     placed AS (SELECT frag, mate, chr, pos AS s, CAST(max(pos) + sum(CASE WHEN op IN ('M', 'D', 'N') THEN l ELSE 0 END) - 1 AS BIGINT) AS e FROM ops GROUP BY ALL), k AS (SELECT chr, s, e, count(*) AS n FROM placed GROUP BY ALL),
     y AS (SELECT k.chr, k.s, k.e, k.n, coalesce(sum(CASE WHEN t.s IS NOT NULL THEN least(k.e, t.e) - greatest(k.s, t.s) + 1 END), 0) AS bases FROM k LEFT JOIN territory t ON t.chr = k.chr AND t.s <= k.e AND t.e >= k.s GROUP BY ALL),
     x AS (SELECT n, bases = e - s + 1 AS inside, EXISTS (SELECT 1 FROM u WHERE u.chr = y.chr AND u.s <= y.e AND u.e >= y.s) AS touched FROM y)
     SELECT CAST(sum(n) AS BIGINT) AS mapped, CAST(coalesce(sum(CASE WHEN inside AND NOT touched THEN n END), 0) AS BIGINT) AS intronic, CAST(coalesce(sum(CASE WHEN inside AND touched THEN n END), 0) AS BIGINT) AS intronic_repeat FROM x""")
 def intronic_counts(spark, d):
-    return reconstruction.intronic_counts(A.reads(spark, d), A.exons(spark, d, _LONG), A.repeats(spark, d))
+    return reconstruction.intronic_counts(A.reads(spark, d), A.exons(spark, d), A.repeats(spark, d))
 
 
 @_query(f"""WITH {A.READS_SQL}, {_territory('true')}, {A.REPEATS_SQL}, {_union_sql('u', 'repeats')}, {A.ops_sql('ops', 'reads')},

@@ -2,7 +2,7 @@ import tempfile
 
 import pytest
 from junctura.functions import cigar, shift, tags
-from junctura.operators import ambiguity, intervals, quality
+from junctura.operators import accuracy, ambiguity, intervals, quality
 from junctura.plans import scoring  # noqa: F401  adds its queries
 from junctura.plans.queries import QUERIES
 from junctura.sources import text
@@ -92,5 +92,16 @@ def test_territory_takes_every_row_of_the_annotation(spark):
     for name, row in (("part", "explode(array(4, 7)) AS p_partkey"), ("orders", "6 AS o_orderkey, 79 AS o_custkey"), ("supplier", "1 AS s_suppkey")):
         spark.sql(f"SELECT {row}").write.parquet(f"{d}/{name}.parquet")
     got = sorted(map(tuple, QUERIES["intron_territory_whole"](spark, d).collect()))
-    assert got == [("chr3", 1710, 1809), ("chr3", 1830, 2329), ("chr5", 1430, 1929)]
+    assert got == [("chr5", 1430, 1929), ("chr6", 1710, 1809), ("chr6", 1830, 2329)]
     assert tuple(QUERIES["intronic_counts_whole"](spark, d).first()) == (2, 2, 0)
+
+
+def test_long_gaps_are_introns_and_short_ones_deletions(spark):
+    t = spark.createDataFrame([(1, 1, 65, "c", 100, "30M25D46M", False), (2, 1, 65, "c", 100, "30M10N46M", False), (3, 1, 65, "c", 100, "76M40N", False), (4, 1, 65, "c", 100, "30M50N46M", False)], ALIGNED)
+    r = t.withColumn("flag", F.when(F.col("frag") == 4, 81).otherwise(F.col("flag")))
+    got = {x["frag"]: x["spliced"] for x in accuracy.read_verdicts(accuracy.paired(t, r), 76).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True}
+    by_read = {x["k"]: (x["actual"], x["reported"], x["correct"]) for x in accuracy.multi_intron(t, r, ["frag", "mate"]).collect()}
+    by_pair = {x["k"]: (x["actual"], x["reported"], x["correct"]) for x in accuracy.multi_intron(t, r, ["frag"]).collect()}
+    assert by_read == {0: (2, 2, 3), 1: (2, 2, 1)} and by_pair == {0: (2, 2, 2), 1: (2, 2, 2)}  # the other strand counts for pairs alone
+    assert [tuple(x) for x in accuracy.indel_accuracy(t, r).collect()] == [("D", 10, 1, 0, 0)]
