@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from junctura.llm.common import strings
+
 SHORT = 64  # bytes of the longest piece that is merged in a batch
 PIECES = 200_000  # pieces in each of the two generations that a worker remembers
 CHUNK = 2 << 20  # characters encoded at a time
@@ -33,6 +35,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if max(ranks.values(), default=0) >= 1 << 20:
+            raise ValueError("ids of 2^20 and more")  # pairs of ids are packed by 20 bits
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.bytes_of = {i: t for t, i in ranks.items()}
@@ -192,7 +196,7 @@ def bpe_of(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(load_ranks(path), pattern)
 
 
-def chunks(texts: list[str], most: int = CHUNK) -> Iterator[list[str]]:
+def chunks(texts: Iterable[str], most: int = CHUNK) -> Iterator[list[str]]:
     part, size = [], 0
     for t in texts:
         part.append(t)
@@ -215,7 +219,7 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = bpe_of(path, pattern)
         for batch in batches:
             out = []
-            for part in chunks([t or "" for t in batch.column(1).to_pylist()]):
+            for part in chunks(strings(batch.column(1))):
                 for joined in bpe.encode_joined(part):
                     out.append((joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(bpe.decode_joined(joined)).hexdigest()))
             n, ids, dec = zip(*out) if out else ((), (), ())
@@ -231,7 +235,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(path, pattern)
         for batch in batches:
-            ids = [np.fromstring(j, np.int32, sep=",") if j else np.zeros(0, np.int32) for part in chunks([t or "" for t in batch.column(1).to_pylist()]) for j in bpe.encode_joined(part)]
+            ids = [np.fromstring(j, np.int32, sep=",") if j else np.zeros(0, np.int32) for part in chunks(strings(batch.column(1))) for j in bpe.encode_joined(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
 
     return source.mapInArrow(run, T.StructType([schema, *T.StructType.fromDDL("ids array<int>").fields]))

@@ -7,7 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +27,11 @@ def forget() -> None:
     """
     for clear in FORGET:
         clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
@@ -77,6 +82,13 @@ def pieces(total: int, each: int, least: int) -> int:
     return max(least, -(-total // each))
 
 
+def strings(column: pa.Array, rows: int = 512) -> Iterator[str]:
+    """The texts of a column, null as empty; no more than `rows` of them are taken out at a time."""
+    for lo in range(0, len(column), rows):
+        for t in column.slice(lo, rows).to_pylist():
+            yield t or ""
+
+
 def row_and_text(docs: DataFrame) -> DataFrame:
     """Two columns: row, a struct of all columns but text, so that no name can clash, and text."""
     rest = [docs[c] for c in docs.columns if c != "text"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from junctura.llm.common import checkpoint
+from junctura.llm.common import checkpoint, give_back, strings
 
 GROUP_ROWS = 4096
 CAPACITY = 2048
@@ -105,7 +105,8 @@ def measured(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         encoder = encoder_of(tokenizer)
         for batch in batches:
-            n = [len(x) // 4 + 1 if t else 0 for part in chunks(batch.column(3).to_pylist()) for t, x in zip(part, encoder.encode(part))]
+            n = [len(x) // 4 + 1 if t else 0 for part in chunks(strings(batch.column(3))) for t, x in zip(part, encoder.encode(part))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "cluster", "n_tokens"])
+        give_back()
 
     return source.mapInArrow(run, "doc_id long, source string, cluster long, n_tokens long")

@@ -29,14 +29,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm.common import FORGET, LOT, before, fresh_path, pieces, text_bytes
+from junctura.llm.common import FORGET, LOT, before, fresh_path, give_back, pieces, strings, text_bytes
 
 SEEK_MAGIC, SKIP_MAGIC, IDS_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 FILE_BYTES = 24 << 20  # of text for each file
 RANGES = 20_000  # of doc_id at most, one task each; a task writes as many files as its range fills
 CHUNK = 8 << 20  # characters whose words are looked up together
 PART = 1 << 26  # ids in one frame at most; a longer document takes several frames
-WORDS = 300_000  # words in each of the two generations that a worker remembers
+WORDS = 200_000  # words in each of the two generations that a worker remembers
 
 _STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|\Z)").sub  # ASCII but letters, digits and the apostrophe
 _PLAIN = re.compile(r"[a-zß-öø-ÿ]+").fullmatch  # one piece each, which the normaliser leaves as it is
@@ -212,11 +212,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> Data
 
         def each():
             for batch in batches:
-                ids, texts, k = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-                for part in chunks(texts, CHUNK):
-                    for data in encoder.encode(part):
-                        yield ids[k], data + end, len(texts[k])
-                        k += 1
+                ids = iter(batch.column(0).to_pylist())
+                for part in chunks(strings(batch.column(1)), CHUNK):
+                    for text, data in zip(part, encoder.encode(part)):
+                        yield next(ids), data + end, len(text)
 
         stream, seq = each(), 0
         while (first := next(stream, None)) is not None:
@@ -237,6 +236,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> Data
             row = {"seq": seq, "file": f"{folder}/{name}", "n_docs": n_docs, "n_ids": n_ids, "first_doc": min(known, default=None), "last_doc": max(known, default=None)}
             yield pa.RecordBatch.from_pylist([row], LISTED)
             seq += 1
+        give_back()
 
     listed = dealt.select("*").mapInArrow(run, "seq long, file string, n_docs long, n_ids long, first_doc long, last_doc long").withColumn("part", F.spark_partition_id())
     listed.write.parquet(f"{folder}/manifest")
