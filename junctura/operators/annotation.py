@@ -38,6 +38,11 @@ def exons(transcripts: DataFrame) -> DataFrame:
     return e.select("tx_id", "chr", "strand", "s", "e", kind.alias("kind"))
 
 
+def expressed(features: DataFrame, expression: DataFrame, value: str, above: float = 0.0, key: str = "tx_id") -> DataFrame:
+    """The features of transcripts whose value is above the bound; a transcript without a row in expression goes."""
+    return features.join(expression.where(F.col(value) > above).select(key), key, "left_semi")
+
+
 def gene_types(features: DataFrame) -> DataFrame:
     """gene_id and its type; n_types above 1 tells of a conflict."""
     return features.groupBy("gene_id").agg(F.min("type").alias("type"), F.countDistinct("type").alias("n_types"))

@@ -56,6 +56,19 @@ def pivoted_histogram(counts: DataFrame, classes: DataFrame, by: list[str], cap:
     return filled.select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in ["reads", *[f"n{k}" for k in range(1, cap + 1)]]])
 
 
+def filled(counts: DataFrame, sizes: dict[str, int], values: list[str], kinds: DataFrame | None = None) -> DataFrame:
+    """counts with a row for every place from 0 below each size (and for every row of kinds), zeros where there was none. The places are fixed, whatever the input."""
+    spine = kinds if kinds is not None else counts.sparkSession.range(1).select(F.lit(None).alias("_"))
+    for name, size in sizes.items():
+        spine = spine.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))).alias(name))
+    spine = spine.drop("_")
+    key = spine.columns
+    held = counts.select(*[F.col(c).cast("long").alias(c) if c in sizes else c for c in key], *values)
+    for name, size in sizes.items():
+        held = held.where(F.col(name).between(0, size - 1))
+    return spine.join(held, key, "left").na.fill(0, values)
+
+
 def position_class(op: Column, i: Column, n: Column, flag: Column) -> Column:
     """D, I, N for internal operations; D0, I0, S0 first and D1, I1, S1 last, as the read was sequenced."""
     backward = tags.has(flag, tags.REVERSE)

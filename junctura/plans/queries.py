@@ -372,6 +372,23 @@ def pair_count_grid(spark, d):
     return _grid(spark, d)
 
 
+@_query(f"""WITH {_GRID}, a AS (SELECT unnest(range(101)) AS mate1), b AS (SELECT unnest(range(101)) AS mate2)
+    SELECT CAST(a.mate1 AS BIGINT) AS mate1, CAST(b.mate2 AS BIGINT) AS mate2, coalesce(fragments, 0) AS fragments FROM a CROSS JOIN b LEFT JOIN grid ON grid.mate1 = a.mate1 AND grid.mate2 = b.mate2""")
+def pair_count_grid_full(spark, d):
+    """All 101 x 101 places, zeros included."""
+    return gaps.filled(_grid(spark, d), {"mate1": 101, "mate2": 101}, ["fragments"])
+
+
+@_query(f"""WITH {_EVENTS}, h AS (SELECT event, amb, p, coverage, count(*) AS introns FROM events_ GROUP BY ALL), ps AS (SELECT unnest(range(75)) AS p), cs AS (SELECT unnest(range(21)) AS coverage),
+    es AS (SELECT * FROM (VALUES ('tp'), ('fn'), ('fp')) e(event) CROSS JOIN (VALUES (true), (false)) m(amb))
+    SELECT event, amb, CAST(p AS BIGINT) AS p, CAST(coverage AS BIGINT) AS coverage, coalesce(introns, 0) AS introns FROM es CROSS JOIN ps CROSS JOIN cs LEFT JOIN h USING (event, amb, p, coverage)""")
+def intron_matrices(spark, d):
+    """Position by coverage, 75 x 21 places for each event and ambiguity, zeros included."""
+    h = intron_tp_fn_fp(spark, d)
+    kinds = spark.createDataFrame([(e, a) for e in ("tp", "fn", "fp") for a in (True, False)], "event string, amb boolean")
+    return gaps.filled(h, {"p": 75, "coverage": 21}, ["introns"], kinds)
+
+
 @_query(f"""WITH {_GRID}, c AS (SELECT CASE WHEN mate1 = 1 AND mate2 = 1 THEN 'UU' WHEN mate1 > 1 AND mate2 > 1 THEN 'MM' WHEN mate1 > 0 AND mate2 > 0 THEN 'UM' WHEN mate1 + mate2 = 1 THEN 'UN' WHEN mate1 + mate2 > 1 THEN 'MN' ELSE 'NN' END AS class, fragments FROM grid)
     SELECT class, CAST(sum(fragments) AS BIGINT) AS fragments, CAST(sum(fragments) AS DOUBLE) / (SELECT sum(fragments) FROM grid) AS share FROM c GROUP BY class""")
 def pair_yield(spark, d):
@@ -429,9 +446,32 @@ def gene_types(spark, d):
     SELECT CASE WHEN p_retailprice <= a THEN 1 WHEN p_retailprice <= b THEN 2 ELSE 3 END AS tertile, count(*) AS transcripts FROM part, q GROUP BY ALL""")
 def expression_tertiles(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet").select("p_retailprice")
-    edges = part.agg(F.percentile("p_retailprice", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))  # one row
-    cut = part.join(F.broadcast(edges))
-    return cut.groupBy(metrics.tertile(F.col("p_retailprice"), F.col("q")[0], F.col("q")[1]).alias("tertile")).agg(F.count("*").alias("transcripts"))
+    low, high = metrics.quantiles(part, "p_retailprice", [1 / 3, 2 / 3])
+    return part.groupBy(metrics.tertile(F.col("p_retailprice"), F.lit(low), F.lit(high)).alias("tertile")).agg(F.count("*").alias("transcripts"))
+
+
+@_query(f"WITH {A.exons_sql()} SELECT chr, count(*) AS exons, count(DISTINCT tx_id) AS transcripts FROM exons JOIN part ON p_partkey = tx_id WHERE p_retailprice > 910 GROUP BY ALL")
+def expressed_tx_filter(spark, d):
+    """Exons of transcripts that are expressed; the price of a part stands for its expression."""
+    level = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("tx_id"), F.col("p_retailprice").alias("level"))
+    return annotation.expressed(A.exons(spark, d), level, "level", 910).groupBy("chr").agg(F.count("*").alias("exons"), F.countDistinct("tx_id").alias("transcripts"))
+
+
+@_query(f"""WITH {A.exons_sql('e1', FIRST)}, {A.exons_sql('e2', SECOND)}, pred AS ({_PATTERN.format('e2')}),
+    k AS (SELECT tx_id, chr, strand, string_agg(e || '-' || nxt, ':' ORDER BY s) AS key FROM (SELECT *, lead(s) OVER (PARTITION BY tx_id ORDER BY s, e) AS nxt FROM e1) WHERE nxt IS NOT NULL GROUP BY ALL),
+    x AS (SELECT p_retailprice AS v, pred.key IS NOT NULL AS found FROM k JOIN part ON p_partkey = tx_id LEFT JOIN pred USING (chr, strand, key)),
+    q AS (SELECT quantile_cont(v, 1.0 / 3) AS a, quantile_cont(v, 2.0 / 3) AS b FROM x)
+    SELECT CASE WHEN v <= a THEN 1 WHEN v <= b THEN 2 ELSE 3 END AS tertile, count(*) AS transcripts, CAST(count(CASE WHEN found THEN 1 END) AS DOUBLE) / count(*) AS sensitivity FROM x, q GROUP BY ALL""")
+def sensitivity_by_tertile(spark, d):
+    """Share of the reference's spliced transcripts whose pattern is predicted, by tertile of their expression."""
+    chain = F.transform(F.sequence(F.lit(1), F.size("exons") - 1), lambda i: F.concat_ws("-", F.get("exons", i - 1)["e"], F.get("exons", i)["s"]))
+    ref = A.transcripts(spark, d, FIRST).where(F.size("exons") > 1).select("tx_id", "chr", "strand", F.concat_ws(":", chain).alias("key"))
+    level = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("tx_id"), F.col("p_retailprice").alias("v"))
+    hit = _patterns(spark, d, SECOND).select("chr", "strand", "key", F.lit(1).alias("hit"))
+    x = ref.join(level, "tx_id")
+    low, high = metrics.quantiles(x, "v", [1 / 3, 2 / 3])
+    told = x.join(hit, ["chr", "strand", "key"], "left")
+    return told.groupBy(metrics.tertile(F.col("v"), F.lit(low), F.lit(high)).alias("tertile")).agg(F.count("*").alias("transcripts"), metrics.ratio(F.count("hit"), F.count("*")).alias("sensitivity"))
 
 
 @_query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 5 END AS right_shift, CAST(CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS INTEGER) AS left_shift FROM part""")

@@ -58,6 +58,21 @@ def repeats(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.col("_c5").alias("chr"), (F.col("_c6").cast("int") + 1).alias("s"), F.col("_c7").cast("int").alias("e"))
 
 
+def shifts(spark: SparkSession, path: str) -> DataFrame:
+    """chr, op, t, size, ls and rs of shifts as operators.ambiguity takes them, from tab-separated region, pos, signed size (deletions are negative), left and right shift."""
+    t = spark.read.csv(path, sep="\t")
+    n = lambda i: F.col(f"_c{i}").cast("int")
+    return t.select(F.col("_c0").alias("chr"), F.when(n(2) < 0, "D").otherwise("I").alias("op"), n(1).alias("t"), F.abs(n(2)).alias("size"), n(3).alias("ls"), n(4).alias("rs")).where("size > 0")
+
+
+def coverage(spark: SparkSession, path: str, cap: int = 20) -> DataFrame:
+    """chr, start, len and reads (at most cap) from tab-separated chr:a-b, the bases beside a junction, and its reads."""
+    t = spark.read.csv(path, sep="\t")
+    part = lambda i: F.regexp_extract("_c0", r"^(.+):([0-9]+)-([0-9]+)$", i)
+    a, b = part(2).try_cast("int"), part(3).try_cast("int")
+    return t.select(part(1).alias("chr"), (a + 1).alias("start"), (b - a - 1).alias("len"), F.least(F.col("_c1").cast("int"), F.lit(cap)).alias("reads")).where("start is not null")
+
+
 def keyed(spark: SparkSession, glob: str, header: bool = True) -> DataFrame:
     """Tab-separated files with family, team, dataset and number from names such as family.team.dataset_number.txt."""
     name = F.col("_metadata.file_name")

@@ -1,8 +1,9 @@
 import tempfile
 
+import numpy as np
 import pytest
 from junctura.functions import cigar, shift, tags
-from junctura.operators import accuracy, ambiguity, intervals, quality
+from junctura.operators import accuracy, ambiguity, intervals, metrics, quality
 from junctura.plans import scoring  # noqa: F401  adds its queries
 from junctura.plans.queries import QUERIES
 from junctura.sources import text
@@ -105,3 +106,17 @@ def test_long_gaps_are_introns_and_short_ones_deletions(spark):
     by_pair = {x["k"]: (x["actual"], x["reported"], x["correct"]) for x in accuracy.multi_intron(t, r, ["frag"]).collect()}
     assert by_read == {0: (2, 2, 3), 1: (2, 2, 1)} and by_pair == {0: (2, 2, 2), 1: (2, 2, 2)}  # the other strand counts for pairs alone
     assert [tuple(x) for x in accuracy.indel_accuracy(t, r).collect()] == [("D", 10, 1, 0, 0)]
+
+
+def test_shift_and_coverage_tables(spark, tmp_path):
+    (tmp_path / "shifts.txt").write_text("c1\t110\t-2\t0\t4\nc1\t120\t3\t1\t0\n")
+    (tmp_path / "cov.txt").write_text("c1:109-160\t45\nhs:x:5-9\t3\n")
+    assert sorted(map(tuple, text.shifts(spark, str(tmp_path / "shifts.txt")).collect())) == [("c1", "D", 110, 2, 0, 4), ("c1", "I", 120, 3, 1, 0)]
+    assert sorted(map(tuple, text.coverage(spark, str(tmp_path / "cov.txt")).collect())) == [("c1", 110, 50, 20), ("hs:x", 6, 3, 3)]
+
+
+@pytest.mark.parametrize("values", [[1.0], [5.0] * 9, [1.0, 2.0, 2.0, 7.5, 1e9, -3.0, 0.25], [float(i * i % 101) for i in range(1000)]])
+def test_quantiles(spark, values):
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    assert metrics.quantiles(df, "v", [0, 1 / 3, 0.5, 1]) == pytest.approx(np.quantile(values, [0, 1 / 3, 0.5, 1]).tolist())
+    assert metrics.quantiles(df.limit(0), "v", [0.5]) == [None]
