@@ -31,6 +31,27 @@ def target_span(cigar: Column) -> Column:
     return _total(parse(cigar), TARGET_OPS)
 
 
+def indel_bases(cigar: Column) -> Column:
+    return _total(parse(cigar), ("I", "D"))
+
+
+def checked_length(cigar: Column, bases: Column) -> Column:
+    """The query length; an error where a sequence is given (not '*') and has another one."""
+    n = query_length(cigar)
+    wrong = F.coalesce((bases != "*") & (F.length(bases) != n), F.lit(False))
+    return F.when(wrong, F.raise_error(F.concat(F.lit("a sequence does not fit its CIGAR "), cigar)).cast("int")).otherwise(n)
+
+
+def read_n(cigar: Column, bases: Column) -> Column:
+    """array<int>: where M operations read an N, counted in bases of the read after a leading soft clip."""
+    steps = walk(cigar, F.lit(0))
+    clip = F.coalesce(F.get(F.filter(steps, lambda x: (x["op"] == "S") & (x["q"] == 0)), F.lit(0))["l"], F.lit(0))
+    is_n = lambda j: bases.substr(j + 1, F.lit(1)) == "N"
+    of_step = lambda x: F.filter(F.sequence(x["q"], x["q"] + x["l"] - 1), is_n)
+    found = F.flatten(F.transform(F.filter(steps, lambda x: (x["op"] == "M") & (x["l"] > 0)), of_step))
+    return F.when(bases.contains("N"), F.transform(found, lambda j: j - clip)).otherwise(F.array().cast("array<int>"))
+
+
 def walk(cigar: Column, pos: Column) -> Column:
     """array<struct<i, l, op, q, t, last>>: each operation with the query (0-based) and target position where it begins."""
     ops = parse(cigar)

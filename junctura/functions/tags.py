@@ -50,3 +50,15 @@ def edits_without_n(nm: Column, indel_bases: Column, read_n: Column, reference_n
     """Mismatches by NM without inserted and deleted bases and without positions where either side is N; at least 0."""
     only_read = F.size(F.array_except(read_n, reference_n))
     return F.greatest(nm - indel_bases - only_read - F.size(reference_n), F.lit(0))
+
+
+def reference_n(md: Column) -> Column:
+    """array<int>: positions (0-based, in aligned bases) where MD names an N of the reference; N in deletions do not count."""
+    found = F.transform(F.filter(mismatches(md), lambda x: x["base"] == "N"), lambda x: x["p"])
+    return F.when(md.contains("N"), found).otherwise(F.array().cast("array<int>"))
+
+
+def lane(qname: Column) -> Column:
+    """Run and lane, the first two fields of a read id such as RUN:3:...; another id is an error."""
+    found = F.regexp_extract(qname, r"^(\w+:[0-9]+):", 1)
+    return F.when(found == "", F.raise_error(F.concat(F.lit("no lane in read id "), qname)).cast("string")).otherwise(found)

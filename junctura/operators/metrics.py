@@ -85,3 +85,9 @@ def ecdf(df: DataFrame, value: str) -> DataFrame:
     n = df.groupBy(value).agg(F.count("*").alias("n"))
     w = Window.orderBy(value)
     return n.select(value, ratio(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("share"))
+
+
+def dense(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """A histogram with a row for every key from 0 to its largest, zeros where there was none. It has as many rows as keys, not as counts."""
+    spine = df.agg(F.max(key).cast("long").alias("top")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias(key))
+    return spine.join(df.select(F.col(key).cast("long").alias(key), *columns), key, "left").na.fill(0, columns)

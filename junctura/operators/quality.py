@@ -51,3 +51,62 @@ def mismatches_by_quality(alignments: DataFrame, qualities: DataFrame, offset: i
     main = alignments.where(~tags.has(F.col("flag"), tags.SECONDARY) & ~tags.has(F.col("flag"), tags.UNMAPPED))
     q = qualities.select("frag", "mate", tags.mean_quality(F.col("qual"), offset).alias("q"))
     return main.select("frag", "mate", "nm").join(q, ["frag", "mate"], "left").groupBy("q", "nm").agg(F.count("*").alias("reads"))
+
+
+def mismatches_without_n(alignments: DataFrame) -> DataFrame:
+    """alignments (cigar, bases, md, nm and others) with nm counted without inserted and deleted bases and without N on either side."""
+    nm = tags.edits_without_n(F.col("nm"), cigar.indel_bases(F.col("cigar")), cigar.read_n(F.col("cigar"), F.col("bases")), tags.reference_n(F.col("md")))
+    return alignments.withColumn("nm", nm)
+
+
+def ambiguity(hits: DataFrame) -> DataFrame:
+    """frag, mate, by_fragment (a mate of the fragment has a secondary alignment) and by_read (this one has), from rows of hit_tags."""
+    own = (F.col("hi") == 2) & ~tags.has(F.col("flag"), tags.UNMAPPED)
+    return hits.groupBy("frag", "mate").agg(F.max(F.col("ih") == 2).alias("by_fragment"), F.max(own).alias("by_read"))
+
+
+def with_valid_ids(counts: DataFrame, valid: DataFrame, key: str, value: str) -> DataFrame:
+    """key, valid and value: every valid id, 0 where it is absent, and the ids that are not valid."""
+    known = valid.select(key).distinct().withColumn("valid", F.lit(True))
+    return known.join(counts, key, "full").select(key, F.coalesce("valid", F.lit(False)).alias("valid"), F.coalesce(value, F.lit(0)).alias(value))
+
+
+def lane_counts(fragments: DataFrame, alignments: DataFrame) -> DataFrame:
+    """lane, total (fragments of it), mate1 and mate2 (fragments with an alignment of that mate); fragments: frag, lane."""
+    met = fragments.join(per_fragment(alignments), "frag", "left")
+    return met.groupBy("lane").agg(F.count("*").alias("total"), *[F.count(F.when(F.col(f"n{k}") > 0, 1)).alias(f"mate{k}") for k in (1, 2)])
+
+
+def checks(alignments: DataFrame, known: DataFrame, length: int) -> DataFrame:
+    """item and n: what a report of soundness lists. alignments: frag, flag, cigar, tags; known: the frags that were sequenced.
+
+    A row counts as the first of unknown read, mate number error, not aligned, else as an alignment. Whether a fragment has secondary
+    alignments only is judged where mate 1 is aligned and has no primary one: for the mate, if mate 2 has a primary one, else for the fragment.
+    Rows are counted by fragment on the map side before they meet the known reads.
+    """
+    bits = F.col("flag").bitwiseAND(F.lit(tags.MATE_1 | tags.MATE_2))
+    mated = bits.isin(tags.MATE_1, tags.MATE_2)
+    off = tags.has(F.col("flag"), tags.UNMAPPED)
+    good = mated & ~off
+    primary = good & ~tags.has(F.col("flag"), tags.SECONDARY)
+    spliced, size = F.col("cigar").contains("N"), cigar.query_length(F.col("cigar"))
+    stranded = F.exists("tags", lambda x: x.isin("XS:A:+", "XS:A:-"))
+    first = bits == tags.MATE_1
+    kinds = {
+        "rows": F.lit(True), "unmated": ~mated, "off": mated & off, "n1": good & first, "n2": good & ~first, "p1": primary & first, "p2": primary & ~first, "short": good & (size < length), "long": good & (size > length),
+        "spliced": good & spliced, "spliced_xs": good & spliced & stranded, "unspliced": good & ~spliced, "unspliced_xs": good & ~spliced & stranded,
+    }
+    per = alignments.groupBy("frag").agg(*[F.count(F.when(c, 1)).alias(k) for k, c in kinds.items()])
+    met = per.join(known.select("frag").distinct().withColumn("is_known", F.lit(True)), "frag", "left")
+    ok = F.col("is_known").isNotNull()
+    total = lambda c: F.coalesce(F.sum(F.when(ok, c)), F.lit(0)).cast("long")
+    more = lambda k: F.greatest(F.col(k) - 1, F.lit(0))
+    lone = (F.col("n1") > 0) & (F.col("p1") == 0)
+    items = {
+        "Unknown read ID": F.coalesce(F.sum(F.when(~ok, F.col("rows"))), F.lit(0)).cast("long"), "Mate number error": total(F.col("unmated")), "Non-alignment": total(F.col("off")), "Extra primary alignment": total(more("p1") + more("p2")),
+        "Only secondary alignment for mate": total((lone & (F.col("p2") > 0)).cast("long")), "Only secondary alignment for fragment": total((lone & (F.col("p2") == 0)).cast("long")),
+        "Max alignments for any read": F.coalesce(F.max(F.when(ok, F.greatest("n1", "n2"))), F.lit(0)).cast("long"), "Short sequence": total(F.col("short")), "Long sequence": total(F.col("long")),
+        "Spliced": total(F.col("spliced")), "Spliced XS": total(F.col("spliced_xs")), "Unspliced": total(F.col("unspliced")), "Unspliced XS": total(F.col("unspliced_xs")),
+    }
+    one = met.agg(F.array(*[F.struct(F.lit(k).alias("item"), c.alias("n")) for k, c in items.items()]).alias("x"))
+    return one.select(F.inline("x"))

@@ -1,5 +1,5 @@
 import pytest
-from junctura.plans import scoring  # noqa: F401  adds its queries
+from junctura.plans import checks, scoring  # noqa: F401  add their queries
 from junctura.plans.queries import ORACLE_SQL, QUERIES
 
 from tests.compare import compare
