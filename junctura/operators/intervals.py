@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+STRETCH = 1 << 16  # bases of a chromosome that one group sees
 
-def union(intervals: DataFrame) -> DataFrame:
-    """Disjoint intervals that cover the same bases; adjacent ones are merged."""
-    w = Window.partitionBy("chr").orderBy("s", "e")
+
+def _lot(column: str, stretch: int) -> Column:
+    return F.floor(F.col(column) / stretch).cast("long")
+
+
+def union(intervals: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Disjoint intervals that cover the same bases; adjacent ones are merged.
+
+    Intervals are cut at the bounds of stretches of `stretch` bases and merged in each stretch apart from the others, which sees one row
+    for each begin at most. Only what touches a bound, at most two pieces of a stretch, is then merged along its chromosome.
+    """
+    kind = {c: intervals.schema[c].dataType for c in ("s", "e")}
+    lots = intervals.select("chr", "s", "e", F.explode(F.sequence(_lot("s", stretch), _lot("e", stretch))).alias("lot"))
+    begin, end = F.col("lot") * stretch, F.col("lot") * stretch + stretch - 1
+    cut = lots.select("chr", "lot", F.greatest("s", begin).alias("s"), F.least("e", end).alias("e")).groupBy("chr", "lot", "s").agg(F.max("e").alias("e"))
+    inside = _merged(cut, ["chr", "lot"])
+    touches = (F.col("s") == begin) | (F.col("e") == end)
+    whole = _merged(inside.withColumn("lot", F.when(~touches, F.col("lot"))), ["chr", "lot"])  # null: what touches a bound
+    return whole.select("chr", *[F.col(c).cast(kind[c]).alias(c) for c in ("s", "e")])
+
+
+def _merged(intervals: DataFrame, by: list[str]) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy("s", "e")
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = intervals.distinct().withColumn("new", F.when(F.col("s") <= reach + 1, 0).otherwise(1))
+    new = intervals.withColumn("new", F.when(F.col("s") <= reach + 1, 0).otherwise(1))
     island = new.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("chr", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("chr", "s", "e")
+    return island.groupBy(*by, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 
 
-def gaps(disjoint: DataFrame) -> DataFrame:
-    """The bases between disjoint intervals of a chromosome."""
-    nxt = F.lead("s").over(Window.partitionBy("chr").orderBy("s"))
-    return disjoint.select("chr", (F.col("e") + 1).alias("s"), (nxt - 1).alias("e")).where("e >= s")
+def gaps(disjoint: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """The bases between disjoint intervals of a chromosome. Neighbours are found within stretches, then among the first and last of each."""
+    w = Window.partitionBy("chr", "lot").orderBy("s")
+    near = disjoint.select("chr", "s", "e", _lot("s", stretch).alias("lot")).select("*", F.lead("s").over(w).alias("nxt"), F.lag("s").over(w).isNull().alias("first"))
+    edge = F.col("first") | F.col("nxt").isNull()
+    near = near.withColumn("lot", F.when(~edge, F.col("lot")))  # null: first or last of a stretch
+    found = near.select("chr", "e", F.coalesce("nxt", F.lead("s").over(w)).alias("nxt"))
+    return found.select("chr", (F.col("e") + 1).alias("s"), (F.col("nxt") - 1).alias("e")).where("e >= s")
 
 
 def binned(intervals: DataFrame, width: int) -> DataFrame:

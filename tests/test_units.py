@@ -120,3 +120,51 @@ def test_quantiles(spark, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
     assert metrics.quantiles(df, "v", [0, 1 / 3, 0.5, 1]) == pytest.approx(np.quantile(values, [0, 1 / 3, 0.5, 1]).tolist())
     assert metrics.quantiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_union_and_gaps_over_stretches(spark):
+    import random
+
+    from junctura.operators import intervals
+
+    random.seed(4)
+    rows = [(f"chr{random.randrange(3)}", s, s + random.choice((0, 1, 5, 40))) for s in (random.randrange(1, 900) for _ in range(120))]
+    rows += [("chr9", 10, 19), ("chr9", 20, 29), ("chr9", 31, 300), ("chr9", 31, 300), ("chr8", 5, 5)]
+    table = spark.createDataFrame(rows, "chr string, s int, e int")
+    for stretch in (7, 10, 1 << 16):
+        made = intervals.union(table, stretch)
+        assert [f.dataType.simpleString() for f in made.schema] == ["string", "int", "int"]
+        free = intervals.gaps(made, stretch).collect()
+        made = made.collect()
+        for chr_ in {r[0] for r in rows}:
+            held = {b for c, s, e in rows if c == chr_ for b in range(s, e + 1)}
+            want = sorted((b, next(x for x in range(b, 2000) if x + 1 not in held)) for b in held if b - 1 not in held)
+            assert sorted((r.s, r.e) for r in made if r.chr == chr_) == want
+            assert sorted((r.s, r.e) for r in free if r.chr == chr_) == [(a[1] + 1, b[0] - 1) for a, b in zip(want, want[1:])]
+    assert intervals.gaps(intervals.union(table.where("s < 0"))).count() == 0
+
+
+def test_lane_needs_its_fields(spark):
+    import pytest
+
+    from junctura.functions import cigar, tags
+    from pyspark.sql import functions as F
+
+    x = spark.createDataFrame([("HW_1:3:22:x",)], "q string")
+    assert x.select(tags.lane(F.col("q"))).first()[0] == "HW_1:3"
+    with pytest.raises(Exception, match="no lane"):
+        spark.createDataFrame([("abc",)], "q string").select(tags.lane(F.col("q"))).collect()
+    seqs = spark.createDataFrame([("2S3M", "ACGTA"), ("5M", "*"), ("5M", None)], "c string, b string")
+    assert [r[0] for r in seqs.select(cigar.checked_length(F.col("c"), F.col("b"))).collect()] == [5, 5, 5]
+    with pytest.raises(Exception, match="does not fit"):
+        spark.createDataFrame([("3M", "AC")], "c string, b string").select(cigar.checked_length(F.col("c"), F.col("b"))).collect()
+    n = spark.createDataFrame([("2S4M1D2M", "NNANGTCN", "1N2^N2")], "c string, b string, md string")
+    assert n.select(cigar.read_n(F.col("c"), F.col("b")), tags.reference_n(F.col("md"))).first() == ([1, 5], [1])
+
+
+def test_checks_of_an_empty_table(spark):
+    from junctura.operators import quality
+
+    none = spark.createDataFrame([], "frag long, flag int, cigar string, tags array<string>")
+    got = quality.checks(none, spark.createDataFrame([(1,)], "frag long"), 76).collect()
+    assert len(got) == 13 and {r.n for r in got} == {0}
