@@ -54,10 +54,10 @@ def lane_counts(spark, d):
     return quality.lane_counts(fragments, _many(spark, d))
 
 
-#: The alignments of a file with some faults: no mate number, sequences too short or too long; some tell their strand.
+#: The alignments of a file with some faults: no mate number, no primary alignment, sequences too short or too long; some tell their strand.
 _SAM = {
     "frag": "frag", "mate": "mate",
-    "flag": "CASE WHEN frag % 29 = 3 THEN flag - 64 * mate ELSE flag END",
+    "flag": "CASE WHEN frag % 29 = 3 THEN flag - 64 * mate WHEN (flag & 256) = 0 AND (frag % 41 = 9 OR (frag % 37 = 8 AND mate = 1)) THEN flag + 256 ELSE flag END",
     "cigar": "CASE WHEN (flag & 4) <> 0 THEN cigar WHEN frag % 31 = 2 THEN '70M' WHEN frag % 31 = 5 THEN '50M10I20M' ELSE cigar END",
     "fields": "CASE frag % 3 WHEN 0 THEN 'NM:i:1 XS:A:+' WHEN 1 THEN 'NM:i:0' ELSE 'XS:A:-' END",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAM = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
@@ -45,9 +45,15 @@ def transcripts(features: DataFrame, type_: str | None = None) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """id, mate, seq and qual of four-line records. A quality line may begin like a header, so records are told by line number."""
-    numbered = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().toDF("value string, i long")
-    four = numbered.groupBy(F.expr("i div 4").alias("record")).agg(*[F.max(F.when(F.col("i") % 4 == k, F.col("value"))).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))])
+    """id, mate, seq and qual of four-line records. A quality line may begin like a header, so records are told by the number of the line in its file.
+
+    Lines are numbered in the blocks that a file is read by; the sums over its blocks, one row each, give their place in the file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.join(blocks.select("file", "block", (above - F.col("first")).alias("shift")), ["file", "block"]).select("file", "value", (F.col("at") + F.col("shift")).alias("i"))
+    four = numbered.groupBy("file", F.expr("i div 4").alias("record")).agg(*[F.max(F.when(F.col("i") % 4 == k, F.col("value"))).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))])
     mate = F.coalesce(F.nullif(F.regexp_extract("head", r"/([12])$", 1), F.lit("")), F.nullif(F.regexp_extract("head", r"^\S+\s+([12]):", 1), F.lit("")))
     return four.select(F.regexp_extract("head", r"^@([^\s/]+)", 1).alias("id"), mate.cast("int").alias("mate"), "seq", "qual")
 

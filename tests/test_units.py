@@ -168,3 +168,23 @@ def test_checks_of_an_empty_table(spark):
     none = spark.createDataFrame([], "frag long, flag int, cigar string, tags array<string>")
     got = quality.checks(none, spark.createDataFrame([(1,)], "frag long"), 76).collect()
     assert len(got) == 13 and {r.n for r in got} == {0}
+
+
+def test_fastq_of_files_read_in_many_blocks(spark, tmp_path):
+    from junctura.sources import text
+
+    want = set()
+    for f, n in (("a", 90), ("b", 7), ("c", 41)):
+        rows = [(f"{f}{i}", 1 + i % 2, "ACGTN"[: 1 + i % 5], "@#+I@"[: 1 + i % 5]) for i in range(n)]
+        want |= set(rows)
+        (tmp_path / f"{f}.fastq").write_text("".join(f"@{i}/{m}\n{s}\n+\n{q}\n" for i, m, s, q in rows))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(x) for x in names]
+    try:
+        for x, value in zip(names, ("100b", "1b")):
+            spark.conf.set(x, value)
+        got = [tuple(r) for r in text.fastq(spark, str(tmp_path)).select("id", "mate", "seq", "qual").collect()]
+    finally:
+        for x, value in zip(names, before):
+            spark.conf.set(x, value)
+    assert len(got) == len(want) and set(got) == want
