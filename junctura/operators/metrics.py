@@ -91,3 +91,13 @@ def dense(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """A histogram with a row for every key from 0 to its largest, zeros where there was none. It has as many rows as keys, not as counts."""
     spine = df.agg(F.max(key).cast("long").alias("top")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias(key))
     return spine.join(df.select(F.col(key).cast("long").alias(key), *columns), key, "left").na.fill(0, columns)
+
+
+def percent(part: Column, whole: Column, most: float = 100.0) -> Column:
+    """Per cent of the whole, 0 where there is none of it, at most `most`."""
+    return F.least(F.coalesce(100 * ratio(part, whole), F.lit(0.0)), F.lit(float(most)))
+
+
+def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The smallest and the largest value of each group: low, high."""
+    return df.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))

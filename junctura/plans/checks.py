@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from junctura.functions import tags
 from junctura.operators import gaps, metrics, quality
 from junctura.plans import adapters as A
-from junctura.plans.queries import _INC, CAP, _hist, _incorporated, _multi, _query, multi_intron_read
+from junctura.plans.queries import _INC, CAP, ORACLE_SQL, _hist, _incorporated, _multi, _query, multi_intron_read
 from junctura.plans.scoring import _MANY, _many, hit_tags
 
 _KINDS = "kinds(is_true, predicted) AS (VALUES (true, true), (true, false), (false, true), (false, false))"
@@ -54,6 +54,20 @@ def lane_counts(spark, d):
     return quality.lane_counts(fragments, _many(spark, d))
 
 
+_LANES = ORACLE_SQL["lane_counts"]
+
+
+@_query(f"SELECT lane, CASE WHEN total = 0 THEN 0.0 ELSE least(100 * CAST(mate1 AS DOUBLE) / total, 95.0) END AS mate1, CASE WHEN total = 0 THEN 0.0 ELSE least(100 * CAST(mate2 AS DOUBLE) / total, 95.0) END AS mate2 FROM ({_LANES})")
+def lane_percent(spark, d):
+    """Per cent of the fragments of a lane with an alignment of each mate, drawn up to 95."""
+    return lane_counts(spark, d).select("lane", *[metrics.percent(F.col(f"mate{k}"), F.col("total"), 95).alias(f"mate{k}") for k in (1, 2)])
+
+
+@_query(f"SELECT split_part(lane, ':', 1) AS run, min(mate1) AS low, max(mate1) AS high FROM ({_LANES}) GROUP BY ALL")
+def lane_range(spark, d):
+    return metrics.spread(lane_counts(spark, d).withColumn("run", F.substring_index("lane", ":", 1)), ["run"], "mate1")
+
+
 #: The alignments of a file with some faults: no mate number, no primary alignment, sequences too short or too long; some tell their strand.
 _SAM = {
     "frag": "frag", "mate": "mate",
