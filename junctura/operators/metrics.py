@@ -93,6 +93,11 @@ def dense(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return spine.join(df.select(F.col(key).cast("long").alias(key), *columns), key, "left").na.fill(0, columns)
 
 
+def wide(df: DataFrame, by: list[str], kind: str, kinds: tuple[str, ...], value: str) -> DataFrame:
+    """A column for each of the kinds with the sum of its values, 0 where there is none."""
+    return df.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(F.col(kind) == k, F.col(value))), F.lit(0)).cast("long").alias(k) for k in kinds])
+
+
 def percent(part: Column, whole: Column, most: float = 100.0) -> Column:
     """Per cent of the whole, 0 where there is none of it, at most `most`."""
     return F.least(F.coalesce(100 * ratio(part, whole), F.lit(0.0)), F.lit(float(most)))

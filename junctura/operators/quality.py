@@ -53,6 +53,11 @@ def mismatches_by_quality(alignments: DataFrame, qualities: DataFrame, offset: i
     return main.select("frag", "mate", "nm").join(q, ["frag", "mate"], "left").groupBy("q", "nm").agg(F.count("*").alias("reads"))
 
 
+def quality_distribution(reads: DataFrame, offset: int = 33) -> DataFrame:
+    """q (mean quality) and reads, from qual."""
+    return reads.groupBy(tags.mean_quality(F.col("qual"), offset).alias("q")).agg(F.count("*").alias("reads"))
+
+
 def mismatches_without_n(alignments: DataFrame) -> DataFrame:
     """alignments (cigar, bases, md, nm and others) with nm counted without inserted and deleted bases and without N on either side."""
     nm = tags.edits_without_n(F.col("nm"), cigar.indel_bases(F.col("cigar")), cigar.read_n(F.col("cigar"), F.col("bases")), tags.reference_n(F.col("md")))

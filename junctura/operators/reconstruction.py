@@ -54,6 +54,14 @@ def exon_accuracy(predicted: DataFrame, reference: DataFrame, **how) -> DataFram
     return found.join(F.broadcast(told))  # one row each
 
 
+def pattern_members(transcripts: DataFrame) -> DataFrame:
+    """tx_id of each spliced transcript and pattern, the smallest tx_id with the same introns on the same strand."""
+    chain = F.transform(F.sequence(F.lit(1), F.size("exons") - 1), lambda i: F.struct(F.get("exons", i - 1)["e"].alias("left"), F.get("exons", i)["s"].alias("right")))
+    t = transcripts.where(F.size("exons") > 1).select("tx_id", "chr", "strand", chain.alias("introns"))
+    key = ["chr", "strand", "introns"]
+    return t.join(t.groupBy(*key).agg(F.min("tx_id").alias("pattern")), key).select("tx_id", "pattern")
+
+
 def intronic_counts(alignments: DataFrame, exons: DataFrame, repeats: DataFrame) -> DataFrame:
     """One row: mapped alignments, those whose whole span is within introns and in no repeat, and those in introns that touch a repeat."""
     mapped = alignments.where(~tags.has(F.col("flag"), tags.UNMAPPED))

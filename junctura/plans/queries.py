@@ -474,12 +474,19 @@ def sensitivity_by_tertile(spark, d):
     return told.groupBy(metrics.tertile(F.col("v"), F.lit(low), F.lit(high)).alias("tertile")).agg(F.count("*").alias("transcripts"), metrics.ratio(F.count("hit"), F.count("*")).alias("sensitivity"))
 
 
-@_query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 5 END AS right_shift, CAST(CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS INTEGER) AS left_shift FROM part""")
+_CONTEXT = {
+    "before": "translate(CAST(CAST(p_partkey AS BIGINT) * 7919 AS VARCHAR(19)), '0123456789', 'ACAACCACAC')",
+    "event": "CASE p_partkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'AC' WHEN 2 THEN 'CA' ELSE 'CAA' END",
+    "after": "translate(CAST(CAST(p_partkey AS BIGINT) * 104729 AS VARCHAR(19)), '0123456789', 'CAACACCAAC')",
+}
+
+
+@_query(f"""WITH c AS (SELECT p_partkey, {', '.join(f'{x} AS {name}' for name, x in _CONTEXT.items())} FROM part), k AS (SELECT *, unnest(range(20)) AS n FROM c)
+    SELECT p_partkey, CAST(max(CASE WHEN n <= length(after) AND left(after, n) = left(repeat(event, 20), n) THEN n END) AS INTEGER) AS right_shift,
+    CAST(max(CASE WHEN n <= length(before) AND right(before, n) = right(repeat(event, 20), n) THEN n END) AS INTEGER) AS left_shift FROM k GROUP BY p_partkey""")
 def indel_shift(spark, d):
-    """Deletions in made-up contexts whose shifts are known: TTT before TTAA, and AC before ACACA after CGC."""
+    """How far deletions can move in contexts made of the digits of a key."""
     from junctura.functions import shift
 
-    even = F.expr("p_partkey % 2 = 0")
-    pick = lambda a, b: F.when(even, a).otherwise(b)
-    x = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", pick("GGAA", "CGC").alias("before"), pick("TTT", "AC").alias("event"), pick("TTAA", "ACACA").alias("after"))
+    x = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", *[f"{x} AS {name}" for name, x in _CONTEXT.items()])
     return x.select("p_partkey", shift.right_shift(F.col("after"), F.col("event")).alias("right_shift"), shift.left_shift(F.col("before"), F.col("event")).alias("left_shift"))

@@ -102,11 +102,16 @@ def mismatches_by_quality(spark, d):
     return quality.mismatches_by_quality(nm, known)
 
 
-@_query("""SELECT p, count(*) AS reads FROM (SELECT unnest(CASE p_partkey % 3 WHEN 0 THEN [] WHEN 1 THEN [10] ELSE [5, 26] END) AS p FROM part) GROUP BY ALL""")
+_MADE_MD = "concat(CAST(p_partkey % 31 AS VARCHAR(9)), 'A', CAST(p_partkey % 3 AS VARCHAR(9)), '^AC', CAST(p_partkey % 5 AS VARCHAR(9)), 'T0G', CAST(p_partkey % 17 AS VARCHAR(9)))"
+
+
+@_query(f"""WITH t AS (SELECT p_partkey, regexp_extract_all(regexp_replace({_MADE_MD}, '\\^[A-Z]+', ':', 'g'), '[0-9]+|[A-Z:]') AS a FROM part), tok AS (SELECT p_partkey, i, a[i + 1] AS x FROM (SELECT *, unnest(range(len(a))) AS i FROM t)),
+    at_ AS (SELECT x, coalesce(sum(CASE WHEN x = ':' THEN 0 ELSE coalesce(TRY_CAST(x AS INTEGER), 1) END) OVER (PARTITION BY p_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM tok)
+    SELECT CAST(p AS INTEGER) AS p, x AS base, count(*) AS reads FROM at_ WHERE x IN ('A', 'C', 'G', 'T') GROUP BY ALL""")
 def md_mismatches(spark, d):
-    """MD strings whose mismatches are known: none; at 10; at 5 and, beyond a deletion, at 26."""
-    md = spark.read.parquet(f"{d}/part.parquet").selectExpr("CASE p_partkey % 3 WHEN 0 THEN '76' WHEN 1 THEN '10A65' ELSE '5C20^ACG0T49' END AS md")
-    return md.select(F.explode(tags.mismatches(F.col("md"))).alias("x")).groupBy("x.p").agg(F.count("*").alias("reads"))
+    """Mismatches by place and base, from MD strings made of a key, with a deletion and neighbouring mismatches."""
+    md = spark.read.parquet(f"{d}/part.parquet").selectExpr(f"{_MADE_MD} AS md")
+    return md.select(F.explode(tags.mismatches(F.col("md"))).alias("x")).groupBy("x.p", "x.base").agg(F.count("*").alias("reads"))
 
 
 def _typed(name: str, rows: str) -> str:

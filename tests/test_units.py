@@ -188,3 +188,36 @@ def test_fastq_of_files_read_in_many_blocks(spark, tmp_path):
         for x, value in zip(names, before):
             spark.conf.set(x, value)
     assert len(got) == len(want) and set(got) == want
+
+
+def test_small_tables(spark, tmp_path):
+    from junctura.sources import tables, text
+
+    put = lambda name, body: ((tmp_path / name).write_text(body), str(tmp_path / name))[1]
+    assert {r.id for r in tables.ids(spark, put("ids", "c1\t9\nc2\t8\nc1\t7\n")).collect()} == {"c1", "c2"}
+    sets = put("sets", "id\tname\nx1\tA\ny2\tB\n")
+    assert [r.name for r in tables.datasets(spark, sets, "^y").collect()] == ["B"] and tables.datasets(spark, sets).count() == 2
+    styles = put("styles", "style\tlty\n1\t5\n")
+    assert [(r.name, r.lty) for r in tables.methods(spark, put("m", "name\tstyle\na\t1\n"), styles).collect()] == [("a", "5")]
+    with pytest.raises(Exception, match="no style 2"):
+        tables.methods(spark, put("m2", "name\tstyle\na\t2\n"), styles).collect()
+    level = tables.expression(spark, put("e", "tx_id\texonic\tintronic\nt1\t3\t0\n"))
+    assert [tuple(r) for r in level.collect()] == [("t1", 3, 0)]
+    with pytest.raises(Exception):
+        tables.expression(spark, put("e2", "tx\tb\tc\nt1\t3\t0\n")).collect()
+    got = tables.after_preamble(spark, put("p", "what\na\tb\n1\t2\n3\t4\n"))
+    assert got.columns == ["a", "b"] and sorted(map(tuple, got.collect())) == [("1", "2"), ("3", "4")]
+    assert [tuple(r) for r in tables.flags(spark, put("f", "id\tknown\n1\t0\n2\t1\n")).orderBy("id").collect()] == [(1, False), (2, True)]
+    with pytest.raises(ValueError):
+        tables.flags(spark, put("f2", "id\tknown\n1\t0\n3\t1\n"))
+    a = 'c1\tx\texon\t1\t9\t.\t+\t.\tgene_id "g"; transcript_id "t1";\n'
+    kept = tables.expressed_lines(spark, put("g", a + a.replace("t1", "t2")), level)
+    assert [r.value + "\n" for r in kept.collect()] == [a]
+    line = "r1\t65\tc1\t100\t9\t10M\t=\t1\t1\tACGT\tIIII\tNM:i:0\tMD:Z:30"
+    tables.write_sam(text.sam(spark, put("s", line + "\n")), str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == [line]
+    moves = spark.createDataFrame([("c", "D", 5, 2, 0, 1), ("c", "I", 6, 3, 0, 0)], "chr string, op string, t int, size int, ls int, rs int")
+    tables.write_shifts(moves, str(tmp_path / "sh"))
+    assert [tuple(r) for r in text.shifts(spark, str(tmp_path / "sh")).collect()] == [("c", "D", 5, 2, 0, 1)]
+    counts = spark.createDataFrame([("a", True), ("b", False), ("b", False)], "target string, valid boolean")
+    assert [r.target for r in tables.invalid_ids(counts).collect()] == ["b"]
