@@ -38,10 +38,20 @@ STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("suffix_d
 ORACLE_SQL = None
 
 
+#: Rows that pass between Spark and Python at a time; whole texts make large batches, which both sides hold.
+BATCH_ROWS = 2048
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    rows = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        for name, stage in STAGES:
+            path = fresh_path(spark, f"pipeline-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
     return docs

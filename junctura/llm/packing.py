@@ -107,6 +107,6 @@ def measured(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             n = [len(x) // 4 + 1 if t else 0 for part in chunks(strings(batch.column(3))) for t, x in zip(part, encoder.encode(part))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "cluster", "n_tokens"])
-        give_back()
+            give_back()
 
     return source.mapInArrow(run, "doc_id long, source string, cluster long, n_tokens long")

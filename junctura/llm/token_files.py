@@ -36,7 +36,7 @@ FILE_BYTES = 24 << 20  # of text for each file
 RANGES = 20_000  # of doc_id at most, one task each; a task writes as many files as its range fills
 CHUNK = 8 << 20  # characters whose words are looked up together
 PART = 1 << 26  # ids in one frame at most; a longer document takes several frames
-WORDS = 200_000  # words in each of the two generations that a worker remembers
+WORDS = 120_000  # words in each of the two generations that a worker remembers
 
 _STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|\Z)").sub  # ASCII but letters, digits and the apostrophe
 _PLAIN = re.compile(r"[a-zß-öø-ÿ]+").fullmatch  # one piece each, which the normaliser leaves as it is
