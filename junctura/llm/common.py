@@ -106,3 +106,43 @@ def before(counts: DataFrame, by: list[str], order: Column, lot: Column) -> Data
     lots = lots.select(*by, "_lot", F.coalesce(F.sum("_all").over(w(by, F.col("_lot"))), F.lit(0)).alias("_first"))
     inner = x.withColumn("_inner", F.coalesce(F.sum("here").over(w([*by, "_lot"], order)), F.lit(0)))
     return inner.join(lots, [*by, "_lot"]).withColumn("before", F.col("_first") + F.col("_inner")).drop("_lot", "_first", "_inner")
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """df with `idx`, the place of a row among those of `by` in `order` (from 0, nulls first), and `size`, their number.
+
+    Rows are dealt by ranges of (by, order), so a group of any size is many tasks; the rows of a task are numbered as they
+    stand, and sums over the tasks of a group, one row each, move the numbers. Rows equal in `order` stand in any order.
+    """
+    keys = [F.col(c) for c in (*by, *order)]
+    x = checkpoint(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    task = F.shiftright("_at", 33)
+    runs = x.groupBy(*by, task.alias("_task")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*by)
+    above = F.coalesce(F.sum("_n").over(w.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*[F.col(c).alias("_" + c) for c in by], "_task", (above - F.col("_first")).alias("_move"), F.sum("_n").over(w).alias("size"))
+    met = F.shiftright(x["_at"], 33) == runs["_task"]
+    for c in by:
+        met = met & x[c].eqNullSafe(runs["_" + c])
+    return x.join(runs, met).withColumn("idx", F.col("_at") + F.col("_move")).drop("_at", "_task", "_move", *["_" + c for c in by])
+
+
+STRETCH = 1024  # rows of a group that stand in one task of `running`
+
+
+def running(df: DataFrame, by: list[str], position: str, columns: dict[str, str], xor: bool = False, downward: bool = False) -> DataFrame:
+    """df with the running sums (or exclusive ors) of columns, {new: old}, along position within by, the row itself included.
+
+    A group is worked on by stretches of STRETCH positions; the sums of whole stretches, one row each, are joined to the rest.
+    """
+    f, join = (F.bit_xor, lambda a, b: a.bitwiseXOR(b)) if xor else (F.sum, lambda a, b: a + b)
+    sort = lambda c: F.col(c).desc() if downward else F.col(c)
+    x = df.withColumn("_lot", F.floor(F.col(position) / STRETCH))
+    key = [*by, "_lot"]
+    lots = x.groupBy(*key).agg(*[f(old).alias("_" + new) for new, old in columns.items()])
+    w = Window.partitionBy(*by).orderBy(sort("_lot")).rowsBetween(Window.unboundedPreceding, -1)
+    lots = lots.select(*key, *[F.coalesce(f("_" + new).over(w), F.lit(0)).alias("_" + new) for new in columns])
+    w = Window.partitionBy(*key).orderBy(sort(position)).rowsBetween(Window.unboundedPreceding, 0)
+    inner = x.select("*", *[f(old).over(w).alias("_in_" + new) for new, old in columns.items()])
+    out = inner.join(lots, key)
+    return out.select(*df.columns, *[join(F.col("_in_" + new), F.col("_" + new)).alias(new) for new in columns])
