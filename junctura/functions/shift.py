@@ -1,4 +1,4 @@
-"""How far an insertion or deletion can move without changing the alignment's sequence."""
+"""How far an insertion or deletion can move without changing the sequence."""
 
 from __future__ import annotations
 

@@ -23,7 +23,7 @@ def indels(alignments: DataFrame, keep: list[str], longest: int = gaps.INTRON) -
 def with_shifts(found: DataFrame, shifts: DataFrame, keep: list[str]) -> DataFrame:
     """Adds ls and rs, the largest known shifts to the left and right (0 if none is known), from shifts (chr, op, t, size, ls, rs).
 
-    Sizes must be equal; an insertion at an end of its alignment may be a part of a longer one.
+    Sizes must be equal; an insertion at an end of its read may be a part of a longer one.
     """
     known = shifts.select("chr", "op", "t", "size", F.col("ls").alias("_ls"), F.col("rs").alias("_rs")).groupBy("chr", "op", "t", "size").agg(F.max("_ls").alias("_ls"), F.max("_rs").alias("_rs"))
     part = (F.col("op") == "I") & F.col("terminal") & (F.col("size") > F.col("l"))

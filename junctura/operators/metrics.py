@@ -44,49 +44,83 @@ def variation(value: Column) -> Column:
     return F.stddev_pop(value) / F.nullif(F.avg(value), F.lit(0.0))
 
 
-BUCKETS = 4096
+BUCKETS = 4096  # to a range that is looked at
+
+
+def _located(x: DataFrame, low: float, high: float, ranks: list[int]) -> dict[int, float]:
+    """The values at ranks (from 0) of a column v of finite numbers from low to high. Each round counts the values of all open ranges in one scan; BUCKETS rows for each open range reach the driver.
+
+    A range is cut into equal parts (its smallest value from the rest, where parts would be empty); a part that holds a rank becomes a range of its own
+    from its smallest to its largest value. The smallest and the largest value of a range never share a part, so each round narrows.
+    """
+    found: dict[int, float] = {}
+    open_ = {(low, high): [(k, k) for k in ranks]}  # range: (rank within it, rank asked for)
+    while open_:
+        for bounds in [b for b in open_ if b[0] == b[1]]:
+            found |= {asked: bounds[0] for _, asked in open_.pop(bounds)}
+        if not open_:
+            break
+        bucket = F.lit(None).cast("struct<r:int,b:int>")
+        ranges = sorted(open_)
+        for i, (a, b) in enumerate(ranges):
+            width = b / BUCKETS - a / BUCKETS
+            at = F.floor((F.col("v") / BUCKETS - a / BUCKETS) / width * BUCKETS) if width > 0 else F.when(F.col("v") > a, BUCKETS - 1).otherwise(0)
+            inside = F.col("v").between(a, b)
+            bucket = F.when(inside, F.struct(F.lit(i).alias("r"), F.least(F.greatest(at, F.lit(0)), F.lit(BUCKETS - 1)).cast("int").alias("b"))).otherwise(bucket)
+        rows = x.withColumn("x", bucket).where("x is not null").groupBy("x.r", "x.b").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        narrower: dict[tuple[float, float], list[tuple[int, int]]] = {}
+        for i, bounds in enumerate(ranges):
+            below = 0
+            for r in sorted((r for r in rows if r["r"] == i), key=lambda r: r["b"]):
+                inside = [(k - below, asked) for k, asked in open_[bounds] if below <= k < below + r["n"]]
+                if inside:
+                    part = (r["low"], r["high"])
+                    if part == bounds:
+                        raise ValueError(f"the range {bounds} does not narrow")
+                    narrower.setdefault(part, []).extend(inside)
+                below += r["n"]
+        open_ = narrower
+    return found
+
+
+def order_statistics(df: DataFrame, value: str, ranks: list[int]) -> list[float]:
+    """The values at ranks (from 0) of a column in ascending order, without sorting it: -infinity first, then numbers, infinity, NaN. Nulls are left out.
+
+    All ranks are looked for at once, so the input is read once for the bounds and once for each narrowing of the ranges.
+    """
+    v = F.col(value).cast("double")
+    x = df.where(v.isNotNull()).select(v.alias("v"))
+    inf = float("inf")
+    finite = ~F.isnan("v") & (F.abs("v") < inf)
+    one = lambda c: F.count(F.when(c, 1))
+    lows, numbers, highs, low, high = x.agg(one(F.col("v") == -inf), one(finite), one(F.col("v") == inf), F.min(F.when(finite, F.col("v"))), F.max(F.when(finite, F.col("v")))).first()
+    inner = sorted({k - lows for k in ranks if lows <= k < lows + numbers})
+    found = _located(x.where(finite), low, high, inner) if inner else {}
+    return [-inf if k < lows else found[k - lows] if k < lows + numbers else inf if k < lows + numbers + highs else float("nan") for k in ranks]
 
 
 def order_statistic(df: DataFrame, value: str, k: int) -> float:
-    """The k-th smallest value (from 0) of a column without nulls, by histograms of ever narrower ranges; BUCKETS rows at most reach the driver."""
-    x = df.select(F.col(value).cast("double").alias("v"))
-    low, high = x.agg(F.min("v"), F.max("v")).first()
-    while low != high:
-        share = (F.col("v") - low) / F.lit((high - low) or 1.0) * BUCKETS
-        bucket = F.least(F.floor(share), F.lit(BUCKETS - 1)).cast("int").alias("b")
-        rows = x.where(F.col("v").between(low, high)).groupBy(bucket).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
-        for r in sorted(rows):
-            if k < r["n"]:
-                low, high = r["low"], r["high"]
-                break
-            k -= r["n"]
-    return low
+    """The k-th smallest value (from 0), as order_statistics has it."""
+    return order_statistics(df, value, [k])[0]
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
-    """Exact quantiles, interpolated between neighbours; nulls are left out. No task sees all distinct values."""
-    known = df.where(F.col(value).isNotNull())
+    """Exact quantiles, interpolated between neighbours; null and NaN are left out. No task sees all distinct values."""
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     n = known.count()
-    out = []
-    for share in shares if n else []:
-        at = (n - 1) * share
-        a, b = math.floor(at), math.ceil(at)
-        low = order_statistic(known, value, a)
-        out.append(low if a == b else low + (order_statistic(known, value, b) - low) * (at - a))
-    return out or [None] * len(shares)
+    if not n:
+        return [None] * len(shares)
+    at = [(n - 1) * share for share in shares]
+    ranks = sorted({f(a) for a in at for f in (math.floor, math.ceil)})
+    v = dict(zip(ranks, order_statistics(known, value, ranks)))
+    between = lambda a, lo, hi: lo if lo == hi else lo + (hi - lo) * (a - math.floor(a))
+    return [between(a, v[math.floor(a)], v[math.ceil(a)]) for a in at]
 
 
 def tertile(value: Column, low: Column, high: Column) -> Column:
     return F.when(value <= low, 1).when(value <= high, 2).otherwise(3)
 
 
-def ecdf(df: DataFrame, value: str) -> DataFrame:
-    """value and the share of rows at or below it."""
-    n = df.groupBy(value).agg(F.count("*").alias("n"))
-    w = Window.orderBy(value)
-    return n.select(value, ratio(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("share"))
-
-
 def dense(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """A histogram with a row for every key from 0 to its largest, zeros where there was none. It has as many rows as keys, not as counts."""
     spine = df.agg(F.max(key).cast("long").alias("top")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias(key))

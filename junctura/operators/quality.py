@@ -65,7 +65,7 @@ def mismatches_without_n(alignments: DataFrame) -> DataFrame:
 
 
 def ambiguity(hits: DataFrame) -> DataFrame:
-    """frag, mate, by_fragment (a mate of the fragment has a secondary alignment) and by_read (this one has), from rows of hit_tags."""
+    """frag, mate, by_fragment (a mate of the fragment has a secondary row) and by_read (this one has), from rows of hit_tags."""
     own = (F.col("hi") == 2) & ~tags.has(F.col("flag"), tags.UNMAPPED)
     return hits.groupBy("frag", "mate").agg(F.max(F.col("ih") == 2).alias("by_fragment"), F.max(own).alias("by_read"))
 
@@ -77,7 +77,7 @@ def with_valid_ids(counts: DataFrame, valid: DataFrame, key: str, value: str) ->
 
 
 def lane_counts(fragments: DataFrame, alignments: DataFrame) -> DataFrame:
-    """lane, total (fragments of it), mate1 and mate2 (fragments with an alignment of that mate); fragments: frag, lane."""
+    """lane, total (fragments of it), mate1 and mate2 (fragments with that mate aligned); fragments: frag, lane."""
     met = fragments.join(per_fragment(alignments), "frag", "left")
     return met.groupBy("lane").agg(F.count("*").alias("total"), *[F.count(F.when(F.col(f"n{k}") > 0, 1)).alias(f"mate{k}") for k in (1, 2)])
 
@@ -85,7 +85,7 @@ def lane_counts(fragments: DataFrame, alignments: DataFrame) -> DataFrame:
 def checks(alignments: DataFrame, known: DataFrame, length: int) -> DataFrame:
     """item and n: what a report of soundness lists. alignments: frag, flag, cigar, tags; known: the frags that were sequenced.
 
-    A row counts as the first of unknown read, mate number error, not aligned, else as an alignment. Whether a fragment has secondary
+    A row counts as the first of unknown read, mate number error, not aligned, else as aligned. Whether a fragment has secondary
     alignments only is judged where mate 1 is aligned and has no primary one: for the mate, if mate 2 has a primary one, else for the fragment.
     Rows are counted by fragment on the map side before they meet the known reads.
     """

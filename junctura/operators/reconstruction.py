@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from junctura.functions import cigar, tags
-from junctura.operators import intervals
+from junctura.operators import intervals, order
 
 
 def typed_exons(transcripts: DataFrame) -> DataFrame:
@@ -54,10 +54,20 @@ def exon_accuracy(predicted: DataFrame, reference: DataFrame, **how) -> DataFram
     return found.join(F.broadcast(told))  # one row each
 
 
+def _chains(transcripts: DataFrame) -> DataFrame:
+    """tx_id, chr, strand and introns of the spliced transcripts."""
+    chain = F.transform(F.sequence(F.lit(1), F.size("exons") - 1), lambda i: F.struct(F.get("exons", i - 1)["e"].alias("left"), F.get("exons", i)["s"].alias("right")))
+    return transcripts.where(F.size("exons") > 1).select("tx_id", "chr", "strand", chain.alias("introns"))
+
+
+def pattern_ids(transcripts: DataFrame) -> DataFrame:
+    """tx_id and pattern_id of each spliced transcript: patterns (introns and strand) are numbered from 1 without gaps, in their order."""
+    return order.dense_ids(_chains(transcripts), ["chr", "strand", "introns"], "pattern_id").select("tx_id", "pattern_id")
+
+
 def pattern_members(transcripts: DataFrame) -> DataFrame:
     """tx_id of each spliced transcript and pattern, the smallest tx_id with the same introns on the same strand."""
-    chain = F.transform(F.sequence(F.lit(1), F.size("exons") - 1), lambda i: F.struct(F.get("exons", i - 1)["e"].alias("left"), F.get("exons", i)["s"].alias("right")))
-    t = transcripts.where(F.size("exons") > 1).select("tx_id", "chr", "strand", chain.alias("introns"))
+    t = _chains(transcripts)
     key = ["chr", "strand", "introns"]
     return t.join(t.groupBy(*key).agg(F.min("tx_id").alias("pattern")), key).select("tx_id", "pattern")
 

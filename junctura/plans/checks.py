@@ -59,7 +59,7 @@ _LANES = ORACLE_SQL["lane_counts"]
 
 @_query(f"SELECT lane, CASE WHEN total = 0 THEN 0.0 ELSE least(100 * CAST(mate1 AS DOUBLE) / total, 95.0) END AS mate1, CASE WHEN total = 0 THEN 0.0 ELSE least(100 * CAST(mate2 AS DOUBLE) / total, 95.0) END AS mate2 FROM ({_LANES})")
 def lane_percent(spark, d):
-    """Per cent of the fragments of a lane with an alignment of each mate, drawn up to 95."""
+    """Per cent of the fragments of a lane with each mate aligned, drawn up to 95."""
     return lane_counts(spark, d).select("lane", *[metrics.percent(F.col(f"mate{k}"), F.col("total"), 95).alias(f"mate{k}") for k in (1, 2)])
 
 
@@ -68,7 +68,7 @@ def lane_range(spark, d):
     return metrics.spread(lane_counts(spark, d).withColumn("run", F.substring_index("lane", ":", 1)), ["run"], "mate1")
 
 
-#: The alignments of a file with some faults: no mate number, no primary alignment, sequences too short or too long; some tell their strand.
+#: The alignments of a file with some faults: no mate number, no primary row, sequences too short or too long; some tell their strand.
 _SAM = {
     "frag": "frag", "mate": "mate",
     "flag": "CASE WHEN frag % 29 = 3 THEN flag - 64 * mate WHEN (flag & 256) = 0 AND (frag % 41 = 9 OR (frag % 37 = 8 AND mate = 1)) THEN flag + 256 ELSE flag END",

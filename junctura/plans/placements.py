@@ -48,13 +48,12 @@ def shifts(spark, d):
     return found.selectExpr("*", f"{_LEFT} AS ls", f"{_RIGHT} AS rs")
 
 
-_SQL = f"""truth AS (SELECT {A._sql(TRUTH)} FROM orders CROSS JOIN (VALUES (1), (2)) m(mate)), report AS (SELECT {A._sql(REPORT)} FROM truth WHERE frag % 41 <> 9),
-    {A.ops_sql('top', 'truth')}, {A.ops_sql('rop0', "(SELECT *, false AS amb FROM report)")},
-    small AS (SELECT frag, mate, chr, CASE WHEN op = 'I' THEN 'I' ELSE 'D' END AS op, i, q - CASE WHEN op = 'I' THEN 0 ELSE 1 END AS q, t, l, q = 0 OR i = n - 1 AS terminal FROM top WHERE op = 'I' OR ({A.SHORT_GAP})),
-    shifts AS (SELECT DISTINCT chr, op, t, {_SIZE} AS size, {_LEFT} AS ls, {_RIGHT} AS rs FROM small WHERE t % 7 <> 0),
+def allowed_sql(most: int) -> str:
+    """SQL that judges report against truth base by base, with shifts (chr, op, t, size, ls, rs) of fewer than `most` bases: v has a row for each true read."""
+    return f"""small AS (SELECT frag, mate, chr, CASE WHEN op = 'I' THEN 'I' ELSE 'D' END AS op, i, q - CASE WHEN op = 'I' THEN 0 ELSE 1 END AS q, t, l, q = 0 OR i = n - 1 AS terminal FROM top WHERE op = 'I' OR ({A.SHORT_GAP})),
     ti AS (SELECT s.frag, s.mate, s.op, s.i, s.q, s.t, s.l, coalesce(max(k.ls), 0) AS ls, coalesce(max(k.rs), 0) AS rs FROM small s
         LEFT JOIN shifts k ON k.chr = s.chr AND k.op = s.op AND k.t = s.t AND (k.size = s.l OR (s.op = 'I' AND s.terminal AND k.size > s.l)) GROUP BY ALL),
-    js AS (SELECT unnest(range(76)) AS j), steps AS (SELECT unnest(range(1, 6)) AS i),
+    js AS (SELECT unnest(range(76)) AS j), steps AS (SELECT unnest(range(1, {most})) AS i),
     tb AS (SELECT frag, mate, q + k AS j, CASE op WHEN 'I' THEN 2 * t - 1 WHEN 'M' THEN 2 * (t + k) END AS c FROM (SELECT *, unnest(range(l)) AS k FROM top WHERE op IN ('M', 'I', 'S'))),
     rb AS (SELECT frag, mate, q + k AS j, CASE op WHEN 'I' THEN 2 * t - 1 WHEN 'M' THEN 2 * (t + k) END AS c FROM (SELECT *, unnest(range(l)) AS k FROM rop0 WHERE op IN ('M', 'I', 'S'))),
     allowed AS (
@@ -76,6 +75,12 @@ _SQL = f"""truth AS (SELECT {A._sql(TRUTH)} FROM orders CROSS JOIN (VALUES (1),
     v AS (SELECT *, CASE WHEN equal THEN 0 ELSE placed_n - good END AS bad, CASE WHEN good = 76 THEN 'perfect' WHEN good > 0 THEN 'partial' WHEN same AND met THEN 'overlap' ELSE 'none' END AS verdict FROM v0)"""
 
 
+_SHIFTS_SQL = f"""known AS (SELECT chr, CASE WHEN op = 'I' THEN 'I' ELSE 'D' END AS op, t, l, q = 0 OR i = n - 1 AS terminal FROM top WHERE op = 'I' OR ({A.SHORT_GAP})),
+    shifts AS (SELECT DISTINCT chr, op, t, {_SIZE} AS size, {_LEFT} AS ls, {_RIGHT} AS rs FROM known WHERE t % 7 <> 0)"""
+_SQL = f"""truth AS (SELECT {A._sql(TRUTH)} FROM orders CROSS JOIN (VALUES (1), (2)) m(mate)), report AS (SELECT {A._sql(REPORT)} FROM truth WHERE frag % 41 <> 9),
+    {A.ops_sql('top', 'truth')}, {A.ops_sql('rop0', "(SELECT *, false AS amb FROM report)")}, {_SHIFTS_SQL}, {allowed_sql(6)}"""
+
+
 @_query(f"""WITH {_SQL}, cats(cat) AS (VALUES ('uni_contig'), ('uni_spliced'), ('amb_contig'), ('amb_spliced')),
     got AS (SELECT concat(CASE WHEN amb THEN 'amb' ELSE 'uni' END, CASE WHEN spliced THEN '_spliced' ELSE '_contig' END) AS cat, sum(good) AS a, sum(bad) AS b, count(CASE WHEN aligned THEN 1 END) AS c, count(CASE WHEN verdict = 'overlap' THEN 1 END) AS d,
         count(CASE WHEN verdict = 'partial' THEN 1 END) AS e, count(CASE WHEN verdict = 'perfect' THEN 1 END) AS f, count(*) AS g FROM v GROUP BY ALL)

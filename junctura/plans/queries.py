@@ -1,4 +1,4 @@
-"""Named queries over the alignment operators, each with its SQL oracle."""
+"""Named queries over the operators on aligned reads, each with its SQL oracle."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""More named queries: ambiguous indels, alignment quality, reconstructed exons and patterns. They join those of `queries`."""
+"""More named queries: ambiguous indels, quality of alignments, reconstructed exons and patterns. They join those of `queries`."""
 
 from __future__ import annotations
 

@@ -3,7 +3,7 @@ import tempfile
 import numpy as np
 import pytest
 from junctura.functions import cigar, shift, tags
-from junctura.operators import accuracy, ambiguity, intervals, metrics, quality
+from junctura.operators import accuracy, ambiguity, intervals, metrics, order, quality
 from junctura.plans import scoring  # noqa: F401  adds its queries
 from junctura.plans.queries import QUERIES
 from junctura.sources import text
@@ -122,6 +122,45 @@ def test_quantiles(spark, values):
     assert metrics.quantiles(df.limit(0), "v", [0.5]) == [None]
 
 
+NAN, INF = float("nan"), float("inf")
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0, NAN], [NAN] * 3, [INF, 1.0, -INF, 2.0, INF, NAN], [-INF] * 4, [INF, -INF], [5e-324, 0.0, -5e-324, 1.7e308, -1.7e308, 1.0, 1.0], [10.0**k for k in range(-300, 300, 7)], [None, None], [7.0] * 50])
+def test_order_statistics_end_on_every_input(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    want = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
+    got = metrics.order_statistics(df, "v", list(range(len(want))))
+    assert len(got) == len(want) and all(a == b or (a != a and b != b) for a, b in zip(got, want))
+    numbers = [v for v in want if v == v]
+    middle = metrics.quantiles(df, "v", [0.5])
+    assert middle == [None] if not numbers else len(middle) == 1
+
+
+def test_ranks_and_running_sums_over_ranges(spark):
+    values = [None, *[i * 37 % 11 for i in range(200)]]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int")
+    kinds = {v: k + 1 for k, v in enumerate(sorted(set(values), key=lambda v: (v is not None, v or 0)))}
+    assert {(r.v, r.i, r.id) for r in order.dense_ids(df, ["v"]).collect()} == {(v, i, kinds[v]) for i, v in enumerate(values)}
+    assert [r["rank"] for r in order.numbered(df, ["v", "i"]).orderBy("rank").collect()] == list(range(1, 202))
+    assert order.dense_ids(df.limit(0), ["v"]).count() == order.numbered(df.limit(0), ["v"]).count() == 0
+
+
+def test_distribution_function(spark):
+    values = [1.0, 1.0, 2.0, 5.0, 5.0, 5.0, 40.0, NAN, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    steps = order.ecdf(df, "v")
+    assert sorted(map(tuple, steps.collect())) == [(1.0, 2 / 7), (2.0, 3 / 7), (5.0, 6 / 7), (40.0, 1.0)]
+    grid = [0.5, 1.0, 1.5, 4.999, 5.0, 39.0, 40.0, 1000.0]
+    assert [tuple(r) for r in order.sampled(steps, "v", grid).orderBy("x").collect()] == list(zip(grid, [0.0, 2 / 7, 2 / 7, 3 / 7, 6 / 7, 6 / 7, 1.0, 1.0]))
+    assert order.ecdf(df.limit(0), "v").count() == 0 and [r.share for r in order.sampled(steps.limit(0), "v", grid[:2]).collect()] == [0.0, 0.0]
+    assert order.exponential_grid(1.0, 100.0, 3) == pytest.approx([1, 10, 100])
+    with pytest.raises(ValueError):
+        order.sampled(steps, "v", list(range(order.POINTS + 1)))
+    for plan in (order.ecdf(df, "v"), order.dense_ids(df, ["v"])):
+        text_ = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "windowspecdefinition(_at" not in text_  # each window runs within a task
+
+
 def test_union_and_gaps_over_stretches(spark):
     import random
 
