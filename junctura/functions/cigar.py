@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,11 @@ def read_n(cigar: Column, bases: Column) -> Column:
     return F.when(bases.contains("N"), F.transform(found, lambda j: j - clip)).otherwise(F.array().cast("array<int>"))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def walk(cigar: Column, pos: Column) -> Column:
     """array<struct<i, l, op, q, t, last>>: each operation with the query (0-based) and target position where it begins."""
     ops = parse(cigar)

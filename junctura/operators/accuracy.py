@@ -50,17 +50,73 @@ def read_accuracy(verdicts: DataFrame) -> DataFrame:
     return spine.join(F.broadcast(got), ["amb", "spliced"], "left").na.fill(0)  # four rows
 
 
-def intron_events(truth: DataFrame, report: DataFrame, coverage: DataFrame, length: int, cap: int = 20) -> DataFrame:
-    """event (tp, fn, fp), amb, p (position in the read, as sequenced) and coverage (capped; 0 if unknown) of every intron."""
-    key = ["frag", "mate", "amb", "chr", "flag"]
-    strand = tags.has(F.col("flag"), tags.REVERSE)
-    t = gaps.introns(truth, key, gaps.INTRON).select("frag", "mate", "amb", "chr", strand.alias("minus"), "start", "len", tags.mirrored(F.col("q") - 1, F.col("flag"), length).alias("p"))
-    r = gaps.introns(report, key, gaps.INTRON).select("frag", "mate", F.col("amb").alias("r_amb"), "chr", strand.alias("minus"), "start", "len", tags.mirrored(F.col("q") - 1, F.col("flag"), length).alias("r_p"))
-    both = t.join(r, ["frag", "mate", "chr", "minus", "start", "len"], "full")
-    event = F.when(F.col("r_p").isNull(), "fn").when(F.col("p").isNull(), "fp").otherwise("tp")
-    named = both.select("chr", "start", "len", event.alias("event"), F.coalesce("amb", "r_amb").alias("amb"), F.coalesce("p", "r_p").alias("p"))
+_PLACE = "struct<amb:boolean,chr:string,flag:int,pos:int,cigar:string>"
+
+
+def together(truth: DataFrame, report: DataFrame, needed: Column, every: bool = False) -> DataFrame:
+    """frag and mates: for each mate of a fragment its true and its reported placement (t, r; null where it is not there, not mapped or not needed) and whether it is among the true reads.
+
+    Both sides meet in one exchange, of needed rows only; with `every`, true reads without need come as their key. A read that is there twice on a side is an error.
+    """
+    place = F.struct("amb", "chr", F.col("flag").cast("int").alias("flag"), F.col("pos").cast("int").alias("pos"), "cigar").cast(_PLACE)
+    needed = needed & ~tags.has(F.col("flag"), tags.UNMAPPED)
+    side = lambda df, true: df.select("frag", "mate", F.lit(true).alias("true"), F.when(needed, place).alias("place"))
+    t, r = side(truth, True), side(report, False).where("place is not null")
+    rows = (t if every else t.where("place is not null")).union(r).groupBy("frag").agg(F.collect_list(F.struct("mate", "true", "place")).alias("x"))
+    several = F.raise_error(F.concat(F.lit("a read has several rows on a side in fragment "), F.col("frag").cast("string"))).cast(_PLACE)
+
+    def mate(m: int) -> Column:
+        of = lambda true: F.filter("x", lambda v: (v["mate"] == m) & (v["true"] == F.lit(true)))
+        one = lambda true: F.when(F.size(of(true)) > 1, several).otherwise(F.get(of(true), F.lit(0))["place"])
+        return F.struct(F.lit(m).alias("mate"), (F.size(of(True)) > 0).alias("seen"), one(True).alias("t"), one(False).alias("r"))
+
+    return rows.select("frag", F.array(mate(1), mate(2)).alias("mates"))
+
+
+_INTRONS = "array<struct<start:int,len:int,q:int>>"
+
+
+def _introns(p: Column) -> Column:
+    """The internal gaps of more than gaps.INTRON bases of a placement, found in its row."""
+    inner = lambda steps: F.filter(steps, lambda x: x["op"].isin("N", "D") & (x["l"] > gaps.INTRON) & (x["i"] > 0) & (x["i"] < F.size(steps) - 1))
+    listed = F.transform(cigar.bound(cigar.walk(p["cigar"], p["pos"]), inner), lambda x: F.struct(x["t"].alias("start"), x["l"].alias("len"), x["q"].alias("q")))
+    return F.coalesce(F.when(gaps.has_intron(p["cigar"]), listed), F.array().cast(_INTRONS))
+
+
+def _read_introns(truth: DataFrame, report: DataFrame, every: bool = False) -> DataFrame:
+    """frag and mates with ti and ri, the true and the reported introns of each read; equal placements are walked once."""
+    x = together(truth, report, gaps.has_intron(F.col("cigar")), every)
+    x = x.select("frag", F.transform("mates", lambda m: F.struct(m["mate"].alias("mate"), m["seen"].alias("seen"), m["t"].alias("t"), m["r"].alias("r"), _introns(m["t"]).alias("ti"))).alias("mates"))
+    equal = lambda m: F.coalesce((m["t"]["pos"] == m["r"]["pos"]) & (m["t"]["cigar"] == m["r"]["cigar"]), F.lit(False))
+    more = lambda m: F.struct(*[m[c].alias(c) for c in ("mate", "seen", "t", "r", "ti")], F.when(equal(m), m["ti"]).otherwise(_introns(m["r"])).alias("ri"))
+    return x.select("frag", F.transform("mates", more).alias("mates"))
+
+
+def _same_strand(t: Column, r: Column) -> Column:
+    return F.coalesce((t["chr"] == r["chr"]) & (tags.has(t["flag"], tags.REVERSE) == tags.has(r["flag"], tags.REVERSE)), F.lit(False))
+
+
+def _holds(introns: Column, x: Column) -> Column:
+    return F.exists(introns, lambda y: (y["start"] == x["start"]) & (y["len"] == x["len"]))
+
+
+def intron_events(truth: DataFrame, report: DataFrame, coverage: DataFrame, length: int, cap: int = 20, strict: bool = False) -> DataFrame:
+    """event (tp, fn, fp), amb, p (position in the read, as sequenced) and coverage (capped; 0 if unknown) of every intron.
+
+    Reads without introns are not shuffled; the others once, and their introns are matched in the row. strict: a true intron without coverage is an error.
+    """
+    reads = _read_introns(truth, report).select(F.inline("mates"))
+    same, t, r = _same_strand(F.col("t"), F.col("r")), F.col("t"), F.col("r")
+    one = lambda x, event, side: F.struct(event.alias("event"), side["amb"].alias("amb"), tags.mirrored(x["q"] - 1, side["flag"], length).alias("p"), side["chr"].alias("chr"), x["start"].alias("start"), x["len"].alias("len"))
+    true = F.transform("ti", lambda x: one(x, F.when(same & _holds(F.col("ri"), x), "tp").otherwise("fn"), t))
+    false = F.transform(F.filter("ri", lambda x: ~(same & _holds(F.col("ti"), x))), lambda x: one(x, F.lit("fp"), r))
+    named = reads.select(F.inline(F.concat(true, false)))
     depth = coverage.select("chr", "start", "len", F.least("reads", F.lit(cap)).alias("coverage"))
-    return named.join(depth, ["chr", "start", "len"], "left").select("event", "amb", "p", F.coalesce("coverage", F.lit(0)).alias("coverage"))
+    met = named.join(depth, ["chr", "start", "len"], "left")
+    if strict:
+        none = F.raise_error(F.concat(F.lit("no coverage for the true junction "), F.concat_ws(":", "chr", "start", "len"))).cast("bigint")
+        met = met.withColumn("coverage", F.when((F.col("event") != "fp") & (F.coalesce("coverage", F.lit(0)) == 0), none).otherwise(F.col("coverage")))
+    return met.select("event", "amb", "p", F.coalesce("coverage", F.lit(0)).alias("coverage"))
 
 
 def multi_intron(truth: DataFrame, report: DataFrame, by: list[str]) -> DataFrame:
@@ -68,24 +124,38 @@ def multi_intron(truth: DataFrame, report: DataFrame, by: list[str]) -> DataFram
 
     An intron of a read is correct on its strand only; the mates of a pair have two strands, so pairs go without.
     """
-    strand = tags.has(F.col("flag"), tags.REVERSE) if "mate" in by else F.lit(False)
-    place = [*by, "chr", "minus", "start", "len"]
-    each = lambda x: gaps.introns(x, [*by, "chr", "flag"], gaps.INTRON).withColumn("minus", strand).select(*place).distinct()
-    t, r = each(truth).withColumn("t", F.lit(1)), each(report).withColumn("r", F.lit(1))
-    per = t.join(r, place, "full").groupBy(*by).agg(F.count("t").alias("actual"), F.count("r").alias("reported"), F.count(F.col("t") + F.col("r")).alias("correct"))
-    all_ = truth.select(*by).distinct().join(per, by, "left").na.fill(0, ["actual", "reported", "correct"])
-    long = all_.unpivot([], ["actual", "reported", "correct"], "what", "k")
-    one = lambda w: F.count(F.when(F.col("what") == w, 1)).alias(w)
+    x = _read_introns(truth, report, every=True)
+    if "mate" in by:
+        per = x.select(F.inline("mates")).where("seen")
+        correct = F.when(_same_strand(F.col("t"), F.col("r")), F.size(F.filter("ti", lambda i: _holds(F.col("ri"), i)))).otherwise(0)
+        per = per.select(F.size("ti").alias("actual"), F.size("ri").alias("reported"), correct.alias("correct"))
+    else:
+        every = lambda side, introns: F.array_distinct(F.flatten(F.transform("mates", lambda m: F.transform(m[introns], lambda i: F.struct(m[side]["chr"].alias("chr"), i["start"].alias("start"), i["len"].alias("len"))))))
+        pairs = x.where(F.exists("mates", lambda m: m["seen"])).select(every("t", "ti").alias("ti"), every("r", "ri").alias("ri"))
+        per = pairs.select(F.size("ti").alias("actual"), F.size("ri").alias("reported"), F.size(F.array_intersect("ti", "ri")).alias("correct"))
+    kinds = per.groupBy("actual", "reported", "correct").agg(F.count("*").alias("units"))  # few kinds, whatever the number of reads
+    long = kinds.unpivot(["units"], ["actual", "reported", "correct"], "what", "k")
+    one = lambda w: F.coalesce(F.sum(F.when(F.col("what") == w, F.col("units"))), F.lit(0)).alias(w)
     return long.groupBy("k").agg(one("actual"), one("reported"), one("correct"))
 
 
+_INDELS = "array<struct<op:string,q:int,t:int,l:int>>"
+
+
+def _inner_indels(p: Column) -> Column:
+    """The internal insertions and short gaps over the reference of a placement."""
+    short = lambda x: (x["op"] == "I") | (x["op"].isin("D", "N") & (x["l"] <= gaps.INTRON))
+    inner = lambda steps: F.filter(steps, lambda x: short(x) & (x["i"] > 0) & (x["i"] < F.size(steps) - 1))
+    listed = F.transform(cigar.bound(cigar.walk(p["cigar"], p["pos"]), inner), lambda x: F.struct(F.when(x["op"] == "I", "I").otherwise("D").alias("op"), x["q"].alias("q"), x["t"].alias("t"), x["l"].alias("l")))
+    return F.coalesce(listed, F.array().cast(_INDELS))
+
+
 def indel_accuracy(truth: DataFrame, report: DataFrame) -> DataFrame:
-    """kind (D, I), size and the correct, missed and wrong internal indels; a match has equal place and size, one report for one truth."""
-    key = ["frag", "mate", "chr"]
-    short = (F.col("op") == "I") | (F.col("op").isin("D", "N") & (F.col("l") <= gaps.INTRON))
-    kind = F.when(F.col("op") == "I", "I").otherwise("D").alias("op")
-    inner = lambda x: gaps.operations(x.where(F.col("cigar").rlike("[DIN]")), key).where(short & (F.col("i") > 0) & (F.col("i") < F.col("n") - 1)).select(*key, kind, "q", "t", "l")
-    both = inner(truth).withColumn("a", F.lit(1)).join(inner(report).withColumn("b", F.lit(1)), [*key, "op", "q", "t", "l"], "full")
-    one = lambda c: F.count(F.when(c, 1))
-    a, b = F.col("a").isNotNull(), F.col("b").isNotNull()
-    return both.groupBy(F.col("op").alias("kind"), F.col("l").alias("size")).agg(one(a & b).alias("correct"), one(a & ~b).alias("missed"), one(~a & b).alias("wrong"))
+    """kind (D, I), size and the correct, missed and wrong internal indels; a match has equal place and size, one report for one truth. Reads without gaps are not shuffled, the others once."""
+    reads = together(truth, report, F.col("cigar").rlike("[DIN]")).select(F.inline("mates")).select("t", "r", _inner_indels(F.col("t")).alias("a"), _inner_indels(F.col("r")).alias("b"))
+    same = F.coalesce(F.col("t.chr") == F.col("r.chr"), F.lit(False))
+    event = lambda x, name: F.struct(x["op"].alias("kind"), x["l"].alias("size"), name.alias("event"))
+    true = F.transform("a", lambda x: event(x, F.when(same & F.array_contains("b", x), "correct").otherwise("missed")))
+    false = F.transform(F.filter("b", lambda x: ~(same & F.array_contains("a", x))), lambda x: event(x, F.lit("wrong")))
+    one = lambda e: F.count(F.when(F.col("event") == e, 1)).alias(e)
+    return reads.select(F.inline(F.concat(true, false))).groupBy("kind", "size").agg(one("correct"), one("missed"), one("wrong"))

@@ -108,11 +108,14 @@ def verdicts(both: DataFrame, shifts: DataFrame, length: int) -> DataFrame:
 
 def _indels(cigar_: Column, pos: Column) -> Column:
     """The insertions and short gaps over the reference of a placement; q is the base before a deletion, the first base of an insertion."""
-    steps = cigar.walk(cigar_, pos)
     deleted = lambda x: x["op"] != "I"
-    small = F.filter(steps, lambda x: (x["op"] == "I") | (x["op"].isin("D", "N") & (x["l"] <= gaps.INTRON)))
-    one = lambda x: F.struct(F.when(deleted(x), "D").otherwise("I").alias("op"), (x["q"] - deleted(x).cast("int")).alias("q"), x["t"].alias("t"), x["l"].alias("l"), ((x["q"] == 0) | (x["i"] == F.size(steps) - 1)).alias("terminal"))
-    return F.transform(small, one)
+    small = lambda x: (x["op"] == "I") | (x["op"].isin("D", "N") & (x["l"] <= gaps.INTRON))
+
+    def listed(steps: Column) -> Column:
+        one = lambda x: F.struct(F.when(deleted(x), "D").otherwise("I").alias("op"), (x["q"] - deleted(x).cast("int")).alias("q"), x["t"].alias("t"), x["l"].alias("l"), ((x["q"] == 0) | (x["i"] == F.size(steps) - 1)).alias("terminal"))
+        return F.transform(F.filter(steps, small), one)
+
+    return cigar.bound(cigar.walk(cigar_, pos), listed)
 
 
 def _with_shifts(reads: DataFrame, shifts: DataFrame) -> DataFrame:

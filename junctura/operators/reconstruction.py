@@ -16,15 +16,17 @@ def typed_exons(transcripts: DataFrame) -> DataFrame:
     return e.select("chr", "strand", F.col("x.s").alias("s"), F.col("x.e").alias("e"), kind.alias("kind")).distinct()
 
 
-def _agrees(share: float, stranded: bool) -> Column:
+def _agrees(share: float, stranded: bool | tuple[bool, bool]) -> Column:
+    """stranded: whether strands must agree, or that for exons of spliced transcripts and for single ones apart."""
+    spliced, single_ = stranded if isinstance(stranded, tuple) else (stranded, stranded)
     kind = F.col("r_kind")
     ends = F.when(kind == "internal", (F.col("s") == F.col("r_s")) & (F.col("e") == F.col("r_e"))).when(kind == "first", F.col("e") == F.col("r_e")).otherwise(F.col("s") == F.col("r_s"))
     single = F.least("e", "r_e") - F.greatest("s", "r_s") + 1 >= share * (F.col("r_e") - F.col("r_s"))
-    strand = F.col("strand") == F.col("r_strand") if stranded else F.lit(True)
+    strand = F.when(kind == "single", F.lit(not single_)).otherwise(F.lit(not spliced)) | (F.col("strand") == F.col("r_strand"))
     return F.when(kind == "single", single).otherwise(ends) & strand
 
 
-def exon_pairs(predicted: DataFrame, reference: DataFrame, share: float = 0.6, stranded: bool = True, width: int = 1000) -> DataFrame:
+def exon_pairs(predicted: DataFrame, reference: DataFrame, share: float = 0.6, stranded: bool | tuple[bool, bool] = True, width: int = 1000) -> DataFrame:
     """Pairs of overlapping exons (the columns of predicted, and r_...) that agree as the reference's kind asks: a single exon by the
     share of it that is covered, others by their inner ends. An equi-join on bins; a pair comes from the bin of its first common base."""
     right = reference.select(F.col("chr"), *[F.col(c).alias("r_" + c) for c in reference.columns if c != "chr"], "s", "e")
@@ -54,7 +56,7 @@ def exon_accuracy(predicted: DataFrame, reference: DataFrame, **how) -> DataFram
     return found.join(F.broadcast(told))  # one row each
 
 
-def _chains(transcripts: DataFrame) -> DataFrame:
+def chains(transcripts: DataFrame) -> DataFrame:
     """tx_id, chr, strand and introns of the spliced transcripts."""
     chain = F.transform(F.sequence(F.lit(1), F.size("exons") - 1), lambda i: F.struct(F.get("exons", i - 1)["e"].alias("left"), F.get("exons", i)["s"].alias("right")))
     return transcripts.where(F.size("exons") > 1).select("tx_id", "chr", "strand", chain.alias("introns"))
@@ -62,12 +64,12 @@ def _chains(transcripts: DataFrame) -> DataFrame:
 
 def pattern_ids(transcripts: DataFrame) -> DataFrame:
     """tx_id and pattern_id of each spliced transcript: patterns (introns and strand) are numbered from 1 without gaps, in their order."""
-    return order.dense_ids(_chains(transcripts), ["chr", "strand", "introns"], "pattern_id").select("tx_id", "pattern_id")
+    return order.dense_ids(chains(transcripts), ["chr", "strand", "introns"], "pattern_id").select("tx_id", "pattern_id")
 
 
 def pattern_members(transcripts: DataFrame) -> DataFrame:
     """tx_id of each spliced transcript and pattern, the smallest tx_id with the same introns on the same strand."""
-    t = _chains(transcripts)
+    t = chains(transcripts)
     key = ["chr", "strand", "introns"]
     return t.join(t.groupBy(*key).agg(F.min("tx_id").alias("pattern")), key).select("tx_id", "pattern")
 
