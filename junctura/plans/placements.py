@@ -97,3 +97,21 @@ def verdicts_by_placement(spark, d):
     t = truth(spark, d)
     judged = placement.verdicts(placement.met(t, report(spark, d)), shifts(spark, d), A.LENGTH)
     return judged.join(t.select("frag", "mate", "cigar"), ["frag", "mate"]).groupBy("cigar", "verdict", F.col("base_right").alias("bases")).agg(F.count("*").alias("reads"))
+
+
+_FAULTS = {
+    "unmapped": "(flag & 4) <> 0",
+    "elsewhere": "chr = 'chr9'",
+    "large indel at its end": "cigar LIKE '%I1S' OR cigar LIKE '1S%'",
+    "backward": "(flag & 16) <> 0",
+}
+
+
+@_query(f"""WITH {_SQL}, bad AS ({' UNION ALL '.join(f"SELECT '{k}' AS kind, chr, pos, frag, mate FROM report WHERE {c}" for k, c in _FAULTS.items())}),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY chr, pos, frag, mate) AS rank, count(*) OVER (PARTITION BY kind) AS n FROM bad) SELECT kind, n, rank, chr, pos, frag, mate FROM ranked WHERE rank <= 10""")
+def first_faults(spark, d):
+    """Reports that look faulty: how many of each kind, and the first ten, in one pass."""
+    from junctura.operators import contracts
+
+    found = contracts.first_faults(report(spark, d), {k: F.expr(c) for k, c in _FAULTS.items()}, ["chr", "pos", "frag", "mate"], 10)
+    return found.select("kind", "n", F.posexplode("first").alias("i", "x")).select("kind", "n", (F.col("i") + 1).cast("long").alias("rank"), "x.*")
