@@ -245,6 +245,36 @@ def test_names_and_odd_markup_take_no_text():
         assert time.time() - begin < 3, tag
 
 
+def test_what_goes_and_what_stays():
+    m = lambda x: html_text.main_text(x).split("\n\n")
+    body = "<p>First.</p>{0}<p>Last.</p>"
+    for gone in ('<aside><article class="card">Card</article></aside>', '<section id="comments"><article class="user-post">Nice</article></section>', '<nav><article>Menu</article></nav>', '<article class="comment">Me too</article>', '<div class="comment-list"><article>One</article></div>',
+                 '<section id="related"><article><p>Another story</p></article></section>', "<p hidden>x</p>", '<p style="display: none">x</p>', '<span aria-hidden="true">x</span>'):
+        assert m("<article>" + body.format(gone) + "</article>") == ["First.", "Last."], gone
+        assert m("<main>" + body.format("") + "</main>" + gone) == ["First.", "Last."], gone
+    for kept, text in (('<p title="the hidden world">x</p>', "x"), ('<p class="un hidden gem">x</p>', "x"), ('<h2 id="comments">x</h2>', "x"), ('<h2 id="advertising">x</h2>', "x"), ('<section id="navigation"><p>x</p></section>', "x"), ("<p>Let <math><mi>x</mi></math> be</p>", "Let x be"),
+                       ('<p data-note="display:none">x</p>', "x"), ('<li class="comment">x</li>', "x"), ('<div class="related">x stands alone</div>', "x stands alone")):
+        assert m("<article>" + body.format(kept) + "</article>") == ["First.", text, "Last."], kept
+        if "navigation" not in kept:  # outside of an article a section's id tells
+            assert m("<div>" + body.format(kept) + "</div>") == ["First.", text, "Last."], kept
+    assert m("<div class='sidebar'><p>left open<article><p>Text.</p></article>") == ["Text."]
+    assert m("<div class='content sidebar-right'><article><p>Text.</p></article></div>") == ["Text."]  # nothing else is there
+    long = "<p>" + "long text " * 80 + "</p>"
+    assert m(f"<div>{long}</div><div class='ad'>Buy</div><div><p>The end.</p></div>")[-1] == "The end."
+    assert m("<ul>" + "".join(f"<li><a href='/'>link {k}</a></li>" for k in range(20)) + "</ul><div>" + long + "</div>") == [f"link {k}" for k in (18, 19)] + [("long text " * 80).strip()]  # a window's reach
+
+
+def test_stretches_against_sums_of_each_window():
+    rng = random.Random(5)
+    for _ in range(300):
+        n = [rng.choice([0, 0, 0, 0, 5, 9]) for _ in range(rng.randint(0, 40))]
+        w = html_text.WINDOW
+        high = [sum(n[max(0, i - w + 1) : i + w]) > 0 for i in range(len(n))]
+        want = {i for i, h in enumerate(high) if h}
+        got = html_text.stretches(n)
+        assert {i for a, b in got for i in range(a, b)} == want and all(b < c for (_, b), (c, _) in zip(got, got[1:]))
+
+
 def test_pages_against_their_blocks(spark):
     """Pages put together from blocks whose part is known, with and without an article element."""
     rng = random.Random(4)
