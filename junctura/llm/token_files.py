@@ -29,12 +29,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm.common import FORGET, LOT, before, fresh_path, give_back, pieces, strings, text_bytes
+from junctura.llm.common import FORGET, LOT, before, fresh_path, forget, give_back, pieces, strings, text_bytes
 
 SEEK_MAGIC, SKIP_MAGIC, IDS_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 FILE_BYTES = 24 << 20  # of text for each file
 RANGES = 20_000  # of doc_id at most, one task each; a task writes as many files as its range fills
-CHUNK = 8 << 20  # characters whose words are looked up together
+CHUNK = 4 << 20  # characters whose words are looked up together
 PART = 1 << 26  # ids in one frame at most; a longer document takes several frames
 WORDS = 120_000  # words in each of the two generations that a worker remembers
 
@@ -236,6 +236,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> Data
             row = {"seq": seq, "file": f"{folder}/{name}", "n_docs": n_docs, "n_ids": n_ids, "first_doc": min(known, default=None), "last_doc": max(known, default=None)}
             yield pa.RecordBatch.from_pylist([row], LISTED)
             seq += 1
+            give_back()
         give_back()
 
     listed = dealt.select("*").mapInArrow(run, "seq long, file string, n_docs long, n_ids long, first_doc long, last_doc long").withColumn("part", F.spark_partition_id())
@@ -286,6 +287,7 @@ def read_documents(files: DataFrame, doc_ids: list[int]) -> DataFrame:
 
 def _reader(of, kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the encoder of the task before
         for batch in batches:
             for uri, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
                 fs, path = pafs.FileSystem.from_uri(uri)
