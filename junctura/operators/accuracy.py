@@ -60,15 +60,15 @@ def together(truth: DataFrame, report: DataFrame, needed: Column, every: bool =
     """
     place = F.struct("amb", "chr", F.col("flag").cast("int").alias("flag"), F.col("pos").cast("int").alias("pos"), "cigar").cast(_PLACE)
     needed = needed & ~tags.has(F.col("flag"), tags.UNMAPPED)
-    side = lambda df, true: df.select("frag", "mate", F.lit(true).alias("true"), F.when(needed, place).alias("place"))
+    side = lambda df, true: df.select("frag", "mate", F.lit(true).alias("true"), "amb", F.when(needed, place).alias("place"))
     t, r = side(truth, True), side(report, False).where("place is not null")
-    rows = (t if every else t.where("place is not null")).union(r).groupBy("frag").agg(F.collect_list(F.struct("mate", "true", "place")).alias("x"))
+    rows = (t if every else t.where("place is not null")).union(r).groupBy("frag").agg(F.collect_list(F.struct("mate", "true", "amb", "place")).alias("x"))
     several = F.raise_error(F.concat(F.lit("a read has several rows on a side in fragment "), F.col("frag").cast("string"))).cast(_PLACE)
 
     def mate(m: int) -> Column:
         of = lambda true: F.filter("x", lambda v: (v["mate"] == m) & (v["true"] == F.lit(true)))
         one = lambda true: F.when(F.size(of(true)) > 1, several).otherwise(F.get(of(true), F.lit(0))["place"])
-        return F.struct(F.lit(m).alias("mate"), (F.size(of(True)) > 0).alias("seen"), one(True).alias("t"), one(False).alias("r"))
+        return F.struct(F.lit(m).alias("mate"), (F.size(of(True)) > 0).alias("seen"), F.get(of(True), F.lit(0))["amb"].alias("amb"), one(True).alias("t"), one(False).alias("r"))
 
     return rows.select("frag", F.array(mate(1), mate(2)).alias("mates"))
 
@@ -86,9 +86,9 @@ def _introns(p: Column) -> Column:
 def _read_introns(truth: DataFrame, report: DataFrame, every: bool = False) -> DataFrame:
     """frag and mates with ti and ri, the true and the reported introns of each read; equal placements are walked once."""
     x = together(truth, report, gaps.has_intron(F.col("cigar")), every)
-    x = x.select("frag", F.transform("mates", lambda m: F.struct(m["mate"].alias("mate"), m["seen"].alias("seen"), m["t"].alias("t"), m["r"].alias("r"), _introns(m["t"]).alias("ti"))).alias("mates"))
+    x = x.select("frag", F.transform("mates", lambda m: F.struct(*[m[c].alias(c) for c in ("mate", "seen", "amb", "t", "r")], _introns(m["t"]).alias("ti"))).alias("mates"))
     equal = lambda m: F.coalesce((m["t"]["pos"] == m["r"]["pos"]) & (m["t"]["cigar"] == m["r"]["cigar"]), F.lit(False))
-    more = lambda m: F.struct(*[m[c].alias(c) for c in ("mate", "seen", "t", "r", "ti")], F.when(equal(m), m["ti"]).otherwise(_introns(m["r"])).alias("ri"))
+    more = lambda m: F.struct(*[m[c].alias(c) for c in ("mate", "seen", "amb", "t", "r", "ti")], F.when(equal(m), m["ti"]).otherwise(_introns(m["r"])).alias("ri"))
     return x.select("frag", F.transform("mates", more).alias("mates"))
 
 
@@ -119,8 +119,8 @@ def intron_events(truth: DataFrame, report: DataFrame, coverage: DataFrame, leng
     return met.select("event", "amb", "p", F.coalesce("coverage", F.lit(0)).alias("coverage"))
 
 
-def multi_intron(truth: DataFrame, report: DataFrame, by: list[str]) -> DataFrame:
-    """k and how many units (reads, or pairs with by=['frag']) have k true, k reported and k correct introns.
+def multi_intron(truth: DataFrame, report: DataFrame, by: list[str], ambiguity: bool = False) -> DataFrame:
+    """k and how many units (reads, or pairs with by=['frag']) have k true, k reported and k correct introns; with `ambiguity` apart for amb, of a pair whether a mate's is set.
 
     An intron of a read is correct on its strand only; the mates of a pair have two strands, so pairs go without.
     """
@@ -128,15 +128,16 @@ def multi_intron(truth: DataFrame, report: DataFrame, by: list[str]) -> DataFram
     if "mate" in by:
         per = x.select(F.inline("mates")).where("seen")
         correct = F.when(_same_strand(F.col("t"), F.col("r")), F.size(F.filter("ti", lambda i: _holds(F.col("ri"), i)))).otherwise(0)
-        per = per.select(F.size("ti").alias("actual"), F.size("ri").alias("reported"), correct.alias("correct"))
+        per = per.select("amb", F.size("ti").alias("actual"), F.size("ri").alias("reported"), correct.alias("correct"))
     else:
         every = lambda side, introns: F.array_distinct(F.flatten(F.transform("mates", lambda m: F.transform(m[introns], lambda i: F.struct(m[side]["chr"].alias("chr"), i["start"].alias("start"), i["len"].alias("len"))))))
-        pairs = x.where(F.exists("mates", lambda m: m["seen"])).select(every("t", "ti").alias("ti"), every("r", "ri").alias("ri"))
-        per = pairs.select(F.size("ti").alias("actual"), F.size("ri").alias("reported"), F.size(F.array_intersect("ti", "ri")).alias("correct"))
-    kinds = per.groupBy("actual", "reported", "correct").agg(F.count("*").alias("units"))  # few kinds, whatever the number of reads
-    long = kinds.unpivot(["units"], ["actual", "reported", "correct"], "what", "k")
+        pairs = x.where(F.exists("mates", lambda m: m["seen"])).select(F.exists("mates", lambda m: m["amb"]).alias("amb"), every("t", "ti").alias("ti"), every("r", "ri").alias("ri"))
+        per = pairs.select("amb", F.size("ti").alias("actual"), F.size("ri").alias("reported"), F.size(F.array_intersect("ti", "ri")).alias("correct"))
+    apart = ["amb"] if ambiguity else []
+    kinds = per.groupBy(*apart, "actual", "reported", "correct").agg(F.count("*").alias("units"))  # few kinds, whatever the number of reads
+    long = kinds.unpivot([*apart, "units"], ["actual", "reported", "correct"], "what", "k")
     one = lambda w: F.coalesce(F.sum(F.when(F.col("what") == w, F.col("units"))), F.lit(0)).alias(w)
-    return long.groupBy("k").agg(one("actual"), one("reported"), one("correct"))
+    return long.groupBy(*apart, "k").agg(one("actual"), one("reported"), one("correct"))
 
 
 _INDELS = "array<struct<op:string,q:int,t:int,l:int>>"
@@ -150,12 +151,16 @@ def _inner_indels(p: Column) -> Column:
     return F.coalesce(listed, F.array().cast(_INDELS))
 
 
-def indel_accuracy(truth: DataFrame, report: DataFrame) -> DataFrame:
-    """kind (D, I), size and the correct, missed and wrong internal indels; a match has equal place and size, one report for one truth. Reads without gaps are not shuffled, the others once."""
+def indel_accuracy(truth: DataFrame, report: DataFrame, ambiguity: bool = False) -> DataFrame:
+    """kind (D, I), size and the correct, missed and wrong internal indels, with `ambiguity` apart for amb; a match has equal place and size, one report for one truth.
+
+    Reads without gaps are not shuffled, the others once.
+    """
     reads = together(truth, report, F.col("cigar").rlike("[DIN]")).select(F.inline("mates")).select("t", "r", _inner_indels(F.col("t")).alias("a"), _inner_indels(F.col("r")).alias("b"))
     same = F.coalesce(F.col("t.chr") == F.col("r.chr"), F.lit(False))
-    event = lambda x, name: F.struct(x["op"].alias("kind"), x["l"].alias("size"), name.alias("event"))
+    amb = F.coalesce(F.col("t.amb"), F.col("r.amb")).alias("amb")
+    event = lambda x, name: F.struct(amb, x["op"].alias("kind"), x["l"].alias("size"), name.alias("event"))
     true = F.transform("a", lambda x: event(x, F.when(same & F.array_contains("b", x), "correct").otherwise("missed")))
     false = F.transform(F.filter("b", lambda x: ~(same & F.array_contains("a", x))), lambda x: event(x, F.lit("wrong")))
     one = lambda e: F.count(F.when(F.col("event") == e, 1)).alias(e)
-    return reads.select(F.inline(F.concat(true, false))).groupBy("kind", "size").agg(one("correct"), one("missed"), one("wrong"))
+    return reads.select(F.inline(F.concat(true, false))).groupBy(*(["amb"] if ambiguity else []), "kind", "size").agg(one("correct"), one("missed"), one("wrong"))

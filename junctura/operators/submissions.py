@@ -118,3 +118,10 @@ def compared(stats: DataFrame, by: list[str], kind: str, first: str, second: str
 def summed_by_pattern(members: DataFrame, levels: DataFrame, value: str) -> DataFrame:
     """pattern_id, transcripts and the sum of a level over the transcripts of each splice form; a transcript without a level adds nothing."""
     return members.join(levels.select("tx_id", value), "tx_id", "left").groupBy("pattern_id").agg(F.count("*").alias("transcripts"), F.coalesce(F.sum(value), F.lit(0.0)).alias(value))
+
+
+def known_flags(patterns: DataFrame, annotation: DataFrame, stranded: bool = True) -> DataFrame:
+    """id and known (1 or 0) of every pattern of `reference_patterns`: whether a transcript of an annotation has its introns, on its strand or, if not stranded, on any."""
+    key = ["chr", "strand", "introns"] if stranded else ["chr", "introns"]
+    held = reconstruction.chains(annotation).select(*key).distinct().withColumn("known", F.lit(1))
+    return patterns.join(held, key, "left").select(F.col("pattern_id").alias("id"), F.coalesce("known", F.lit(0)).alias("known"))

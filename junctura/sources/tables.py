@@ -27,9 +27,25 @@ def methods(spark: SparkSession, path: str, styles: str) -> DataFrame:
     return t.join(s, "style", "left").withColumn("style", checked).drop("_known")
 
 
-def expression(spark: SparkSession, path: str, schema: str = "tx_id string, exonic long, intronic long") -> DataFrame:
-    """A table with a header; another header than the schema's is an error."""
-    return spark.read.schema(schema).option("enforceSchema", False).csv(path, sep="\t", header=True)
+#: The header of a table of expression levels.
+EXPRESSION = "id string, size long, exons int, `reads.exonic` long, `reads.intronic` long, fpkm double"
+
+
+def expression(spark: SparkSession, path: str, schema: str = EXPRESSION) -> DataFrame:
+    """A table with a header; another header than the schema's is an error. Dots in names become underscores."""
+    t = spark.read.schema(schema).option("enforceSchema", False).csv(path, sep="\t", header=True)
+    return t.toDF(*[c.replace(".", "_") for c in t.columns])
+
+
+def expressed_ids(levels: DataFrame, mature_only: bool = False) -> DataFrame:
+    """tx_id of the transcripts of `expression` that reads fall on, within exons, or without mature_only within introns too."""
+    n = F.coalesce("reads_exonic", F.lit(0)) + (F.lit(0) if mature_only else F.coalesce("reads_intronic", F.lit(0)))
+    return levels.where(n > 0).select(F.col("id").alias("tx_id")).distinct()
+
+
+def spliced_levels(levels: DataFrame) -> DataFrame:
+    """The rows of `expression` of expressed transcripts with introns."""
+    return levels.where((F.col("exons") > 1) & (F.col("fpkm") > 0))
 
 
 def after_preamble(spark: SparkSession, path: str, rows: int = 1) -> DataFrame:

@@ -56,9 +56,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """id, mate, seq and qual of four-line records. A quality line may begin like a header, so records are told by the number of the line in its file."""
+    """id, mate (by the header, else by _1 or _2 in the file's name), seq and qual of four-line records. A quality line may begin like a header, so records are told by the number of the line in its file."""
     four = numbered_lines(spark, path).groupBy("file", F.expr("i div 4").alias("record")).agg(*[F.max(F.when(F.col("i") % 4 == k, F.col("value"))).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))])
-    mate = F.coalesce(F.nullif(F.regexp_extract("head", r"/([12])$", 1), F.lit("")), F.nullif(F.regexp_extract("head", r"^\S+\s+([12]):", 1), F.lit("")))
+    mate = F.coalesce(F.nullif(F.regexp_extract("head", r"/([12])$", 1), F.lit("")), F.nullif(F.regexp_extract("head", r"^\S+\s+([12]):", 1), F.lit("")), F.nullif(F.regexp_extract("file", r"_([12])[^/0-9][^/]*$", 1), F.lit("")))
     return four.select(F.regexp_extract("head", r"^@([^\s/]+)", 1).alias("id"), mate.cast("int").alias("mate"), "seq", "qual")
 
 

@@ -1,5 +1,5 @@
 import pytest
-from junctura.plans import checks, grading, placements, reports, scoring, sequences  # noqa: F401  add their queries
+from junctura.plans import checks, filled, grading, placements, reports, scoring, sequences  # noqa: F401  add their queries
 from junctura.plans.queries import ORACLE_SQL, QUERIES
 
 from tests.compare import compare

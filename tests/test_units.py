@@ -6,7 +6,7 @@ from junctura.functions import cigar, shift, tags
 from junctura.operators import accuracy, ambiguity, intervals, metrics, order, quality
 from junctura.plans import scoring  # noqa: F401  adds its queries
 from junctura.plans.queries import QUERIES
-from junctura.sources import text
+from junctura.sources import tables, text
 from junctura.streaming import junctions
 from pyspark.sql import functions as F
 
@@ -210,7 +210,7 @@ def test_checks_of_an_empty_table(spark):
 
 
 def test_fastq_of_files_read_in_many_blocks(spark, tmp_path):
-    from junctura.sources import text
+    from junctura.sources import tables, text
 
     want = set()
     for f, n in (("a", 90), ("b", 7), ("c", 41)):
@@ -240,7 +240,8 @@ def test_small_tables(spark, tmp_path):
     assert [(r.name, r.lty) for r in tables.methods(spark, put("m", "name\tstyle\na\t1\n"), styles).collect()] == [("a", "5")]
     with pytest.raises(Exception, match="no style 2"):
         tables.methods(spark, put("m2", "name\tstyle\na\t2\n"), styles).collect()
-    level = tables.expression(spark, put("e", "tx_id\texonic\tintronic\nt1\t3\t0\n"))
+    own = "tx_id string, exonic long, intronic long"
+    level = tables.expression(spark, put("e", "tx_id\texonic\tintronic\nt1\t3\t0\n"), own)
     assert [tuple(r) for r in level.collect()] == [("t1", 3, 0)]
     with pytest.raises(Exception):
         tables.expression(spark, put("e2", "tx\tb\tc\nt1\t3\t0\n")).collect()
@@ -260,3 +261,14 @@ def test_small_tables(spark, tmp_path):
     assert [tuple(r) for r in text.shifts(spark, str(tmp_path / "sh")).collect()] == [("c", "D", 5, 2, 0, 1)]
     counts = spark.createDataFrame([("a", True), ("b", False), ("b", False)], "target string, valid boolean")
     assert [r.target for r in tables.invalid_ids(counts).collect()] == ["b"]
+
+
+def test_levels_as_documented_and_mates_by_file_name(spark, tmp_path):
+    (tmp_path / "expr.txt").write_text("id\tsize\texons\treads.exonic\treads.intronic\tfpkm\n1\t900\t2\t5\t0\t1.5\n2\t80\t1\t0\t4\t0.2\n3\t70\t3\t0\t0\t0\n")
+    level = tables.expression(spark, str(tmp_path / "expr.txt"))
+    assert level.columns == ["id", "size", "exons", "reads_exonic", "reads_intronic", "fpkm"]
+    assert sorted(r[0] for r in tables.expressed_ids(level).collect()) == ["1", "2"] and [r[0] for r in tables.expressed_ids(level, True).collect()] == ["1"]
+    assert [r["id"] for r in tables.spliced_levels(level).collect()] == ["1"]
+    for name, head, mate in (("run_1.fastq", "@r", 1), ("run_2.trimmed.fq", "@r", 2), ("run_1.fq", "@r/2", 2), ("run.fq", "@r", None), ("lane_12.fq", "@r", None)):
+        (tmp_path / name).write_text(f"{head}\nAC\n+\nII\n")
+        assert [tuple(x) for x in text.fastq(spark, str(tmp_path / name)).collect()] == [("r", mate, "AC", "II")]
