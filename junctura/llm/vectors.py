@@ -20,7 +20,8 @@ def usable(vectors: DataFrame, nonzero: bool) -> DataFrame:
 
 def shape(v: DataFrame, every: int) -> tuple[int, int, int, float]:
     """Vectors, queries among them, components of the longest, and the largest norm."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    top = F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0.0))
+    norm = F.when(top == 0, 0.0).otherwise(top * F.sqrt(F.aggregate(F.transform("v", lambda x: x / top), F.lit(0.0), lambda a, x: a + x * x)))  # squares stay in range
     r = v.agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"), F.max(F.size("v")).alias("d"), F.max(norm).alias("norm")).first()
     return r["n"], r["q"] or 0, r["d"] or 0, r["norm"] or 0.0
 

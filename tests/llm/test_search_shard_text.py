@@ -47,6 +47,41 @@ def test_ann_recall_and_scores(spark):
     assert ann_search.search(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_probes_are_the_cheapest_perturbations():
+    every = ann_search.perturbations(4, 10**6)
+    assert len(every) == 3**4 and len({tuple(r) for r in every}) == 3**4 and not every[0].any()
+    assert (ann_search.perturbations(4, 20) == every[:20]).all()
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((800, 12))
+    table = ann_search.Table(x, 0, 4, 3.0)
+    cell = lambda v: np.floor(v @ table.project + table.shift)
+    buckets, cost = table.probe(x[:20] + 0.3)
+    for i, v in enumerate(x[:20] + 0.3):
+        at, own = v @ table.project + table.shift, cell(v)
+        want = {}
+        for row, c in enumerate(cell(x)):  # rows at most one cell away in every projection
+            d = c - own
+            if (np.abs(d) <= 1).all():
+                want.setdefault(table.bucket[row], sum(((at[j] - own[j]) if d[j] < 0 else (own[j] + 1 - at[j])) ** 2 for j in range(4) if d[j]))
+        got = {b: c for b, c in zip(buckets[i], cost[i]) if b >= 0}
+        assert got.keys() == want.keys() and all(abs(got[b] - want[b]) < 1e-9 for b in want)
+        visited = table.visit(v[None, :], 0.05, 3)[0]
+        if len(visited) < len(table.count):
+            costs = [want[b] for b in visited]
+            assert costs == sorted(costs) and table.count[visited].sum() >= 3 and {b for b, c in want.items() if c <= 0.05} <= set(visited)
+
+
+def test_large_and_small_components(spark):
+    rng = np.random.default_rng(2)
+    for size in (1e120, 1e-120, 1e200):
+        rows = [(i, [float(size * c) for c in rng.standard_normal(6)]) for i in range(60)]
+        got = ann_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()
+        assert len(got) == 15 and {r["query_id"] for r in got} == {0, 20, 40}
+        if size < 1e200:
+            exact = {q: sorted(((-float(np.dot(rows[q][1], v)), j) for j, v in rows if j != q))[:5] for q in (0, 20, 40)}
+            assert len({(r["query_id"], r["vec_id"]) for r in got} & {(q, j) for q, x in exact.items() for _, j in x}) >= 12
+
+
 def shards_by_sorting(rows, keys, buckets, shards=24):
     """Where sharding.assign puts the rows (doc_id, source, text), by plain sorts; keys: the hash of each text, and of each source."""
     found = []
