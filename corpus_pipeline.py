@@ -11,24 +11,33 @@ from junctura.llm.queries import WORD_BPE
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the tagger, trained on the labelled documents of the corpus, scores at one half or more go."""
+    """Documents that the tagger, trained on the labelled documents of the corpus, scores at one half or more go.
+
+    A null text counts as empty and is scored; repeated rows are judged each; other columns stay; an empty table stays empty.
+    """
     tagger = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.clean(docs, tagger)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Null and empty texts are linked with nothing and stay. Other columns stay, whatever their names; an empty table stays empty.
+    """
     return near_dedup.dedup(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under a 50-byte string that an earlier document holds are cut; n_chars follows the text."""
+    """Bytes under a 50-byte string that an earlier document holds are cut; n_chars follows the text.
+
+    A null text becomes empty. Rows stay, repeated ones too, and so do other columns; an empty table stays empty.
+    """
     cut = suffix_dedup.cut(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents in sequences of packing.CAPACITY tokens."""
+    """Places of the documents in sequences of packing.CAPACITY tokens; what a null or empty text becomes, packing.pack says. An empty table has no places."""
     return packing.pack(packing.measured(docs, WORD_BPE))
 
 
