@@ -127,6 +127,15 @@ def dense(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return spine.join(df.select(F.col(key).cast("long").alias(key), *columns), key, "left").na.fill(0, columns)
 
 
+def histogram(df: DataFrame, value: str, most: int) -> DataFrame:
+    """value and n for every whole number from 0 to `most`, zeros included; a value outside is an error."""
+    bad = F.raise_error(F.concat(F.lit(f"not between 0 and {most}: "), F.coalesce(F.col(value).cast("string"), F.lit("null")))).cast("long")
+    counts = df.groupBy(value).agg(F.count("*").alias("n"))
+    known = counts.select(F.when(F.col(value).between(0, most), F.col(value).cast("long")).otherwise(bad).alias(value), "n")
+    spine = df.sparkSession.range(most + 1).select(F.col("id").alias(value))
+    return known.join(spine, value, "full").na.fill(0, ["n"]).select(value, "n")  # full, so that no value is passed over
+
+
 def wide(df: DataFrame, by: list[str], kind: str, kinds: tuple[str, ...], value: str) -> DataFrame:
     """A column for each of the kinds with the sum of its values, 0 where there is none."""
     return df.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(F.col(kind) == k, F.col(value))), F.lit(0)).cast("long").alias(k) for k in kinds])

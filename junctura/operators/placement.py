@@ -73,8 +73,9 @@ def touching(allowed: Column, reported: Column) -> Column:
     return F.exists(reported, lambda r: F.exists(allowed, lambda a: meets(a, r)))
 
 
-def met(truth: DataFrame, report: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def met(truth: DataFrame, report: DataFrame, extra: tuple[str, ...] = (), without: tuple[str, ...] = ()) -> DataFrame:
     """One row for each true read with its report (r_ columns); a read without one is unmapped. A read that is there twice on a side is an error.
+    Reads that truly lie on a chromosome of `without` (such as that of mitochondria) are left out, wherever they are reported.
 
     Counting the rows of a read needs the order and the partitions that the join needs, so it costs no shuffle.
     """
@@ -86,7 +87,7 @@ def met(truth: DataFrame, report: DataFrame, extra: tuple[str, ...] = ()) -> Dat
         return one.withColumn(columns[0], F.when(F.col("_n") > 1, clash.cast(dict(df.dtypes)[columns[0]])).otherwise(F.col(columns[0]))).drop("_n")
 
     place = ["flag", "chr", "pos", "cigar"]
-    t = single(truth, [*place, *[c for c in ("amb", *extra) if c in truth.columns]], "true")
+    t = single(truth.where(~F.col("chr").isin(*without)) if without else truth, [*place, *[c for c in ("amb", *extra) if c in truth.columns]], "true")
     r = single(report, place, "reported").select(*key, *[F.col(c).alias("r_" + c) for c in place])
     return t.join(r, key, "left").withColumn("r_flag", F.coalesce("r_flag", F.lit(tags.UNMAPPED)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from junctura.operators import reconstruction, submissions
+from junctura.operators import metrics, reconstruction, submissions
 from junctura.plans import adapters as A
 from junctura.plans.queries import FIRST, _query
 from junctura.plans.scoring import ANNOTATED
@@ -108,3 +108,12 @@ def level_by_pattern(spark, d):
     """The level of expression of each splice form, summed over its transcripts; the size of a part stands for the level."""
     level = A._table(spark, d, "part").select(F.col("p_partkey").alias("tx_id"), F.col("p_size").cast("double").alias("level"))
     return submissions.summed_by_pattern(reconstruction.pattern_ids(A.transcripts(spark, d)), level, "level")
+
+
+@_query(f"WITH {_sql(True)}, hits AS (SELECT unnest(range(4)) AS hit) SELECT hits.hit, count(m.hit) AS n FROM hits LEFT JOIN matrix m ON m.hit = hits.hit GROUP BY hits.hit")
+def hit_histogram(spark, d):
+    """How often the match matrix holds each grade, from 0 to 3."""
+    p = submissions.reference_patterns(A.transcripts(spark, d, FIRST))
+    by = ["method", "reads"]
+    long = submissions.matrix(p, submissions.matches(p, _predicted(spark, d), by), _sets(spark), by)
+    return metrics.histogram(long, "hit", 3)

@@ -91,6 +91,14 @@ def general_table_shifted(spark, d):
     return placement.general_table(placement.verdicts(placement.met(truth(spark, d), report(spark, d)), shifts(spark, d), A.LENGTH), A.LENGTH)
 
 
+@_query(f"""WITH {_SQL} SELECT concat(CASE WHEN v.amb THEN 'amb' ELSE 'uni' END, CASE WHEN spliced THEN '_spliced' ELSE '_contig' END) AS cat, CAST(sum(good) AS BIGINT) AS bases_right, count(CASE WHEN aligned THEN 1 END) AS aln, count(*) AS total_reads
+    FROM v JOIN truth t USING (frag, mate) WHERE t.chr <> 'chr3' GROUP BY ALL""")
+def general_table_without_a_chromosome(spark, d):
+    """The general table without the reads of one chromosome, as one without those of mitochondria is made."""
+    both = placement.met(truth(spark, d), report(spark, d), without=("chr3",))
+    return placement.general_table(placement.verdicts(both, shifts(spark, d), A.LENGTH), A.LENGTH).select("cat", "bases_right", "aln", "total_reads")
+
+
 @_query(f"""WITH {_SQL} SELECT cigar, verdict, CAST(good AS INTEGER) AS bases, count(*) AS reads FROM v JOIN truth USING (frag, mate) GROUP BY ALL""")
 def verdicts_by_placement(spark, d):
     """How reads of each true placement were judged, and how many of their bases are right."""

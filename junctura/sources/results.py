@@ -23,6 +23,11 @@ def _keys(file: Column, by_team: bool) -> list[Column]:
     return [part("family").alias("family"), known.alias("team"), part("dataset").alias("dataset"), part("number").cast("int").alias("number")]
 
 
+def dataset_of(path: Column) -> Column:
+    """The data set that a path names: what stands in its last part before _number and the suffix, without family and team; null if there is none."""
+    return F.nullif(F.regexp_extract(path, r"(?:^|[/.])([^/.]+)_[0-9]+(?:\.[^/]*)?$", 1), F.lit(""))
+
+
 def lines(spark: SparkSession, path: str, by_team: bool = False) -> DataFrame:
     """family, team, dataset, number, i (number of the line, from 0) and value of the files of a glob."""
     return numbered_lines(spark, path).select(*_keys(F.col("file"), by_team), "i", "value")

@@ -44,20 +44,29 @@ def transcripts(features: DataFrame, type_: str | None = None) -> DataFrame:
     return made.select(checked.alias("tx_id"), *one, "exons")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+BLOCKS = 100_000  # of files, one row each, that are brought to the driver and broadcast
+
+
+def numbered_lines(spark: SparkSession, path: str, eager: bool = False) -> DataFrame:
     """file, value and i, the number of the line in its file, from 0.
 
-    Lines are numbered in the blocks that a file is read by; the sums over its blocks, one row each, give their place in the file.
+    Lines are numbered in the blocks that a file is read by; the sums over its blocks, one row each, give their place in the file. eager: the blocks are counted now, and if
+    they are BLOCKS at most, they are broadcast and lines need no shuffle for their numbers.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     above = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lines.join(blocks.select("file", "block", (above - F.col("first")).alias("shift")), ["file", "block"]).select("file", "value", (F.col("at") + F.col("shift")).alias("i"))
+    moves = blocks.select("file", "block", (above - F.col("first")).alias("shift"))
+    if eager:
+        known = moves.limit(BLOCKS + 1).collect()
+        if len(known) <= BLOCKS:
+            moves = F.broadcast(spark.createDataFrame(known, moves.schema))
+    return lines.join(moves, ["file", "block"]).select("file", "value", (F.col("at") + F.col("shift")).alias("i"))
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """id, mate (by the header, else by _1 or _2 in the file's name), seq and qual of four-line records. A quality line may begin like a header, so records are told by the number of the line in its file."""
-    four = numbered_lines(spark, path).groupBy("file", F.expr("i div 4").alias("record")).agg(*[F.max(F.when(F.col("i") % 4 == k, F.col("value"))).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))])
+    four = numbered_lines(spark, path, eager=True).groupBy("file", F.expr("i div 4").alias("record")).agg(*[F.max(F.when(F.col("i") % 4 == k, F.col("value"))).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))])
     mate = F.coalesce(F.nullif(F.regexp_extract("head", r"/([12])$", 1), F.lit("")), F.nullif(F.regexp_extract("head", r"^\S+\s+([12]):", 1), F.lit("")), F.nullif(F.regexp_extract("file", r"_([12])[^/0-9][^/]*$", 1), F.lit("")))
     return four.select(F.regexp_extract("head", r"^@([^\s/]+)", 1).alias("id"), mate.cast("int").alias("mate"), "seq", "qual")
 

@@ -2,7 +2,8 @@ import datetime
 import random
 
 import pytest
-from junctura.operators import contracts, placement, quality
+from junctura.operators import contracts, metrics, placement, quality
+from junctura.sources import results
 from junctura.streaming import fragments
 from pyspark.sql import functions as F
 
@@ -33,6 +34,20 @@ def test_first_faults(spark):
     assert contracts.first_faults(df.limit(0), kinds, ["a"]).count() == 0
 
 
+def test_histogram_within_bounds(spark):
+    df = spark.createDataFrame([(0,), (2,), (2,)], "v int")
+    assert sorted(map(tuple, metrics.histogram(df, "v", 3).collect())) == [(0, 1), (1, 0), (2, 2), (3, 0)]
+    assert metrics.histogram(df.limit(0), "v", 1).count() == 2
+    for most in (1, 0):
+        with pytest.raises(Exception, match="not between 0"):
+            metrics.histogram(df, "v", most).collect()
+
+
+def test_data_set_of_a_path(spark):
+    df = spark.createDataFrame([("/a/iac.T.sim1_2.txt",), ("x/T/mouse_1.misc.txt",), ("sim2_3",), ("none.txt",), (None,)], "p string")
+    assert [r[0] for r in df.select(results.dataset_of(F.col("p"))).collect()] == ["sim1", "mouse", "sim2", None, None]
+
+
 def arrivals(n):
     rng, rows, seq = random.Random(2), [], 0
     for frag in range(n):
