@@ -9,7 +9,7 @@ from junctura.functions import shift
 from junctura.operators.durable import checkpoint
 from junctura.sources.sections import TILE
 
-WINDOW = 64  # bases that the first round looks at; each further round looks at four times as many, a tile at most
+WINDOW, WIDEST = 64, 4096  # bases that the first round looks at; each further round looks at four times as many, up to the widest
 
 
 def slices(asked: DataFrame, tiles: DataFrame, tile: int = TILE) -> DataFrame:
@@ -54,7 +54,7 @@ def _extended(events: DataFrame, tiles: DataFrame, tile: int) -> DataFrame:
         active = w.where(more).withColumns({"n": F.col("n") + F.col("reach"), "at": F.col("at") + step}).select(*events.columns, "n")
         if active.isEmpty():
             return done
-        window = min(4 * window, tile)
+        window = min(4 * window, WIDEST)
 
 
 def indel_shifts(indels: DataFrame, tiles: DataFrame, tile: int = TILE) -> DataFrame:
