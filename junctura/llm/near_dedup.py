@@ -4,14 +4,14 @@ A document's set holds its distinct WIDTH-word shingles. One hash function order
 values are its sketch. Documents with equal sets are one class, and classes are what is compared:
 
 1. Inverted lists of the retained values. A pair with similarity 0.75 shares at least NEED values (but for a chance of
-   about 1e-7), so values that no other class retains are left out, classes with fewer than NEED values
+   4e-20, less than that of two shingles with one 64-bit hash), so values that no other class retains are left out, classes with fewer than NEED values
    left cannot have a partner, and the rarest `left - NEED + 1` values of a class are enough to meet every partner.
 2. Classes that lists join, directly or through others, are a group. A group is dealt to blocks of about BLOCK classes; each
    two of its blocks meet in one task, which counts the overlaps by inverted lists of the full sets' values and
    returns only as many links as connect what is connected there. A group of thousands of near copies so is many small tasks.
 
    Of each pair whose sketches share enough, the sketch of the union is formed; the share of its values that both hold estimates
-   the similarity. Pairs that it places too low to be near (again but for about 1e-7) are passed over, the others judged on full sets.
+   the similarity. Pairs that it places too low to be near (again but for 4e-20) are passed over, the others judged on full sets.
 
 A set is known by 128 bits of its hashes; classes have numbers of their own, so no two classes are taken for one.
 Lists, groups and components are joins and partial aggregates; no group is gathered in one task.
@@ -31,12 +31,12 @@ from junctura.llm.common import checkpoint, forget
 
 WIDTH = 5
 PERCENT = 75
-K = 40
-NEED = 15  # values that a pair at PERCENT shares in the sketch of its union
+K = 96
+NEED = 30  # values that a pair at PERCENT shares in the sketch of its union
 BLOCK = 384  # classes of a group in one block
 COLUMNS = 8192  # values whose overlaps are counted at a time
 SMALL = 1_000_000  # ids that may be broadcast (8 MB, or 24 MB of keys of rows)
-PAIRS = 8192  # pairs whose union sketches are formed at a time
+PAIRS = 4096  # pairs whose union sketches are formed at a time
 REMEMBERED = 150_000  # words whose hashes a task remembers
 _TOP = np.uint64(1 << 63)  # so that signed order is that of the hashes
 _FILL = np.uint64((1 << 64) - 1)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -94,3 +95,9 @@ def test_hot_star(spark):
     edges = spark.range(1, 3000).selectExpr("id AS a", "CAST(0 AS LONG) AS b").union(spark.createDataFrame([(5000, 5001), (5001, 5002), (2999, 7000)], "a long, b long"))
     got = dict(map(tuple, N.components(edges).collect()))
     assert len(got) == 3004 and got[7000] == 0 and got[5002] == 5000 and sum(v == 0 for v in got.values()) == 3001
+
+
+def test_lost_links_are_rarer_than_equal_hashes():
+    near = N.PERCENT / 100
+    lost = sum(math.comb(N.K, i) * near**i * (1 - near) ** (N.K - i) for i in range(N.NEED))
+    assert lost < 2**-64
