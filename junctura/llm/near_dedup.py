@@ -37,6 +37,7 @@ BLOCK = 384  # classes of a group in one block
 COLUMNS = 8192  # values whose overlaps are counted at a time
 SMALL = 1_000_000  # ids that may be broadcast (8 MB, or 24 MB of keys of rows)
 PAIRS = 4096  # pairs whose union sketches are formed at a time
+STAR = 512  # edges of a node that are met in one part
 REMEMBERED = 150_000  # words whose hashes a task remembers
 _TOP = np.uint64(1 << 63)  # so that signed order is that of the hashes
 _FILL = np.uint64((1 << 64) - 1)
@@ -232,22 +233,33 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) by alternating stars; a node without an edge has no row.
 
-    The smallest neighbours are dealt anew before each join, so that the edges of a large star are a shuffled side of their own,
-    which adaptive execution splits.
+    A star of more than STAR edges is met in parts: its edges are dealt by their other ends, its smallest neighbour once to each part.
     """
     e = checkpoint(_ordered(edges))
-    seen = None
+    rows, seen = 2 * e.count(), None
     while True:
         both = e.union(e.select("b", "a"))  # large star: larger neighbours move to the smallest neighbour
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("a")
-        star = _ordered(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        down = star.select(F.col("b").alias("u"), F.col("a").alias("v"))  # small star: u > v
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        e = checkpoint(_ordered(down.join(least.repartition("u"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))))
+        star = _with_least(both, rows).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        down = _ordered(star).select(F.col("b").alias("a"), F.col("a").alias("b"))  # small star: a > b
+        moved = _with_least(down, rows)
+        e = checkpoint(_ordered(moved.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
         if now == seen:
             return e.select(F.col("b").alias("node"), F.col("a").alias("label")).union(e.select("a", "a").distinct())
-        seen = now
+        rows, seen = 2 * now[0], now
+
+
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """edges a, b with m, the smallest b of each a; `rows` is no less than their number.
+
+    Nodes with more than `each` edges are cut into parts of about so many. There are rows / each of them at most, which is
+    no more than SMALL, so their numbers of parts may be broadcast at any size.
+    """
+    each = max(STAR, -(-rows // SMALL))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.ceil(F.count("*") / each).cast("int").alias("parts"))
+    large = F.broadcast(least.where("parts > 1").select("a", "parts"))
+    dealt = edges.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    return dealt.join(least.select("a", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), ["a", "part"]).select("a", "b", "m")
 
 
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:

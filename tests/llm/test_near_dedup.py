@@ -90,8 +90,11 @@ def test_union_sketch_estimates_similarity():
         assert (size[0], shared[0]) == (len(union), len(set(union.tolist()) & set(a.tolist()) & set(b.tolist())))
 
 
-def test_hot_star(spark):
-    """One text near very many others, whose numbers all meet in it."""
+@pytest.mark.parametrize("star, small", [(N.STAR, N.SMALL), (3, N.SMALL), (1, 8)])
+def test_hot_star(spark, monkeypatch, star, small):
+    """One text near very many others, whose numbers all meet in it; parts of a star of any size give the same."""
+    monkeypatch.setattr(N, "STAR", star)
+    monkeypatch.setattr(N, "SMALL", small)
     edges = spark.range(1, 3000).selectExpr("id AS a", "CAST(0 AS LONG) AS b").union(spark.createDataFrame([(5000, 5001), (5001, 5002), (2999, 7000)], "a long, b long"))
     got = dict(map(tuple, N.components(edges).collect()))
     assert len(got) == 3004 and got[7000] == 0 and got[5002] == 5000 and sum(v == 0 for v in got.values()) == 3001
