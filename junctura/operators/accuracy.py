@@ -62,15 +62,18 @@ def together(truth: DataFrame, report: DataFrame, needed: Column, every: bool =
     needed = needed & ~tags.has(F.col("flag"), tags.UNMAPPED)
     side = lambda df, true: df.select("frag", "mate", F.lit(true).alias("true"), "amb", F.when(needed, place).alias("place"))
     t, r = side(truth, True), side(report, False).where("place is not null")
-    rows = (t if every else t.where("place is not null")).union(r).groupBy("frag").agg(F.collect_list(F.struct("mate", "true", "amb", "place")).alias("x"))
+    rows = (t if every else t.where("place is not null")).union(r).repartition("frag")  # dealt first, so a fragment is sorted and summed up once
     several = F.raise_error(F.concat(F.lit("a read has several rows on a side in fragment "), F.col("frag").cast("string"))).cast(_PLACE)
+    of = lambda m, true: (F.col("mate") == m) & (F.col("true") == F.lit(true))
+    found = [F.count(F.when(of(m, true), 1)).alias(f"n_{name}{m}") for m in (1, 2) for name, true in (("t", True), ("r", False))]
+    found += [F.first(F.when(of(m, true), F.col("place")), ignorenulls=True).alias(f"{name}{m}") for m in (1, 2) for name, true in (("t", True), ("r", False))]
+    found += [F.first(F.when(of(m, True), F.col("amb")), ignorenulls=True).alias(f"amb{m}") for m in (1, 2)]
 
     def mate(m: int) -> Column:
-        of = lambda true: F.filter("x", lambda v: (v["mate"] == m) & (v["true"] == F.lit(true)))
-        one = lambda true: F.when(F.size(of(true)) > 1, several).otherwise(F.get(of(true), F.lit(0))["place"])
-        return F.struct(F.lit(m).alias("mate"), (F.size(of(True)) > 0).alias("seen"), F.get(of(True), F.lit(0))["amb"].alias("amb"), one(True).alias("t"), one(False).alias("r"))
+        one = lambda name: F.when(F.col(f"n_{name}{m}") > 1, several).otherwise(F.col(f"{name}{m}")).alias(name)
+        return F.struct(F.lit(m).alias("mate"), (F.col(f"n_t{m}") > 0).alias("seen"), F.col(f"amb{m}").alias("amb"), one("t"), one("r"))
 
-    return rows.select("frag", F.array(mate(1), mate(2)).alias("mates"))
+    return rows.groupBy("frag").agg(*found).select("frag", F.array(mate(1), mate(2)).alias("mates"))
 
 
 _INTRONS = "array<struct<start:int,len:int,q:int>>"
@@ -119,22 +122,38 @@ def intron_events(truth: DataFrame, report: DataFrame, coverage: DataFrame, leng
     return met.select("event", "amb", "p", F.coalesce("coverage", F.lit(0)).alias("coverage"))
 
 
+def _standing(x: DataFrame, *sides: str) -> DataFrame:
+    """Rows that are alike but for where on which chromosome they stand are one, with their number as units: the placements `sides` of a row, relative to each other."""
+    others = [c for c in x.columns if c not in sides]
+    first, names = F.coalesce(*[F.col(c)["pos"] for c in sides]), F.array(*[F.col(c)["chr"] for c in sides])
+    reverse = lambda c: F.when(tags.has(F.col(c)["flag"], tags.REVERSE), tags.REVERSE).otherwise(0)
+    place = lambda c: F.struct(F.lit(False).alias("amb"), F.array_position(names, F.col(c)["chr"]).cast("string").alias("chr"), reverse(c).alias("flag"), (F.col(c)["pos"] - first).alias("pos"), F.col(c)["cigar"].alias("cigar"))
+    alike = x.select(*others, *[F.when(F.col(c).isNotNull(), place(c)).alias(c) for c in sides])
+    return alike.groupBy(*alike.columns).agg(F.count("*").alias("units"))
+
+
 def multi_intron(truth: DataFrame, report: DataFrame, by: list[str], ambiguity: bool = False) -> DataFrame:
     """k and how many units (reads, or pairs with by=['frag']) have k true, k reported and k correct introns; with `ambiguity` apart for amb, of a pair whether a mate's is set.
 
-    An intron of a read is correct on its strand only; the mates of a pair have two strands, so pairs go without.
+    An intron of a read is correct on its strand only; the mates of a pair have two strands, so pairs go without. Units that are alike are walked once.
     """
-    x = _read_introns(truth, report, every=True)
+    x = together(truth, report, gaps.has_intron(F.col("cigar")), every=True)
     if "mate" in by:
-        per = x.select(F.inline("mates")).where("seen")
+        per = _standing(x.select(F.inline("mates")).where("seen").select("amb", "t", "r"), "t", "r")
+        per = per.select("amb", "units", "t", "r", _introns(F.col("t")).alias("ti"), _introns(F.col("r")).alias("ri"))
         correct = F.when(_same_strand(F.col("t"), F.col("r")), F.size(F.filter("ti", lambda i: _holds(F.col("ri"), i)))).otherwise(0)
-        per = per.select("amb", F.size("ti").alias("actual"), F.size("ri").alias("reported"), correct.alias("correct"))
+        per = per.select("amb", "units", F.size("ti").alias("actual"), F.size("ri").alias("reported"), correct.alias("correct"))
     else:
-        every = lambda side, introns: F.array_distinct(F.flatten(F.transform("mates", lambda m: F.transform(m[introns], lambda i: F.struct(m[side]["chr"].alias("chr"), i["start"].alias("start"), i["len"].alias("len"))))))
-        pairs = x.where(F.exists("mates", lambda m: m["seen"])).select(F.exists("mates", lambda m: m["amb"]).alias("amb"), every("t", "ti").alias("ti"), every("r", "ri").alias("ri"))
-        per = pairs.select("amb", F.size("ti").alias("actual"), F.size("ri").alias("reported"), F.size(F.array_intersect("ti", "ri")).alias("correct"))
+        m = lambda k: F.col("mates")[k]
+        amb = F.coalesce(m(0)["amb"], F.lit(False)) | F.coalesce(m(1)["amb"], F.lit(False))
+        pairs = x.where(m(0)["seen"] | m(1)["seen"]).select(amb.alias("amb"), *[m(k)[side].alias(f"{side}{k}") for side in ("t", "r") for k in (0, 1)])
+        pairs = _standing(pairs, "t0", "t1", "r0", "r1")
+        named = lambda c: F.transform(_introns(F.col(c)), lambda i: F.struct(F.col(c)["chr"].alias("chr"), i["start"].alias("start"), i["len"].alias("len")))
+        every = lambda side: F.array_distinct(F.concat(named(f"{side}0"), named(f"{side}1")))
+        pairs = pairs.select("amb", "units", every("t").alias("ti"), every("r").alias("ri"))
+        per = pairs.select("amb", "units", F.size("ti").alias("actual"), F.size("ri").alias("reported"), F.size(F.array_intersect("ti", "ri")).alias("correct"))
     apart = ["amb"] if ambiguity else []
-    kinds = per.groupBy(*apart, "actual", "reported", "correct").agg(F.count("*").alias("units"))  # few kinds, whatever the number of reads
+    kinds = per.groupBy(*apart, "actual", "reported", "correct").agg(F.sum("units").alias("units"))  # few kinds, whatever the number of reads
     long = kinds.unpivot([*apart, "units"], ["actual", "reported", "correct"], "what", "k")
     one = lambda w: F.coalesce(F.sum(F.when(F.col("what") == w, F.col("units"))), F.lit(0)).alias(w)
     return long.groupBy(*apart, "k").agg(one("actual"), one("reported"), one("correct"))
@@ -154,13 +173,13 @@ def _inner_indels(p: Column) -> Column:
 def indel_accuracy(truth: DataFrame, report: DataFrame, ambiguity: bool = False) -> DataFrame:
     """kind (D, I), size and the correct, missed and wrong internal indels, with `ambiguity` apart for amb; a match has equal place and size, one report for one truth.
 
-    Reads without gaps are not shuffled, the others once.
+    Reads without gaps are not shuffled, the others once; those that are alike are walked once.
     """
-    reads = together(truth, report, F.col("cigar").rlike("[DIN]")).select(F.inline("mates")).select("t", "r", _inner_indels(F.col("t")).alias("a"), _inner_indels(F.col("r")).alias("b"))
+    reads = together(truth, report, F.col("cigar").rlike("[DIN]")).select(F.inline("mates")).select(F.coalesce(F.col("t.amb"), F.col("r.amb")).alias("amb"), "t", "r").where("t is not null or r is not null")
+    reads = _standing(reads, "t", "r").select("amb", "units", "t", "r", _inner_indels(F.col("t")).alias("a"), _inner_indels(F.col("r")).alias("b"))
     same = F.coalesce(F.col("t.chr") == F.col("r.chr"), F.lit(False))
-    amb = F.coalesce(F.col("t.amb"), F.col("r.amb")).alias("amb")
-    event = lambda x, name: F.struct(amb, x["op"].alias("kind"), x["l"].alias("size"), name.alias("event"))
+    event = lambda x, name: F.struct("amb", "units", x["op"].alias("kind"), x["l"].alias("size"), name.alias("event"))
     true = F.transform("a", lambda x: event(x, F.when(same & F.array_contains("b", x), "correct").otherwise("missed")))
     false = F.transform(F.filter("b", lambda x: ~(same & F.array_contains("a", x))), lambda x: event(x, F.lit("wrong")))
-    one = lambda e: F.count(F.when(F.col("event") == e, 1)).alias(e)
+    one = lambda e: F.coalesce(F.sum(F.when(F.col("event") == e, F.col("units"))), F.lit(0)).alias(e)
     return reads.select(F.inline(F.concat(true, false))).groupBy(*(["amb"] if ambiguity else []), "kind", "size").agg(one("correct"), one("missed"), one("wrong"))
