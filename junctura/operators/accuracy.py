@@ -182,4 +182,5 @@ def indel_accuracy(truth: DataFrame, report: DataFrame, ambiguity: bool = False)
     true = F.transform("a", lambda x: event(x, F.when(same & F.array_contains("b", x), "correct").otherwise("missed")))
     false = F.transform(F.filter("b", lambda x: ~(same & F.array_contains("a", x))), lambda x: event(x, F.lit("wrong")))
     one = lambda e: F.coalesce(F.sum(F.when(F.col("event") == e, F.col("units"))), F.lit(0)).alias(e)
-    return reads.select(F.inline(F.concat(true, false))).groupBy(*(["amb"] if ambiguity else []), "kind", "size").agg(one("correct"), one("missed"), one("wrong"))
+    events = reads.select(F.inline_outer(F.concat(true, false))).where("event is not null")  # an inner generator would judge each read below the count
+    return events.groupBy(*(["amb"] if ambiguity else []), "kind", "size").agg(one("correct"), one("missed"), one("wrong"))

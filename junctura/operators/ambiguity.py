@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from junctura.operators import accuracy, gaps
+from junctura.functions import cigar
+from junctura.operators import accuracy, gaps, placement
 
 _GAP = "array<struct<i:int,q:int,t:int,l:int,ls:int,rs:int>>"
 _WRONG = "array<struct<i:int,q:int,t:int,l:int>>"
@@ -83,14 +84,28 @@ def alternatives(j: Column, gap: Column) -> Column:
 
 
 def right_bases(truth: DataFrame, report: DataFrame, shifts: DataFrame) -> DataFrame:
-    """frag, mate and right: bases that a report on the right chromosome and strand puts where they may be."""
-    key = ["frag", "mate"]
-    found = with_shifts(indels(truth, [*key, "chr"]), shifts, [*key, "chr"])
-    moved = found.groupBy(*key).agg(F.collect_list(F.struct("op", "q", "t", "l", "ls", "rs")).alias("gaps"))
-    both = accuracy.paired(truth, report).join(moved, key, "left")
+    """frag, mate and right: bases that a report on the right chromosome and strand puts where they may be. A read is there once on each side."""
+    return _right(_comparable(truth, report).select("frag", "mate", "chr", "pos", "cigar", "r_pos", "r_cigar"), shifts, ["frag", "mate"])
+
+
+def counted_right_bases(truth: DataFrame, report: DataFrame, shifts: DataFrame) -> DataFrame:
+    """The same with reads, their number, in place of frag and mate: reads that are placed alike are judged once."""
+    alike = _comparable(truth, report).groupBy("chr", "pos", "cigar", "r_pos", "r_cigar").agg(F.count("*").alias("reads"))
+    return _right(alike, shifts, ["reads"])
+
+
+def _comparable(truth: DataFrame, report: DataFrame) -> DataFrame:
     same = (F.col("r_flag").bitwiseAND(F.lit(4)) == 0) & (F.col("chr") == F.col("r_chr")) & (F.col("flag").bitwiseAND(F.lit(16)) == F.col("r_flag").bitwiseAND(F.lit(16)))
-    x = both.where(same).select(*key, accuracy.coordinates(F.col("cigar"), F.col("pos")).alias("c"), accuracy.coordinates(F.col("r_cigar"), F.col("r_pos")).alias("r"), "gaps")
-    gap = F.coalesce("gaps", F.array().cast("array<struct<op:string,q:int,t:int,l:int,ls:int,rs:int>>"))
-    allowed = F.transform("c", lambda c, j: F.concat(F.array(c), F.flatten(F.transform(gap, lambda g: alternatives(j, g)))))
-    hits = F.filter(F.zip_with(allowed, "r", lambda a, b: F.coalesce(F.array_contains(F.filter(a, lambda v: v.isNotNull()), b), F.lit(False))), lambda ok: ok)
-    return x.select(*key, F.size(hits).alias("right"))
+    return accuracy.paired(truth, report).where(same)
+
+
+def _right(x: DataFrame, shifts: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and right, for rows that are told by keep, chr and both placements."""
+    read = F.struct(*x.columns).alias("read")
+    movable = F.col("cigar").rlike("[DIN]")
+    x = x.select("chr", read, F.coalesce(F.when(movable, placement.listed_indels(F.col("cigar"), F.col("pos"))), F.array().cast(placement._INDELS)).alias("indels"))
+    x = placement.with_gaps(x, shifts, counted="reads" in keep).select("read.*", "gaps")
+    bases = F.aggregate(cigar.parse(F.col("cigar")), F.lit(0), lambda n, o: n + F.when(o["op"].isin(*cigar.QUERY_OPS), o["l"]).otherwise(0))
+    x = x.select("*", placement.runs(F.col("r_cigar"), F.col("r_pos")).alias("reported"), bases.alias("_bases"))
+    allowed = F.concat(placement.runs(F.col("cigar"), F.col("pos")), F.flatten(F.transform("gaps", lambda g: placement.moved_runs(g, F.col("_bases")))))
+    return x.withColumn("allowed", allowed).select(*keep, placement.agreeing(F.col("allowed"), F.col("reported")).alias("right"))

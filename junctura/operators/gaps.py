@@ -25,7 +25,8 @@ def operations(alignments: DataFrame, keep: list[str]) -> DataFrame:
     """One row for each CIGAR operation of the mapped alignments: the columns to keep, i, l, op, q, t and n (operations of the CIGAR)."""
     mapped = alignments.where(~tags.has(F.col("flag"), tags.UNMAPPED))
     steps = mapped.select(*keep, cigar.walk(F.col("cigar"), F.col("pos")).alias("steps"))
-    return steps.select(*keep, F.size("steps").alias("n"), F.inline("steps"))
+    # an inner generator would ask for the size of steps, walk included, of each row below a count or distinct
+    return steps.select(*keep, F.size("steps").alias("n"), F.inline_outer("steps")).where("op is not null")
 
 
 def introns(alignments: DataFrame, keep: list[str], least: int = 0) -> DataFrame:

@@ -23,7 +23,8 @@ _SHIFTED = f"""{_small('ti0', 'top')}, {_small('ri', 'rop')}, shifts AS (SELECT
 
 
 def _shifts(spark, d):
-    found = ambiguity.indels(A.reads(spark, d), ["chr"]).select("chr", "op", "t", F.col("l").alias("size")).distinct().where("t % 7 <> 0")
+    placed = A.reads(spark, d).select("flag", "chr", "pos", "cigar").distinct()  # each placement is walked once
+    found = ambiguity.indels(placed, ["chr"]).select("chr", "op", "t", F.col("l").alias("size")).distinct().where("t % 7 <> 0")
     return found.select("*", F.expr(_LEFT).alias("ls"), F.expr(_RIGHT).alias("rs"))
 
 
@@ -48,8 +49,8 @@ def indel_accuracy_shifted(spark, d):
     good AS (SELECT frag, mate, count(*) AS n FROM (SELECT frag, mate, j, c FROM rb WHERE c IS NOT NULL INTERSECT (SELECT frag, mate, j, c FROM tb UNION SELECT frag, mate, j, c FROM alt)) GROUP BY ALL)
     SELECT CAST(coalesce(n, 0) AS INTEGER) AS bases, count(*) AS reads FROM pair LEFT JOIN good USING (frag, mate) WHERE same GROUP BY ALL""")
 def right_bases_shifted(spark, d):
-    found = ambiguity.right_bases(A.reads(spark, d), A.report(spark, d), _shifts(spark, d))
-    return found.groupBy(F.col("right").alias("bases")).agg(F.count("*").alias("reads"))
+    found = ambiguity.counted_right_bases(A.reads(spark, d), A.report(spark, d), _shifts(spark, d))
+    return found.groupBy(F.col("right").alias("bases")).agg(F.sum("reads").alias("reads"))
 
 
 #: A report with secondary alignments of some reads and a second primary one of others; seq is the order of arrival.

@@ -41,3 +41,22 @@ def test_a_read_that_is_there_twice_is_an_error(spark):
     t, r = _sides(spark, 2)
     with pytest.raises(Exception, match="several rows on a side"):
         accuracy.together(t, r.union(r.where("frag = 1")), F.lit(True)).collect()
+
+
+def test_placements_that_are_alike(spark):
+    from junctura.operators import ambiguity, placement
+
+    t, r = _sides(spark, 6)
+    r = r.withColumn("cigar", F.when(F.col("frag") % 3 == 0, "22M2D18M500N36M").otherwise(F.col("cigar")))
+    shifts = spark.createDataFrame([(f"chr{i % 4}", "D", 1020 + 13 * i, 2, 1, i % 4) for i in range(6)], "chr string, op string, t int, size int, ls int, rs int")
+    key = ["amb", "spliced", "aligned", "base_right", "base_wrong", "verdict"]
+    both = placement.met(t, r)
+    single = placement.verdicts(both, shifts, 76)
+    counted = placement.counted_verdicts(both, shifts, 76)
+    assert sorted(map(tuple, single.groupBy(*key).count().collect())) == sorted(map(tuple, counted.groupBy(*key).agg(F.sum("reads")).collect()))
+    assert placement.general_table(single, 76).collect() == placement.general_table(counted, 76).collect()
+    each = ambiguity.right_bases(t, r, shifts).groupBy("right").count()
+    alike = ambiguity.counted_right_bases(t, r, shifts)
+    assert sorted(map(tuple, each.collect())) == sorted(map(tuple, alike.groupBy("right").agg(F.sum("reads")).collect()))
+    for x in (counted, alike):  # counted once, not again for reads without indels
+        assert "Union" not in x._jdf.queryExecution().optimizedPlan().toString()
