@@ -1,8 +1,8 @@
 """Main text of web pages by the distribution of line blocks (operator 5).
 
 Markup is stripped so that every block element becomes a line. Elements that are never text of an article (menus, footers,
-sidebars, forms, scripts; containers whose whole name says advert, comments and the like) leave blank lines, as many as a
-window has. Over the lines slides a window that sums text lengths; where the sum leaves 0 the text surges, where it falls back to 0 it dives,
+sidebars, forms, scripts; containers whose whole name says advert, comments and the like) are lines without weight between blank lines, as many as a
+window has; so are the bounds of an article. Over the lines slides a window that sums text lengths; where the sum leaves 0 the text surges, where it falls back to 0 it dives,
 and what lies between is kept. Link text counts for nothing, but in an article or main element, where all text counts and outside of which nothing is kept.
 A container whose name only may tell of such matter (related, notice, banner) goes if most of its text is links, so that it would dive, or if it lists articles.
 
@@ -122,9 +122,9 @@ def _paired(tokens: list[tuple[str, str, bool]]) -> dict[int, int]:
     return ends
 
 
-def lines(page: str, reopen: bool = False) -> tuple[list[tuple[str, int, bool]], bool]:
-    """The lines of a page as (text, length outside links, in an article or main element), and whether it has such an element. reopen: an article begins even within an element that goes."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str, reopen: bool = False) -> tuple[list[tuple[str, int, bool | None]], bool]:
+    """The lines of a page as (text, length outside links, in an article or main element; null: of what goes), and whether it has such an element. reopen: an article begins even within an element that goes."""
+    out: list[tuple[str, int, bool | None]] = []
     text: list[str] = []
     blank = [("", 0, False)] * (2 * WINDOW)
     tokens = _tokens(page)
@@ -163,17 +163,19 @@ def lines(page: str, reopen: bool = False) -> tuple[list[tuple[str, int, bool]],
         mark = 0 if close or rest.endswith("/") else _dropped(name, rest, main > 0)
         if mark == 2:
             end()
-            out.extend(blank)
             link = 0
             stop = ends.get(i, len(tokens))
             inside = bisect.bisect(articles, i)
             if (reopen or i not in ends) and inside < len(articles) and articles[inside] < stop:
                 stop = articles[inside] - 1  # the article begins in what was left open
+            gone = " ".join(html.unescape(" ".join(t for t, *_ in tokens[i:stop] if not is_tag(t))).split())
+            out.extend([*blank[:WINDOW], (gone, 0, None), *blank[:WINDOW]])
             i = stop
         elif name == "a":
             link = 0 if close else 1  # a second <a> ends the first
         elif name in ("article", "main"):
             if not close:
+                out.extend(() if main else blank)
                 main, found = main + 1, True
             else:
                 main = max(0, main - 1)
@@ -189,9 +191,9 @@ def lines(page: str, reopen: bool = False) -> tuple[list[tuple[str, int, bool]],
                 continue
         if i == maybe_end:
             end()
-            size = sum(len(t) for t, *_ in out[maybe_at:])
+            size = sum(len(t) for t, _, inside in out[maybe_at:] if inside is not None)
             if size and 2 * sum(n for _, n, _ in out[maybe_at:]) < size:
-                out[maybe_at:] = blank
+                out[maybe_at:] = [*blank[:WINDOW], *((t, 0, None) for t, *_ in out[maybe_at:]), *blank[:WINDOW]]
     end()
     return out, found
 
@@ -216,7 +218,7 @@ def main_text(page: str | None) -> str:
     for reopen in (False, True):
         rows, found = lines(page or "", reopen)
         length = [(len(t) if found else n) if inside or not found else 0 for t, n, inside in rows]
-        kept = [t for a, b in stretches(length) for t, _, inside in rows[a:b] if t and (inside or not found)]
+        kept = [t for a, b in stretches(length) for t, *_ in rows[a:b] if t]
         if kept:
             break
     return "\n\n".join(kept)

@@ -329,3 +329,12 @@ def test_pages_against_their_blocks(spark):
     got = html_text.extract(spark.createDataFrame([r[:3] + ("c", 7) for r in rows], "page_id long, url string, html string, text string, n_chars int"))
     assert sorted((r["row"]["page_id"], r["text"], r["n_chars"]) for r in got.collect()) == sorted((r[0], r[3], len(r[3])) for r in rows)
     assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_surges_and_dives_bound_the_article(monkeypatch):
+    from junctura.llm import html_text as H
+
+    page = "<h2>Site</h2><nav>menu</nav><div class=ad>buy</div><article><h1>T</h1><aside>see</aside><p>one</p><p><a href=x>two</a></p></article><footer>end</footer>"
+    assert H.main_text(page) == "T\n\none\n\ntwo"
+    monkeypatch.setattr(H, "stretches", lambda length: [(0, len(length))])
+    assert H.main_text(page) == "Site\n\nmenu\n\nbuy\n\nT\n\nsee\n\none\n\ntwo\n\nend"  # nothing else leaves text out
