@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from junctura.llm.common import checkpoint, give_back, strings
+from junctura.llm.common import batches_of, checkpoint, give_back, strings
 
 GROUP_ROWS = 4096
 CAPACITY = 2048
+BATCH_ROWS = 2048  # whole texts that pass to Python at a time; both sides hold them
 
 
 def pack_group(lengths: list[int], sources: list[int], clusters: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -66,7 +67,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     without tokens (null or 0) is a piece of 0 tokens in bin -1. A null source or cluster conflicts with nothing.
     Rows with one doc_id are packed each on their own.
     """
-    items = checkpoint(items.select("doc_id", "source", "cluster", "n_tokens"))  # lengths cost more than anything here; they are taken once
+    with batches_of(items.sparkSession, BATCH_ROWS):
+        items = checkpoint(items.select("doc_id", "source", "cluster", "n_tokens"))  # lengths cost more than anything here; they are taken once
     groups = max(1, -(-items.count() // GROUP_ROWS))
     dealt = items.select(F.pmod(F.xxhash64(F.lit(5), "doc_id", "cluster"), F.lit(groups)).cast("int").alias("pack_group"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
 
@@ -101,11 +103,12 @@ def measured(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from junctura.llm.bpe import chunks
-        from junctura.llm.token_files import encoder_of
+        from junctura.llm.token_files import CHUNK, encoder_of
 
+        give_back()  # what tasks of other operators left
         encoder = encoder_of(tokenizer)
         for batch in batches:
-            n = [len(x) // 4 + 1 if t else 0 for part in chunks(strings(batch.column(3))) for t, x in zip(part, encoder.encode(part))]
+            n = [k + 1 if t else 0 for part in chunks(strings(batch.column(3)), CHUNK) for t, k in zip(part, encoder.counts(part))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "cluster", "n_tokens"])
             give_back()
 

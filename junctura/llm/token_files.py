@@ -11,7 +11,6 @@ those that count. Both lie under one folder that all executors reach.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import struct
@@ -23,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
@@ -38,8 +38,10 @@ CHUNK = 4 << 20  # characters whose words are looked up together
 PART = 1 << 26  # ids in one frame at most; a longer document takes several frames
 WORDS = 120_000  # words in each of the two generations that a worker remembers
 
-_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|\Z)").sub  # ASCII but letters, digits and the apostrophe
-_PLAIN = re.compile(r"[a-zß-öø-ÿ]+").fullmatch  # one piece each, which the normaliser leaves as it is
+_SIGN, _LETTER = r"[!-&(-/:-@\[-`{-~]", "[a-zß-öø-ÿ]"  # a sign is ASCII but letters, digits and the apostrophe
+_STOP = re.compile(rf"{_SIGN}(?<={_LETTER}.){_SIGN}*(?=[ \n]|\Z)").sub  # begins with a class, which is quickly searched for
+_STOP_ARROW = (rf"({_LETTER})({_SIGN}+)([ \n]|\z)", r"\1 \2\3")  # the same
+_PLAIN = re.compile(f"{_LETTER}+").fullmatch  # one piece each, which the normaliser leaves as it is
 
 
 class WordEncoder:
@@ -58,6 +60,7 @@ class WordEncoder:
     def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Sequence, Split, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added, self.parted = {}, None
@@ -69,25 +72,25 @@ class WordEncoder:
             if self.added:
                 self.parted = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.tokenizer.encode_special_tokens = True  # the words asked for hold no added token that counts
-        bare = json.loads(self.tokenizer.to_str())
-        bare["normalizer"] = None
-        split = [x for x in bare["pre_tokenizer"]["pretokenizers"] if x["type"] != "Split"]
-        bare["pre_tokenizer"]["pretokenizers"] = [{"type": "WhitespaceSplit"}, *split]
-        self.bare = Tokenizer.from_str(json.dumps(bare))
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self.bare = Tokenizer(self.tokenizer.model)  # shares the model; a copy by way of its text takes 400 MB on the way
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), *(x for x in self.tokenizer.pre_tokenizer if not isinstance(x, Split))])
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.young_counts: dict[str, int] = {}
+        self.old_counts: dict[str, int] = {}
 
     @staticmethod
-    def words(text: str) -> list[str]:
+    def lowered(text: str) -> str:
         lower = text.lower()
-        if text.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower):
-            text = lower
-        return _STOP(r" \1", text).replace("\n", " ").split(" ")
+        return lower if text.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower) else text
 
-    def learn(self, words: list[str]) -> None:
-        put = self.young
+    @classmethod
+    def words(cls, text: str) -> list[str]:
+        return _STOP(r" \g<0>", cls.lowered(text)).replace("\n", " ").split(" ")
+
+    def learned(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Some of the words at a time, their ids in a row and the bounds of each word's."""
         bare = [w for w in words if _PLAIN(w)]
         more = [w for w in words if not _PLAIN(w)]
         rest = [w for w in more if not w.isalpha()]
@@ -97,16 +100,20 @@ class WordEncoder:
                 part = lots[lo : lo + 64]
                 for lot, e in zip(part, tokenizer.encode_batch_fast([" ".join(x) for x in part], add_special_tokens=False)):
                     ids = np.array(e.ids, "<u4")
-                    at = (4 * np.r_[0, np.flatnonzero(self.ends[ids]) + 1]).tolist()
-                    if len(at) != len(lot) + 1 or at[-1] != 4 * len(ids):
+                    at = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
+                    if len(at) != len(lot) + 1 or at[-1] != len(ids):
                         rest.extend(lot)
-                        continue
-                    data = ids.tobytes()
-                    put.update(zip(lot, (data[a:b] for a, b in zip(at, at[1:]))))
+                    else:
+                        yield lot, ids, at
         for lo in range(0, len(rest), 4096):
             part = rest[lo : lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                put[w] = np.array(e.ids, "<u4").tobytes()
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            yield part, np.array([i for x in each for i in x], "<u4"), np.cumsum([0, *map(len, each)])
+
+    def learn(self, words: list[str]) -> None:
+        for lot, ids, at in self.learned(words):
+            data, at = ids.tobytes(), (4 * at).tolist()
+            self.young.update(zip(lot, (data[a:b] for a, b in zip(at, at[1:]))))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if not self.parted or not any(a in t for t in texts for a in self.added):
@@ -129,6 +136,37 @@ class WordEncoder:
         for w in words:
             yield b"".join(map(get, w))
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """How many ids each text has, as encode() gives them."""
+        if not self.parted or not any(a in t for t in texts for a in self.added):
+            return self._counts(texts).tolist()
+        parts = [self.parted(t) for t in texts]
+        plain = iter(self._counts([x for p in parts for x in p[::2]]).tolist())
+        return [len(p) // 2 + sum(next(plain) for _ in p[::2]) for p in parts]
+
+    def _counts(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.zeros(0, np.int64)
+        column = pc.replace_substring_regex(pa.array(map(self.lowered, texts), pa.large_string()), *_STOP_ARROW)
+        split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")  # one word at least, if an empty one
+        coded = split.flatten().dictionary_encode()
+        known = self.counted(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return np.add.reduceat(known[coded.indices.to_numpy()], split.offsets.to_numpy()[:-1])
+
+    def counted(self, words: list[str]) -> np.ndarray:
+        """The numbers of ids of words, all different."""
+        if len(self.young_counts) > WORDS:
+            self.old_counts, self.young_counts = self.young_counts, {}
+        out = list(map(self.young_counts.get, words))
+        missed = [i for i, n in enumerate(out) if n is None]
+        old = [(words[i], self.old_counts.get(words[i])) for i in missed]
+        self.young_counts.update([x for x in old if x[1] is not None])
+        for lot, _, at in self.learned([w for w, n in old if n is None]):
+            self.young_counts.update(zip(lot, np.diff(at).tolist()))
+        for i in missed:
+            out[i] = self.young_counts[words[i]]
+        return np.array(out, np.int64)
+
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> WordEncoder:

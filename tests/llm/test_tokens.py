@@ -1,6 +1,9 @@
 import hashlib
 import io
+import os
 import random
+import subprocess
+import sys
 import tempfile
 import zlib
 
@@ -58,6 +61,31 @@ def test_word_encoder_on_random_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_counts_are_those_of_the_ids(monkeypatch):
+    """Numbers of ids without the ids, over small generations and few texts at a time; added tokens count as in encode()."""
+    rng = random.Random(8)
+    signs = [*"abß éÉİıΣσςHT'’.,!?<|>&#*-_ 09\n\t\r\0\xa0\u3000e\u0301\u0338ªµǅ中\u2028😀´`~[]{}@", "<|endoftext|>", "a.\n", "é,! ", "x.y. ", "don't ", "straße! "]
+    texts = TEXTS + ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(3000)]
+    monkeypatch.setattr(token_files, "WORDS", 300)
+    for added in (False, True):
+        own = token_files.WordEncoder(WORD_BPE, added=added)
+        want = [len(x) // 4 for x in own.encode(texts)]
+        assert [n for i in range(0, len(texts), 100) for n in own.counts(texts[i : i + 100])] == want and own.counts([]) == []
+
+
+def test_an_encoder_is_loaded_without_a_copy_of_its_model():
+    """In a process of its own: the memory it takes at most while it is loaded."""
+    code = f"""if 1:
+        import re
+        from junctura.llm import token_files
+        most = lambda: int(re.search("VmHWM:\\\\s+([0-9]+)", open("/proc/self/status").read())[1]) / 1024
+        before = most()
+        token_files.WordEncoder({WORD_BPE!r}, added=True)
+        print(most() - before)"""
+    grown = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 150
+
+
 def test_token_files(spark, monkeypatch):
     rows = [(7, "b c"), (3, None), (5, ""), (None, "n"), (5, "a"), (9, TEXTS[5]), (11, "long text " * 3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -129,6 +157,22 @@ def test_added_tokens_get_their_ids_as_in_the_library_itself(spark):
     assert {r["doc_id"]: r["n_tokens"] for r in packing.measured(docs, WORD_BPE).collect()} == {i: len(x) + 1 if texts[i] else 0 for i, x in enumerate(want[:12])}
 
 
+def test_texts_reach_the_tokenizer_in_small_batches(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'s' AS source", "'a b' AS text").coalesce(1)
+    sizes = packing.measured(docs, WORD_BPE).select("doc_id", "source", "n_tokens")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), tempfile.mkdtemp(prefix="spark-")
+
+    def watched(batches):
+        for b in batches:
+            open(f"{seen}/{b.num_rows}", "w").close()
+            yield b
+
+    watched_sizes = sizes.mapInArrow(watched, sizes.schema).selectExpr("*", "1L AS cluster")
+    assert packing.pack(watched_sizes).count() == 5000 and spark.conf.get(key) == before
+    assert max(map(int, os.listdir(seen))) <= packing.BATCH_ROWS
+
+
 def test_packing_query_against_the_library(spark):
     """Lengths as the library counts them; no sequence over its capacity, none with two documents of one source or text."""
     data, t = "/root/testdata/sf0.001", Tokenizer.from_file(WORD_BPE)
