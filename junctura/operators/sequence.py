@@ -61,23 +61,30 @@ def indel_shifts(indels: DataFrame, tiles: DataFrame, tile: int = TILE) -> DataF
     """chr, op, t, size, ls and rs of indels (chr, s, e, pos, size, seq): the region s to e, the bases of it before the indel, the signed size and the inserted or
     deleted bases (null in a deletion: those of the reference). How far each can move to the left and right within its region.
 
-    A deletion that differs from the reference, or bases that do not fit the size, are errors.
+    A deletion that differs from the reference, or bases that do not fit the size, are errors. Equal indels in different regions are followed once,
+    as far as the widest of their regions reaches; each region then bounds its own.
     """
-    x = indels.select("chr", F.col("s").alias("low"), F.col("e").alias("high"), (F.col("s") + F.col("pos")).alias("t"), F.abs("size").alias("size"), F.when(F.col("size") < 0, "D").otherwise("I").alias("op"), F.upper("seq").alias("given")).distinct()
-    x = x.withColumn("s", F.col("t")).withColumn("e", F.when(F.col("op") == "D", F.col("t") + F.col("size") - 1).otherwise(F.col("t") - 1))
-    x = slices(x, tiles, tile)
+    key = ["chr", "op", "t", "size", "given"]
+    x = indels.select("chr", F.greatest("s", F.lit(1)).alias("low"), F.col("e").alias("high"), (F.col("s") + F.col("pos")).alias("t"), F.abs("size").alias("size"), F.when(F.col("size") < 0, "D").otherwise("I").alias("op"), F.upper("seq").alias("given"))
+    after = F.col("t") + F.when(F.col("op") == "D", F.col("size")).otherwise(0)
+    k = x.groupBy(*key).agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumn("s", F.col("t")).withColumn("e", after - 1)
+    k = slices(k, tiles, tile)
     at = F.concat(F.lit(" at "), F.col("chr"), F.lit(":"), F.col("t").cast("string"))
     event = F.when(F.col("op") == "D", F.col("seq")).otherwise(F.col("given"))
     differs = (F.col("op") == "D") & F.col("given").isNotNull() & (F.col("given") != F.col("seq"))
     unfit = F.coalesce(F.length(event), F.lit(-1)) != F.col("size")
     event = F.when(unfit, F.raise_error(F.concat(F.lit("the bases of an indel do not fit its size"), at)).cast("string")).when(differs, F.raise_error(F.concat(F.lit("a deletion differs from the reference"), at)).cast("string")).otherwise(event)
-    x = checkpoint(x.withColumn("event", event).withColumn("id", F.monotonically_increasing_id()).select("id", "chr", "op", "t", "size", "low", "high", "event"))
-    after = F.col("t") + F.when(F.col("op") == "D", F.col("size")).otherwise(0)
-    right = x.select("id", "chr", F.lit(False).alias("down"), after.alias("at"), F.col("high").alias("bound"), "event")
-    left = x.select("id", "chr", F.lit(True).alias("down"), (F.col("t") - 1).alias("at"), F.col("low").alias("bound"), F.reverse("event").alias("event"))
+    k = checkpoint(k.withColumn("event", event).withColumn("id", F.monotonically_increasing_id()).select("id", *key, "low", "high", "event"))
+    right = k.select("id", "chr", F.lit(False).alias("down"), after.alias("at"), F.col("high").alias("bound"), "event")
+    left = k.select("id", "chr", F.lit(True).alias("down"), (F.col("t") - 1).alias("at"), F.col("low").alias("bound"), F.reverse("event").alias("event"))
     n = _extended(right.union(left), tiles, tile)
     side = lambda down, name: F.max(F.when(F.col("down") == down, F.col("n"))).alias(name)
-    return x.join(n.groupBy("id").agg(side(True, "ls"), side(False, "rs")), "id").select("chr", "op", "t", "size", "ls", "rs")
+    far = k.join(n.groupBy("id").agg(side(True, "ls"), side(False, "rs")), "id").select(*[F.col(c).alias("_" + c) for c in key], "ls", "rs")
+    met = F.lit(True)
+    for c in key:
+        met = met & F.col(c).eqNullSafe(F.col("_" + c))
+    within = lambda c, room: F.least(c, F.greatest(room, F.lit(0))).cast("int").alias(c)
+    return x.distinct().join(far, met).select("chr", "op", "t", "size", within("ls", F.col("t") - F.col("low")), within("rs", F.col("high") - after + 1))
 
 
 def intron_indels(introns: DataFrame) -> DataFrame:

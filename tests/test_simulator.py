@@ -143,3 +143,16 @@ def test_faulty_indels(spark, tmp_path, line, error):
     tiles = sections.fasta_tiles(spark, write(tmp_path, "g.fa", fasta(genome())))
     with pytest.raises(Exception, match=error):
         sequence.indel_shifts(sections.simulated_indels(spark, write(tmp_path, "i.txt", line + "\n")), tiles).collect()
+
+
+def test_equal_indels_of_many_regions_are_followed_once(spark, tmp_path, monkeypatch):
+    seqs = genome()
+    tiles = sections.fasta_tiles(spark, write(tmp_path, "g.fa", fasta(seqs)), tile=64)
+    s, asked = seqs["chrR"], []
+    rows = [("chrR", low, high, 41 - low, -4, None) for low in (-3, 8, 30, 41) for high in (50, 90, 300)] + [("chrR", low, 300, 45 - low, 4, s[40:44]) for low in range(1, 40)] + [("chr?", 1, 90, 10, 2, "AC"), (None, 1, 90, 10, 2, "AC")]
+    followed = sequence._extended
+    monkeypatch.setattr(sequence, "_extended", lambda events, *x: asked.append(events.count()) or followed(events, *x))
+    got = sequence.indel_shifts(spark.createDataFrame(rows, "chr string, s int, e int, pos int, size int, seq string"), tiles, 64).collect()
+    want = [(c, "D" if n < 0 else "I", low + pos, abs(n), *(moves(s, max(low, 1), high, low + pos, abs(n), s[40:44], "D" if n < 0 else "I") if c == "chrR" else (0, 0))) for c, low, high, pos, n, _ in rows]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert asked == [8]  # two sides of four indels
