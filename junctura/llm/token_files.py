@@ -17,31 +17,36 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from junctura.llm.bpe import chunks
 from junctura.llm.common import FORGET, LOT, before, fresh_path, forget, give_back, pieces, strings, text_bytes
 
 SEEK_MAGIC, SKIP_MAGIC, IDS_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 FILE_BYTES = 24 << 20  # of text for each file
 RANGES = 20_000  # of doc_id at most, one task each; a task writes as many files as its range fills
-CHUNK = 4 << 20  # characters whose words are looked up together
+CHUNK = 8 << 20  # characters whose words are looked up together
+SPLIT = 1 << 20  # characters whose words are parted together
 PART = 1 << 26  # ids in one frame at most; a longer document takes several frames
-WORDS = 120_000  # words in each of the two generations that a worker remembers
+WORDS = 200_000  # words in each of the two generations that a worker remembers
+GATHER = 1 << 20  # words whose ids are laid out at a time
 
-_SIGN, _LETTER = r"[!-&(-/:-@\[-`{-~]", "[a-zß-öø-ÿ]"  # a sign is ASCII but letters, digits and the apostrophe
-_STOP = re.compile(rf"{_SIGN}(?<={_LETTER}.){_SIGN}*(?=[ \n]|\Z)").sub  # begins with a class, which is quickly searched for
-_STOP_ARROW = (rf"({_LETTER})({_SIGN}+)([ \n]|\z)", r"\1 \2\3")  # the same
-_PLAIN = re.compile(f"{_LETTER}+").fullmatch  # one piece each, which the normaliser leaves as it is
+#: What a byte of a text is: a gap between words, a sign (ASCII but letters, digits and the apostrophe), a to z, or perhaps the second byte of a letter from ß to ÿ.
+_GAP, _SIGN, _AZ, _HIGH = 1, 2, 3, 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(b" \n")] = _GAP
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'")]] = _SIGN
+_KIND[ord("a") : ord("z") + 1] = _AZ
+_KIND[[x.encode()[1] for x in map(chr, range(0xDF, 0x100)) if x != "÷"]] = _HIGH
 
 
 class WordEncoder:
@@ -50,8 +55,9 @@ class WordEncoder:
     The normaliser and the pattern of the tokenizer work within what spaces and line ends part, so the ids of
     a text are those of its words in a row; tests hold this against whole texts. A text is lower-cased here only
     where that is what the normaliser does (composed text that stays so, without a final sigma), and punctuation between a
-    letter and a space is a piece of its own; so fewer words differ. Words of plain lower-case letters go to the
-    same model without the normaliser and the pattern, which would leave them as they are.
+    letter and a space is a piece of its own; so fewer words differ. Words are found and told apart by arrays of all
+    bytes of some texts. Words of a to z go to the same model without the normaliser, the pattern and the letters for
+    bytes, which would leave them as they are.
 
     With `added`, the strings of added tokens get their ids, as the library does by default: it takes them from the
     raw text and works on what stands between them apart. Without it they are text like any other.
@@ -60,7 +66,7 @@ class WordEncoder:
     def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import Sequence, Split, WhitespaceSplit
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added, self.parted = {}, None
@@ -73,12 +79,10 @@ class WordEncoder:
                 self.parted = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.tokenizer.encode_special_tokens = True  # the words asked for hold no added token that counts
         self.bare = Tokenizer(self.tokenizer.model)  # shares the model; a copy by way of its text takes 400 MB on the way
-        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), *(x for x in self.tokenizer.pre_tokenizer if not isinstance(x, Split))])
+        self.bare.pre_tokenizer = CharDelimiterSplit(" ")
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.young_counts: dict[str, int] = {}
-        self.old_counts: dict[str, int] = {}
+        self.seen: list[dict[str, bytes]] = [{}, {}]  # a young and an old generation
+        self.seen_counts: list[dict[str, int]] = [{}, {}]
 
     @staticmethod
     def lowered(text: str) -> str:
@@ -86,16 +90,46 @@ class WordEncoder:
         return lower if text.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower) else text
 
     @classmethod
-    def words(cls, text: str) -> list[str]:
-        return _STOP(r" \g<0>", cls.lowered(text)).replace("\n", " ").split(" ")
+    def words(cls, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different words of some texts, the number of each word in a row among them, and the bounds of each text's."""
+        parts = [cls.parts(x) for x in chunks(texts, SPLIT)]
+        row = pa.chunked_array([x for x, _ in parts], pa.large_string()).combine_chunks().dictionary_encode()
+        counts = np.concatenate([np.zeros(1, np.int64), *(n for _, n in parts)])
+        return row.dictionary.to_numpy(zero_copy_only=False).tolist(), row.indices.to_numpy(), np.cumsum(counts)
+
+    @classmethod
+    def parts(cls, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of some texts in a row and how many each text has.
+
+        A text is parted at spaces and line ends; signs between a letter and a gap or the end are a word of their own.
+        """
+        column = pa.array(map(cls.lowered, texts), pa.large_string())
+        at = np.frombuffer(column.buffers()[1], np.int64, len(texts) + 1)
+        if not at[-1]:
+            return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8, at[-1])
+        kind = _KIND[data]
+        gap, sign, bound = kind == _GAP, kind == _SIGN, np.zeros(len(data) + 1, bool)
+        bound[at] = True
+        first, last = bound[:-1].copy(), bound[1:].copy()  # bytes that begin or end what gaps and the bounds of texts part
+        first[1:] |= gap[:-1]
+        last[:-1] |= gap[1:]
+        inner = sign[1:] & sign[:-1] & ~bound[1:-1]  # a sign after a sign of the same text
+        a, b = np.flatnonzero(sign & ~np.r_[False, inner]), np.flatnonzero(sign & ~np.r_[inner, False])
+        a = a[last[b] & ~first[a]]
+        first[a[(kind[a - 1] == _AZ) | (kind[a - 1] == _HIGH) & (data[a - 2] == 0xC3)]] = True
+        starts = np.flatnonzero(first & ~gap)
+        kept = data[~gap]
+        offsets = np.r_[starts - np.cumsum(gap)[starts], len(kept)]
+        return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(kept)), np.diff(np.searchsorted(starts, at))
 
     def learned(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
         """Some of the words at a time, their ids in a row and the bounds of each word's."""
-        bare = [w for w in words if _PLAIN(w)]
-        more = [w for w in words if not _PLAIN(w)]
-        rest = [w for w in more if not w.isalpha()]
-        for tokenizer, plain in ((self.bare, bare), (self.tokenizer, [w for w in more if w.isalpha()])):
-            lots = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        bare, more, rest = [], [], []
+        for w in words:
+            (rest if not w.isalpha() else bare if w.isascii() and w.islower() else more).append(w)
+        for tokenizer, plain in ((self.bare, bare), (self.tokenizer, more)):
+            lots = [plain[i : i + 128] for i in range(0, len(plain), 128)]
             for lo in range(0, len(lots), 64):
                 part = lots[lo : lo + 64]
                 for lot, e in zip(part, tokenizer.encode_batch_fast([" ".join(x) for x in part], add_special_tokens=False)):
@@ -110,10 +144,20 @@ class WordEncoder:
             each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             yield part, np.array([i for x in each for i in x], "<u4"), np.cumsum([0, *map(len, each)])
 
-    def learn(self, words: list[str]) -> None:
-        for lot, ids, at in self.learned(words):
-            data, at = ids.tobytes(), (4 * at).tolist()
-            self.young.update(zip(lot, (data[a:b] for a, b in zip(at, at[1:]))))
+    def known(self, seen: list[dict], words: list[str], of: Callable[[np.ndarray, np.ndarray], Iterable]) -> list:
+        """For each of some words, all different, what `of` makes of ids in a row and the bounds of each word's; `seen` remembers it."""
+        if len(seen[0]) > WORDS:
+            seen[:] = {}, seen[0]
+        young, old = seen
+        out = list(map(young.get, words))
+        missed = [i for i, x in enumerate(out) if x is None]
+        asked = [(words[i], old.get(words[i])) for i in missed]
+        young.update([x for x in asked if x[1] is not None])
+        for lot, ids, at in self.learned([w for w, x in asked if x is None]):
+            young.update(zip(lot, of(ids, at)))
+        for i in missed:
+            out[i] = young[words[i]]
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if not self.parted or not any(a in t for t in texts for a in self.added):
@@ -125,16 +169,16 @@ class WordEncoder:
             yield b"".join(self.added[x] if k % 2 else next(plain) for k, x in enumerate(p))
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.young) > WORDS:
-            self.old, self.young = self.young, {}
-        words = [self.words(t) for t in texts]
-        need = set().union(*words).difference(self.young)
-        old = {w: x for w in need if (x := self.old.get(w)) is not None}
-        self.young.update(old)
-        self.learn([w for w in need if w not in old])
-        get = self.young.__getitem__
-        for w in words:
-            yield b"".join(map(get, w))
+        words, row, bounds = self.words(texts)
+        each = self.known(self.seen, words, _cut)
+        pool, sizes = np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
+        first, ends, out = np.cumsum(sizes) - sizes, np.r_[0, np.cumsum(sizes[row])], []
+        for lo in range(0, len(row), GATHER):
+            part = row[lo : lo + GATHER]
+            out.append(pool[np.repeat(first[part] - ends[lo : lo + len(part)], sizes[part]) + np.arange(ends[lo], ends[lo + len(part)])].tobytes())
+        data, at = b"".join(out), (4 * ends[bounds]).tolist()
+        for a, b in zip(at, at[1:]):
+            yield data[a:b]
 
     def counts(self, texts: list[str]) -> list[int]:
         """How many ids each text has, as encode() gives them."""
@@ -145,27 +189,14 @@ class WordEncoder:
         return [len(p) // 2 + sum(next(plain) for _ in p[::2]) for p in parts]
 
     def _counts(self, texts: list[str]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0, np.int64)
-        column = pc.replace_substring_regex(pa.array(map(self.lowered, texts), pa.large_string()), *_STOP_ARROW)
-        split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")  # one word at least, if an empty one
-        coded = split.flatten().dictionary_encode()
-        known = self.counted(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        return np.add.reduceat(known[coded.indices.to_numpy()], split.offsets.to_numpy()[:-1])
-
-    def counted(self, words: list[str]) -> np.ndarray:
-        """The numbers of ids of words, all different."""
-        if len(self.young_counts) > WORDS:
-            self.old_counts, self.young_counts = self.young_counts, {}
-        out = list(map(self.young_counts.get, words))
-        missed = [i for i, n in enumerate(out) if n is None]
-        old = [(words[i], self.old_counts.get(words[i])) for i in missed]
-        self.young_counts.update([x for x in old if x[1] is not None])
-        for lot, _, at in self.learned([w for w, n in old if n is None]):
-            self.young_counts.update(zip(lot, np.diff(at).tolist()))
-        for i in missed:
-            out[i] = self.young_counts[words[i]]
-        return np.array(out, np.int64)
+        words, row, bounds = self.words(texts)
+        sizes = np.array(self.known(self.seen_counts, words, lambda ids, at: np.diff(at).tolist()), np.int64)
+        return np.diff(np.r_[0, np.cumsum(sizes[row])][bounds])
+
+
+def _cut(ids: np.ndarray, at: np.ndarray) -> Iterator[bytes]:
+    data, at = ids.tobytes(), (4 * at).tolist()
+    return (data[a:b] for a, b in zip(at, at[1:]))
 
 
 @lru_cache(maxsize=1)
@@ -243,8 +274,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> Data
     dealt = source.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from junctura.llm.bpe import chunks
-
         encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
         fs, path = pafs.FileSystem.from_uri(folder)
 

@@ -73,6 +73,29 @@ def test_counts_are_those_of_the_ids(monkeypatch):
         assert [n for i in range(0, len(texts), 100) for n in own.counts(texts[i : i + 100])] == want and own.counts([]) == []
 
 
+def test_words_of_a_text_are_no_objects_each():
+    """While ids are handed out, what is kept of a text's words grows with the different ones; before, each was a string."""
+    own, text = token_files.WordEncoder(WORD_BPE), "some words, often said. " * 50_000
+    before, ids = sys.getallocatedblocks(), own.encode([text])
+    first = next(ids)
+    assert sys.getallocatedblocks() - before < 20_000
+    assert first == next(own.encode(["some words, often said. "])) * 50_000
+
+
+def test_words_are_parted_within_texts_and_over_lots(monkeypatch):
+    """Signs, letters and gaps at the bounds of texts and of lots; texts without words between them."""
+    t, own, rng = Tokenizer.from_file(WORD_BPE), token_files.WordEncoder(WORD_BPE), random.Random(11)
+    t.encode_special_tokens = True
+    signs = [*"abzéßÿ÷©Ã.,!'~@\x7f \n\t", "a.", ".a", "é!", "÷.", "ab, ", "x.y\n"]
+    texts = ["", "a", ".", "", "\n", " ", "a.", ".", "a"] + ["".join(rng.choices(signs, k=rng.randint(0, 9))) for _ in range(4000)]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for split, gather in ((1, 1), (7, 5), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(token_files, "SPLIT", split)
+        monkeypatch.setattr(token_files, "GATHER", gather)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+        assert own.counts(texts) == [len(x) for x in want]
+
+
 def test_an_encoder_is_loaded_without_a_copy_of_its_model():
     """In a process of its own: the memory it takes at most while it is loaded."""
     code = f"""if 1:
