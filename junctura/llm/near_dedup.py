@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from junctura.llm.common import checkpoint, forget
+from junctura.llm.common import checkpoint, forget, give_back
 
 WIDTH = 5
 PERCENT = 75
@@ -78,6 +78,8 @@ def _each(of, names):
                     words.clear()
                 sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *of(sets)], names)
+        words.clear()
+        give_back()
 
     return run
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from junctura.llm.common import batches_of, checkpoint, give_back, strings
+from junctura.llm.common import batches_of, checkpoint, forget, give_back, strings
 
 GROUP_ROWS = 4096
 CAPACITY = 2048
@@ -101,15 +101,25 @@ def measured(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, source, cluster (of equal texts; none for empty ones) and n_tokens by the tokenizer, with an end id for each document that has a text."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.when(F.length("text") > 0, F.xxhash64("text")).alias("cluster"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from junctura.llm.bpe import chunks
-        from junctura.llm.token_files import CHUNK, encoder_of
+    return source.mapInArrow(_lengths(tokenizer), "doc_id long, source string, cluster long, n_tokens long")
+
 
-        give_back()  # what tasks of other operators left
-        encoder = encoder_of(tokenizer)
-        for batch in batches:
-            n = [k + 1 if t else 0 for part in chunks(strings(batch.column(3)), CHUNK) for t, k in zip(part, encoder.counts(part))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "cluster", "n_tokens"])
-            give_back()
+def _lengths(tokenizer: str):
+    """Counts the ids of the texts in a worker that holds nothing else and keeps nothing afterwards: idle workers count too, while Spark plans, sorts and writes."""
 
-    return source.mapInArrow(run, "doc_id long, source string, cluster long, n_tokens long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from junctura.llm.bpe import chunks
+        from junctura.llm.token_files import COUNTED, encoder_of
+
+        forget()
+        try:
+            encoder = encoder_of(tokenizer)
+            for batch in batches:
+                n = [k + 1 if t else 0 for part in chunks(strings(batch.column(3)), COUNTED) for t, k in zip(part, encoder.counts(part))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "cluster", "n_tokens"])
+                give_back()
+        finally:
+            encoder = batch = None
+            forget()
+
+    return run

@@ -35,9 +35,10 @@ SEEK_MAGIC, SKIP_MAGIC, IDS_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 FILE_BYTES = 24 << 20  # of text for each file
 RANGES = 20_000  # of doc_id at most, one task each; a task writes as many files as its range fills
 CHUNK = 8 << 20  # characters whose words are looked up together
-SPLIT = 1 << 20  # characters whose words are parted together
+COUNTED = 1 << 20  # the same where they are only counted
+SPLIT = 1 << 18  # characters whose words are parted together
 PART = 1 << 26  # ids in one frame at most; a longer document takes several frames
-WORDS = 200_000  # words in each of the two generations that a worker remembers
+WORDS = 200_000  # words in each of the two generations that a worker remembers, half of it where ids are only counted
 GATHER = 1 << 20  # words whose ids are laid out at a time
 
 #: What a byte of a text is: a gap between words, a sign (ASCII but letters, digits and the apostrophe), a to z, or perhaps the second byte of a letter from ß to ÿ.
@@ -144,9 +145,9 @@ class WordEncoder:
             each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             yield part, np.array([i for x in each for i in x], "<u4"), np.cumsum([0, *map(len, each)])
 
-    def known(self, seen: list[dict], words: list[str], of: Callable[[np.ndarray, np.ndarray], Iterable]) -> list:
-        """For each of some words, all different, what `of` makes of ids in a row and the bounds of each word's; `seen` remembers it."""
-        if len(seen[0]) > WORDS:
+    def known(self, seen: list[dict], words: list[str], of: Callable[[np.ndarray, np.ndarray], Iterable], most: int) -> list:
+        """For each of some words, all different, what `of` makes of ids in a row and the bounds of each word's; `seen` remembers it, in generations of about `most` words."""
+        if len(seen[0]) > most:
             seen[:] = {}, seen[0]
         young, old = seen
         out = list(map(young.get, words))
@@ -170,7 +171,7 @@ class WordEncoder:
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         words, row, bounds = self.words(texts)
-        each = self.known(self.seen, words, _cut)
+        each = self.known(self.seen, words, _cut, WORDS)
         pool, sizes = np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
         first, ends, out = np.cumsum(sizes) - sizes, np.r_[0, np.cumsum(sizes[row])], []
         for lo in range(0, len(row), GATHER):
@@ -190,7 +191,7 @@ class WordEncoder:
 
     def _counts(self, texts: list[str]) -> np.ndarray:
         words, row, bounds = self.words(texts)
-        sizes = np.array(self.known(self.seen_counts, words, lambda ids, at: np.diff(at).tolist()), np.int64)
+        sizes = np.array(self.known(self.seen_counts, words, lambda ids, at: np.diff(at).tolist(), WORDS // 2), np.int64)
         return np.diff(np.r_[0, np.cumsum(sizes[row])][bounds])
 
 

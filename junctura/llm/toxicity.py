@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from junctura.llm.common import forget, row_and_text, strings
+from junctura.llm.common import forget, give_back, row_and_text, strings
 
 SAMPLE_ROWS = 4_000  # half of them toxic, if there are so many
 SAMPLE_BYTES = 32 << 20  # half of them for each class; a text that does not fit is passed over
@@ -312,6 +312,8 @@ def _with(docs: DataFrame, tagger: Tagger, ddl: str, of) -> DataFrame:
             parts = [of(tagger, part) for part in chunks(strings(batch.column(1)), 2 << 20)]
             if parts:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.concat_arrays(parts)], ["row", "text", ddl.split()[0]])
+        tagger.seen.clear()
+        give_back()
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields, *T.StructType.fromDDL(ddl).fields]))
 

@@ -109,6 +109,27 @@ def test_an_encoder_is_loaded_without_a_copy_of_its_model():
     assert grown < 150
 
 
+def test_lengths_are_counted_in_little_memory():
+    """In a process of its own: what counting 8 million characters takes at most beside the batch; a worker keeps no encoder afterwards."""
+    code = f"""if 1:
+        import random, re
+        import pyarrow as pa
+        from junctura.llm import common, packing, token_files
+        most = lambda: int(re.search("VmHWM:[^0-9]*([0-9]+)", open("/proc/self/status").read())[1]) / 1024
+        rng = random.Random(4)
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(100_000)]
+        texts = [" ".join(rng.choices(words, k=620)) for _ in range(2048)]
+        batch = pa.RecordBatch.from_pydict(dict(doc_id=range(2048), source=["s"] * 2048, cluster=range(2048), text=texts))
+        del texts, words
+        common.give_back()
+        open("/proc/self/clear_refs", "w").write("5")
+        start = most()
+        rows = sum(x.num_rows for x in packing._lengths({WORD_BPE!r})(iter([batch])))
+        print(rows, most() - start, token_files.encoder_of.cache_info().currsize)"""
+    rows, grown, encoders = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert rows == 2048 and not encoders and grown < 90
+
+
 def test_token_files(spark, monkeypatch):
     rows = [(7, "b c"), (3, None), (5, ""), (None, "n"), (5, "a"), (9, TEXTS[5]), (11, "long text " * 3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
